@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import arrow_rows, stash
+from tessella.llm.common import arrow_rows, stash, unit_hash
 
 LONGEST, BACKOFF, UNDETERMINED = 5, math.log(0.4), "und"
 
@@ -84,18 +85,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fit(train: DataFrame, per_lang: int = 1_000, items: int = 60_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(train: DataFrame, per_lang: int = 600, items: int = 30_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from train's text and lang (rows with null in either are left out).
 
-    Bounds, both parameters of the model: per_lang documents of each language, those of the smallest hash of doc_id; and
-    of each language and n-gram length the `items` most frequent. The counts are a distributed aggregation; what comes
+    Bounds, both parameters of the model: of each language per_lang documents on average, those whose hash of doc_id is
+    low enough (all, if there are fewer); and of each language and n-gram length the `items` most frequent. The counts are a distributed aggregation; what comes
     to the driver is at most items * (LONGEST + 1) rows for each language.
     """
     spark = train.sparkSession
     arrow_rows(spark)
     rows = train.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
+    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    ids = rows.select("doc_id", "lang").join(share, "lang").where(unit_hash(F.col("doc_id").cast("string")) < F.col("share"))
     picked = stash(rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "lang"))
     counts = picked.mapInArrow(_counted, "n int, item string, lang string, c long").groupBy("n", "item", "lang").agg(F.sum("c").alias("c"))
     top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "item")
@@ -104,7 +105,7 @@ def fit(train: DataFrame, per_lang: int = 1_000, items: int = 60_000, doc_id: st
     return Model(sorted(set(cols[2])), list(zip(*cols, strict=True)))
 
 
-def _scorer(held):
+def _scorer(held, column: int):
     cache: dict[str, int] = {}
     rows: list[np.ndarray] = []
 
@@ -130,7 +131,7 @@ def _scorer(held):
         rows.clear()
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(column).to_pylist():
                 if text is None or not width or not any(map(str.isalpha, text)):
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
@@ -148,19 +149,25 @@ def _scorer(held):
                 best = int(p.argmax())
                 langs.append(model.langs[best])
                 scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            added = (pa.array(langs, pa.string()), pa.array(scores, pa.float64()))
+            yield batch.append_column("lang_pred_", added[0]).append_column("lang_score_", added[1])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language and its posterior under equal priors.
+def tell(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred_ and lang_score_: the likeliest language and its posterior under equal priors.
 
     `und` with score 0 if the text is null or has no letter (or no language was learned). Ties go to the language
     that sorts first. Repeated rows give repeated rows.
     """
     arrow_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.col(keep).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(_scorer(held), f"doc_id {kind}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred_", T.StringType()), T.StructField("lang_score_", T.DoubleType())])
+    return docs.mapInArrow(_scorer(held, docs.columns.index(text)), schema)
+
+
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score): see tell()."""
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return tell(chosen, model).select("doc_id", F.col("lang_pred_").alias("lang_pred"), F.col("lang_score_").alias("score"))

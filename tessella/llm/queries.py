@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, mixing, sharding, simhash, tokens, toxicity
+from tessella.llm import ann, decontam, langid, lm, mixing, sharding, simhash, suffix, tokens, toxicity
 from tessella.llm.common import id_crc, read
 
 
@@ -24,6 +24,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_crc(F.col("doc_id")) % 5 == 1
+    model, counts = lm.fit(docs.where(~held_out), F.col("doc_id"))
+    return lm.score(docs, model, counts).withColumn("held_out", held_out)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,11 +48,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op6_token_counts, op7_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op4_suffix_dedup, op5_lm_score, op6_token_counts, op7_language_id, op8_decontamination, op9_nearest, op10_sharding)}
 
 
 def queries() -> dict:

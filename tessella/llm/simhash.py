@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
-from collections import deque
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import arrow_rows, stash
 from tessella.llm.graph import components
 
 SEED = 42
-BLOCKS, SPARE = 7, 4  # 7 blocks of 9 or 10 bits: 4 differing bits leave 3 blocks whole
 CHUNK = 1 << 15
+#: Blocks and how many of them a table's key holds. 7 and 3: any pair at 4 bits of 64 or fewer meets in a table.
+SURE = (7, 3)
+#: For 128 bits, in which a pair at the fraction 0.07 of differing bits meets in one of 45 tables 19 times of 20.
+LIKELY = (10, 2)
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (rows of little-endian bytes) set each bit."""
+    bits = np.unpackbits(hashes, axis=1, bitorder="little")
+    total = np.zeros(bits.shape[1], np.int64)
+    for at in range(0, len(bits), 255):  # eight counters of a byte in each 64-bit sum
+        part = bits[at : at + 255].view(np.uint64).sum(axis=0, dtype=np.uint64)
+        total += part.view(np.uint8)
+    return total
+
+
+def spans_of(words: list[bytes], width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by spaces, and where each of their shingles begins and ends (one shingle if they are fewer)."""
+    joined, n = b" ".join(words), len(words)
+    if n <= width:
+        return joined, [0], [len(joined)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return joined, starts[: n - width + 1].tolist(), ends[width - 1 :].tolist()
 
 
 def fingerprint(text: bytes, width: int) -> int:
     """64 bits, each set if it is set in over half the XXH64 of the text's word shingles; 0 if it has no word."""
     words = text.lower().split()  # bytes.lower() and split() know A-Z and the six ASCII spaces only
-    n = len(words)
-    if not n:
+    if not words:
         return 0
-    joined = b" ".join(words)
-    if n <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    total, m, digest = np.zeros(64, np.int64), n - width + 1, xxhash.xxh64_intdigest
+    joined, starts, ends = spans_of(words, width)
+    total, m, digest = np.zeros(64, np.int64), len(starts), xxhash.xxh64_intdigest
     for at in range(0, m, CHUNK):
-        stop = min(m, at + CHUNK)
-        spans = zip(starts[at:stop].tolist(), ends[at + width - 1 : stop + width - 1].tolist(), strict=True)
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in spans), np.uint64, stop - at)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
+        h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], np.uint64)
+        total += votes(h.view(np.uint8).reshape(-1, 8))
     return int(np.packbits(total * 2 > m, bitorder="little").view(np.uint64)[0])
 
 
@@ -54,59 +70,66 @@ def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str
     return chosen.mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks() -> list[int]:
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(BLOCKS)]
-    whole = [sum(block[i] for i in c) for c in combinations(range(BLOCKS), BLOCKS - SPARE)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
+def masks(bits: int, blocks: int, whole: int) -> list[int]:
+    """Of each choice of `whole` blocks, the mask of their bits."""
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    return [sum(block[i] for i in c) for c in combinations(range(blocks), whole)]
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that connect what is connected among distinct fps at the distance: one fewer than a component's size."""
-    left, edges = np.arange(len(fps)), []
+def forest(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, bits): a minimal spanning forest of distinct fingerprints (rows of 64-bit words), edges at the distance or less.
+
+    It connects what all such pairs connect, at this distance and at any smaller one, by fewer edges than there are rows;
+    pairs are looked at row by row and never kept.
+    """
+    n = len(words)
+    left = np.arange(1, n)
+    best, by = np.full(n - 1, np.iinfo(np.int32).max, np.int32), np.zeros(n - 1, np.int64)
+    x, y, d, now = [], [], [], 0
     while len(left):
-        queue, left = deque([left[0]]), left[1:]
-        while queue and len(left):
-            x = queue.popleft()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= distance
-            if near.any():
-                queue.extend(found := left[near])
-                edges += [(x, y) for y in found]
-                left = left[~near]
-    return edges
-
-
-def _linked(distance: int):
-    def pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gap = np.bitwise_count(words[left] ^ words[now]).sum(axis=1, dtype=np.int32)
+        nearer = gap < best
+        best[nearer], by[nearer] = gap[nearer], now
+        i = int(best.argmin())
+        now = int(left[i])
+        if best[i] <= distance:
+            x.append(by[i])
+            y.append(now)
+            d.append(best[i])
+        left, best, by = (np.delete(z, i) for z in (left, best, by))
+    return np.array(x, np.int64), np.array(y, np.int64), np.array(d, np.int32)
+
+
+def _linked(distance: int, width: int):
+    """Rows are (table, key, node, words...), sorted by (table, key, node)."""
+    def pairs(table: np.ndarray, key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, ...]:
+        u = np.stack([w.view(np.uint64) for w in words], axis=1)
         new = np.concatenate(([True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
         first = np.flatnonzero(new)
-        run = np.diff(np.append(first, len(fp)))
-        a, b, u = [], [], fp.view(np.uint64)
+        run = np.diff(np.append(first, len(node)))
+        out, group = [], np.cumsum(new)
         small = np.repeat(run, run) <= 8
-        group = np.cumsum(new)
         for off in range(1, 8):
-            ok = (group[off:] == group[:-off]) & small[off:]
-            i = np.flatnonzero(ok)
-            i = i[np.bitwise_count(u[i] ^ u[i + off]) <= distance]
-            a.append(fp[i])
-            b.append(fp[i + off])
-        for s, n in zip(first[run > 8], run[run > 8], strict=True):
-            if found := forest(u[s : s + n], distance):
-                i, j = np.array(found).T
-                a.append(fp[s + i])
-                b.append(fp[s + j])
-        return np.concatenate(a), np.concatenate(b)
+            i = np.flatnonzero((group[off:] == group[:-off]) & small[off:])
+            gap = np.bitwise_count(u[i] ^ u[i + off]).sum(axis=1, dtype=np.int32)
+            near = gap <= distance
+            out.append((node[i[near]], node[i[near] + off], gap[near]))
+        for s, n in zip(first[run > 8].tolist(), run[run > 8].tolist(), strict=True):
+            i, j, gap = forest(u[s : s + n], distance)
+            out.append((node[s + i], node[s + j], gap))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (table, key): all but the last run of what has been read is whole."""
-        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        """All but the last run of what has been read is whole."""
+        held = [np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(2 + width))]
         waiting: list[list[np.ndarray]] = []
 
         def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]) > 1:
-                a, b = pairs(*rows)
+                a, b, d = pairs(*rows)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "bits"])
 
         for batch in batches:
             waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
@@ -124,19 +147,26 @@ def _linked(distance: int):
     return run
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b): of distinct fingerprints (column fp), edges that connect all that lie within the distance.
+def links(fps: DataFrame, distance: int = 4, blocks: tuple[int, int] = SURE, words: tuple[str, ...] = ("fp",), node: str = "fp") -> DataFrame:
+    """(a, b, bits): edges between nodes of distinct fingerprints that connect all pairs which meet and lie within the distance.
 
-    A pair that differs in at most SPARE bits agrees on at least BLOCKS - SPARE blocks, so it meets in one of the 35
-    block tables, whose key holds 27 bits or more. Rows are dealt by (table, key) and sorted there; a run is verified by
-    XOR and bit count, and gives a spanning forest, never all its pairs.
+    words: the fingerprint's 64-bit columns. Its bits are split into blocks, and a table for each choice of some of them
+    keys a row by those; with SURE and 64 bits every pair at 4 bits or fewer meets. Rows are dealt by (table, key) and
+    sorted there; a run is verified by XOR and bit count, and gives at most 8 * 7 / 2 pairs or a spanning forest.
     """
-    if distance > SPARE:
-        raise ValueError(f"the blocks find pairs at {SPARE} bits or fewer")
     arrow_rows(fps.sparkSession, 20_000)
-    keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_masks()))))
-    dealt = fps.select("fp", keyed.alias("x")).select("x.t", "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k", "fp")
-    return dealt.mapInArrow(_linked(distance), "a long, b long")
+    bits = 64 * len(words)
+    if blocks == SURE and (distance > 4 or bits != 64):
+        raise ValueError("these blocks are for 64 bits and find pairs at 4 bits or fewer")
+
+    def key(mask: int) -> Column:
+        parts = [(mask >> (64 * i)) & (2**64 - 1) for i in range(len(words))]
+        own = [F.col(w).bitwiseAND(F.lit(m - 2**64 if m >> 63 else m)) for w, m in zip(words, parts, strict=True) if m]
+        return own[0] if len(own) == 1 else F.xxhash64(*own)
+
+    keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), key(m).alias("k")) for i, m in enumerate(masks(bits, *blocks)))))
+    dealt = fps.select(F.col(node).alias("node"), *words, keyed.alias("x")).select("x.t", "x.k", "node", *(F.col(w).alias(f"w{i}") for i, w in enumerate(words)))
+    return dealt.repartition("t", "k").sortWithinPartitions("t", "k", "node").mapInArrow(_linked(distance, len(words)), "a long, b long, bits int")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,3 +182,88 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id:
     low = reps.groupBy("root").agg(F.min("least").alias("component_id"))
     named = reps.join(low, "root").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# One document of each group of similar ones
+
+LONG = 512  # bits of the fingerprint that measures similarity
+REACH = 24  # differing bits of 128 at which two texts are candidates
+SIMILAR = 0.8
+
+
+def most_bits(similarity: float, bits: int = LONG) -> int:
+    """Differing bits expected of two shingle sets of one size at the Jaccard similarity: their angle's share of pi."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _wide(text: bytes, width: int) -> tuple[int, int, bytes]:
+    """Two words of a fingerprint of the text's longer words (for blocks; shingles change too fast), and one of its shingles."""
+    words = text.lower().split()
+    own = {w for w in words if len(w) > 4} or set(words)
+    short = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sorted(own))), np.uint8).reshape(-1, 16)
+    a, b = (np.packbits(votes(short) * 2 > len(short), bitorder="little").view(np.int64).tolist()) if len(short) else (0, 0)
+    total, n = np.zeros(LONG, np.int64), 0
+    if words:
+        joined, starts, ends = spans_of(words, width)
+        seen = {joined[i:j] for i, j in zip(starts, ends, strict=True)}
+        base = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+        n = len(base)
+        for at in range(0, n, 1 << 13):
+            part = base[at : at + (1 << 13), None] + STEP
+            part ^= part >> np.uint64(30)
+            part *= np.uint64(0xBF58476D1CE4E5B9)
+            part ^= part >> np.uint64(27)
+            part *= np.uint64(0x94D049BB133111EB)
+            part ^= part >> np.uint64(31)
+            total += votes(part.view(np.uint8).reshape(len(part), -1))
+    return a, b, np.packbits(total * 2 > n, bitorder="little").tobytes()
+
+
+STEP = np.arange(1, LONG // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _wide_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rows = [_wide(t or b"", width) for t in texts]
+            nodes = [xxhash.xxh3_64_intdigest(r[2] + r[0].to_bytes(8, "little", signed=True)) - 2**63 for r in rows]
+            h = [xxhash.xxh3_64_intdigest(t) - 2**63 if t is not None else None for t in texts]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(nodes, pa.int64()), *cols], ["doc_id", "h", "node", "w0", "w1", "long"])
+
+    return run
+
+
+def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = [xxhash.xxh3_64_intdigest(t.encode()) - 2**63 if t is not None else None for t in batch.column("text").to_pylist()]
+        yield batch.append_column("h_", pa.array(h, pa.int64()))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id (nulls first); all columns kept.
+
+    Two texts are similar if the 512-bit SimHash of their word shingles differs in no more bits than sets at the Jaccard
+    similarity are expected to. Candidates come from pigeonhole tables over a 128-bit SimHash of their longer words,
+    whose minimal spanning forests keep what is closest linked; groups are the components. Texts without words are one
+    group. Equal rows leave one.
+    """
+    arrow_rows(docs.sparkSession)
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = stash(body.mapInArrow(_wide_rows(width), "doc_id long, h long, node long, w0 long, w1 long, long binary"))
+    nodes = stash(rows.groupBy("node").agg(F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("long").alias("long")))
+    near = links(nodes, REACH, LIKELY, ("w0", "w1"), "node").select("a", "b").distinct()
+    a, b = (nodes.select(F.col("node").alias(k), F.col("long").alias(f"{k}_long")) for k in "ab")
+    wide = F.col("a_long"), F.col("b_long")
+    apart = sum((F.bit_count(F.conv(F.hex(F.substring(wide[0], i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(wide[1], i, 4)), 16, 10).cast("long"))) for i in range(1, LONG // 8, 4)), F.lit(0))
+    near = near.join(a, "a").join(b, "b").where(apart <= most_bits(similarity)).select("a", "b")
+    of = components(near, "a", "b")
+    rows = rows.join(of, "node", "left")
+    per = rows.groupBy(F.coalesce("component", "node").alias("root"), "doc_id", "h").agg(F.count("*").alias("n"))
+    kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("k_"), F.col("x.h").alias("t_"), F.col("x.n").alias("n_"))
+    arrow_rows(docs.sparkSession)
+    hashed = T.StructType([*docs.schema.fields, T.StructField("h_", T.LongType())])
+    keyed = docs.mapInArrow(_text_hash, hashed)
+    stay = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(F.col("k_")) & keyed["h_"].eqNullSafe(F.col("t_")))
+    return stay.where("n_ = 1").select(*docs.columns).unionByName(stay.where("n_ > 1").dropDuplicates(["k_", "t_"]).select(*docs.columns))

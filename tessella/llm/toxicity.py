@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, stash
+from tessella.llm.common import arrow_rows, stash, unit_hash
 
 PREFIXES = (4, 5, 6)
 CACHE = 400_000
@@ -56,7 +56,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def nnpu(x: list[list[int]], positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 11) -> tuple[np.ndarray, float]:
+def nnpu(x: list[list[int]], positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 5e-5, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) for the logistic loss, by Adam.
 
     Where the estimated risk of the unlabelled as negatives falls below 0, the step goes up that term instead.
@@ -91,6 +91,17 @@ def nnpu(x: list[list[int]], positive: np.ndarray, width: int, prior: float, ste
     return w, float(b)
 
 
+def valley(z: np.ndarray, prior: float) -> float:
+    """Where to cut unlabelled logits: the middle of the widest gap that leaves about the prior's share above it."""
+    z = np.sort(z)[::-1]
+    lo, hi = int(0.6 * prior * len(z)), int(np.ceil(1.4 * prior * len(z)))
+    near = z[max(lo - 1, 0) : hi + 1]
+    if len(near) < 2:
+        return 0.0
+    i = int(np.argmax(near[:-1] - near[1:]))
+    return float(near[i] + near[i + 1]) / 2
+
+
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
@@ -108,13 +119,15 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 8_000, width: int = 6_000, doc_id: str = "doc_id", text: str = "text") -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 8_000, width: int = 4_000, least: int = 8, doc_id: str = "doc_id", text: str = "text") -> Scorer:
     """Learn from docs and labels (doc_id, toxic); pass training rows only.
 
     Positives: rows with a label toxic = 1. Unlabelled: any other rows, whatever their labels. The class prior is the
-    share of 1 among non-null labels. Bounds, all parameters: the positives and unlabelled rows of the smallest hash of
-    doc_id, and `width` features, those of the highest presence ratio of positives to unlabelled. Without positives or
-    without unlabelled rows every score is the prior (one half if there is no label).
+    share of 1 among non-null labels. A feature counts if at least `least` positives have it, three times as often as the
+    unlabelled; equal texts count once. The cut at 0.5 is moved to the valley of the unlabelled scores. Bounds, all
+    parameters: about so many positives and unlabelled rows, those whose hash of doc_id is low enough, and `width`
+    features, those of the highest presence ratio of positives to unlabelled. Without positives or without unlabelled
+    rows every score is the prior (one half if there is no label).
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -124,17 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
     prior = min(max((hits or 0) / seen, 1e-3), 0.999) if seen else 0.5
     ids = docs.select(F.col(doc_id).alias("doc_id")).distinct().join(marks, "doc_id", "left")
     ids = ids.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("p"))
-    order = Window.partitionBy("p").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("p"), positives).otherwise(unlabelled)).drop("r")
+    size = {bool(r[0]): r[1] for r in ids.groupBy("p").count().collect()}
+    share = F.when(F.col("p"), positives / max(size.get(True, 0), 1)).otherwise(unlabelled / max(size.get(False, 0), 1))
+    ids = ids.where(unit_hash(F.col("doc_id").cast("string")) < share)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = stash(rows.select("text", "p"))
+    rows = stash(rows.groupBy("text").agg(F.max("p").alias("p")))  # copies would lend their words undue weight
     n = dict(rows.groupBy("p").count().collect())
     if not (n.get(True) and n.get(False)):
         return Scorer([], np.zeros(0), float(np.log(prior / (1 - prior))))
     counts = rows.mapInArrow(_presence, "f string, p boolean, c long").groupBy("f").agg(
         F.sum(F.when(F.col("p"), F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("p"), 0).otherwise(F.col("c"))).alias("b"))
     ratio = (F.col("a") / n[True]) / ((F.col("b") + 1) / n[False])
-    best = counts.where(F.col("a") >= 4).withColumn("ratio", ratio).where("ratio >= 2").orderBy(F.desc("ratio"), F.desc("a"), "f").limit(width)
+    best = counts.where(F.col("a") >= least).withColumn("ratio", ratio).where("ratio >= 3").orderBy(F.desc("ratio"), F.desc("a"), "f").limit(width)
     names = [r[0] for r in best.select("f").collect()]
     blank = Scorer(names, np.zeros(len(names)), 0.0)
 
@@ -148,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
     x, p = table.column("x").to_pylist(), np.array(table.column("p").to_pylist(), bool)
     order_ = sorted(range(len(x)), key=lambda i: (bool(p[i]), x[i]))  # reruns agree, whatever the row order
     w, b = nnpu([x[i] for i in order_], p[order_], len(names), prior)
-    return Scorer(names, w, b)
+    z = np.array([b + w[x[i]].sum() for i in range(len(x)) if not p[i]])
+    return Scorer(names, w, b - valley(z, prior))
 
 
 def score(docs: DataFrame, model: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
