@@ -123,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     hashed = "t int, axis int, id long, v array<double>"
     index = stash(rows.mapInArrow(_hashed(1, tables), hashed))
     probed = stash(asked.mapInArrow(_hashed(probes, tables), hashed))
-    slices = index.groupBy("t", "axis").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    slices = stash(index.groupBy("t", "axis").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")))  # a row a bucket
     index = index.join(F.broadcast(slices), ["t", "axis"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).drop("slices")
     probed = probed.join(F.broadcast(slices), ["t", "axis"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     found = _met(probed, index, k)

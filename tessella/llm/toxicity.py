@@ -92,14 +92,14 @@ def nnpu(x: list[list[int]], positive: np.ndarray, width: int, prior: float, ste
 
 
 def valley(z: np.ndarray, prior: float) -> float:
-    """Where to cut unlabelled logits: the middle of the widest gap that leaves about the prior's share above it."""
+    """Where to cut unlabelled logits: the middle of the widest gap that leaves about the prior's share above it; 0 if there is no gap."""
     z = np.sort(z)[::-1]
     lo, hi = int(0.6 * prior * len(z)), int(np.ceil(1.4 * prior * len(z)))
     near = z[max(lo - 1, 0) : hi + 1]
     if len(near) < 2:
         return 0.0
     i = int(np.argmax(near[:-1] - near[1:]))
-    return float(near[i] + near[i + 1]) / 2
+    return float(near[i] + near[i + 1]) / 2 if near[i] - near[i + 1] > 0.3 else 0.0
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +119,16 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 8_000, width: int = 4_000, least: int = 8, doc_id: str = "doc_id", text: str = "text") -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 8_000, width: int = 4_000, least: int = 8, lift: float = 5.0, doc_id: str = "doc_id", text: str = "text") -> Scorer:
     """Learn from docs and labels (doc_id, toxic); pass training rows only.
 
-    Positives: rows with a label toxic = 1. Unlabelled: any other rows, whatever their labels. The class prior is the
-    share of 1 among non-null labels. A feature counts if at least `least` positives have it, three times as often as the
-    unlabelled; equal texts count once. The cut at 0.5 is moved to the valley of the unlabelled scores. Bounds, all
-    parameters: about so many positives and unlabelled rows, those whose hash of doc_id is low enough, and `width`
-    features, those of the highest presence ratio of positives to unlabelled. Without positives or without unlabelled
-    rows every score is the prior (one half if there is no label).
+    Positives: rows with a label toxic = 1. Unlabelled: any other rows; their class prior is the share of 1 among non-null
+    labels, times the share of them without a label. A feature counts if at least `least` positives have it, `lift` times
+    as often as the unlabelled; of texts with one least shingle hash (copies, most near copies) one counts. The cut at 0.5
+    is moved to the valley of the unlabelled scores, if there is one. Bounds, all parameters: about so many positives and
+    unlabelled rows, those whose hash of doc_id is low enough, and `width` features, those of the highest presence ratio
+    of positives to unlabelled. Without positives or without unlabelled rows every score is the prior (one half if there
+    is no label).
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -136,19 +137,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
     seen, hits = marks.agg(F.count("*"), F.sum(F.col("toxic"))).first()
     prior = min(max((hits or 0) / seen, 1e-3), 0.999) if seen else 0.5
     ids = docs.select(F.col(doc_id).alias("doc_id")).distinct().join(marks, "doc_id", "left")
-    ids = ids.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("p"))
-    size = {bool(r[0]): r[1] for r in ids.groupBy("p").count().collect()}
-    share = F.when(F.col("p"), positives / max(size.get(True, 0), 1)).otherwise(unlabelled / max(size.get(False, 0), 1))
-    ids = ids.where(unit_hash(F.col("doc_id").cast("string")) < share)
+    ids = ids.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("p"), F.col("toxic").isNotNull().alias("told"))
+    size = {(bool(r[0]), bool(r[1])): r[2] for r in ids.groupBy("p", "told").count().collect()}
+    count = {p: size.get((p, True), 0) + size.get((p, False), 0) for p in (True, False)}
+    hidden = max(prior * size.get((False, False), 0) / max(count[False], 1), 1e-4)  # positives among the unlabelled
+    share = F.when(F.col("p"), positives / max(count[True], 1)).otherwise(unlabelled / max(count[False], 1))
+    ids = ids.where(unit_hash(F.col("doc_id").cast("string")) < share).select("doc_id", "p")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = stash(rows.groupBy("text").agg(F.max("p").alias("p")))  # copies would lend their words undue weight
+    # copies and near copies would lend their words undue weight: of rows with one least shingle hash, one stays
+    rows = rows.withColumn("w", F.split(F.lower("text"), r"\s+"))
+    shingle = lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))
+    least_hash = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), shingle))
+    rows = stash(rows.groupBy(least_hash.alias("k")).agg(F.max(F.struct("p", "text")).alias("r")).select("r.text", "r.p"))
     n = dict(rows.groupBy("p").count().collect())
     if not (n.get(True) and n.get(False)):
         return Scorer([], np.zeros(0), float(np.log(prior / (1 - prior))))
     counts = rows.mapInArrow(_presence, "f string, p boolean, c long").groupBy("f").agg(
         F.sum(F.when(F.col("p"), F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("p"), 0).otherwise(F.col("c"))).alias("b"))
     ratio = (F.col("a") / n[True]) / ((F.col("b") + 1) / n[False])
-    best = counts.where(F.col("a") >= least).withColumn("ratio", ratio).where("ratio >= 3").orderBy(F.desc("ratio"), F.desc("a"), "f").limit(width)
+    best = counts.where(F.col("a") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= lift).orderBy(F.desc("ratio"), F.desc("a"), "f").limit(width)
     names = [r[0] for r in best.select("f").collect()]
     blank = Scorer(names, np.zeros(len(names)), 0.0)
 
@@ -161,9 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
     table = rows.mapInArrow(found, "x array<int>, p boolean").toArrow()
     x, p = table.column("x").to_pylist(), np.array(table.column("p").to_pylist(), bool)
     order_ = sorted(range(len(x)), key=lambda i: (bool(p[i]), x[i]))  # reruns agree, whatever the row order
-    w, b = nnpu([x[i] for i in order_], p[order_], len(names), prior)
+    w, b = nnpu([x[i] for i in order_], p[order_], len(names), hidden)
     z = np.array([b + w[x[i]].sum() for i in range(len(x)) if not p[i]])
-    return Scorer(names, w, b - valley(z, prior))
+    return Scorer(names, w, b - valley(z, hidden))
 
 
 def score(docs: DataFrame, model: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
