@@ -186,9 +186,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id:
 
 # One document of each group of similar ones
 
+WORDS = ("w0", "w1", "w2", "w3")
 LONG = 512  # bits of the fingerprint that measures similarity
-REACH = 24  # differing bits of 128 at which two texts are candidates
+REACH = 30  # differing bits of 128 at which two texts are candidates
 SIMILAR = 0.8
+DOUBT = 0.12  # similarity within which 512 bits may err: three standard deviations
 
 
 def most_bits(similarity: float, bits: int = LONG) -> int:
@@ -196,12 +198,13 @@ def most_bits(similarity: float, bits: int = LONG) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _wide(text: bytes, width: int) -> tuple[int, int, bytes]:
-    """Two words of a fingerprint of the text's longer words (for blocks; shingles change too fast), and one of its shingles."""
+def _wide(text: bytes, width: int) -> tuple[list[int], bytes]:
+    """Four words of a fingerprint of the text's longer words (for blocks; shingles change too fast), and one of its shingles."""
     words = text.lower().split()
     own = {w for w in words if len(w) > 4} or set(words)
-    short = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sorted(own))), np.uint8).reshape(-1, 16)
-    a, b = (np.packbits(votes(short) * 2 > len(short), bitorder="little").view(np.int64).tolist()) if len(short) else (0, 0)
+    digests = (xxhash.xxh3_128_digest(w, seed) for w in own for seed in (0, 1))
+    short = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
+    head = np.packbits(votes(short) * 2 > len(short), bitorder="little").view(np.int64).tolist() if len(short) else [0] * 4
     total, n = np.zeros(LONG, np.int64), 0
     if words:
         joined, starts, ends = spans_of(words, width)
@@ -216,7 +219,7 @@ def _wide(text: bytes, width: int) -> tuple[int, int, bytes]:
             part *= np.uint64(0x94D049BB133111EB)
             part ^= part >> np.uint64(31)
             total += votes(part.view(np.uint8).reshape(len(part), -1))
-    return a, b, np.packbits(total * 2 > n, bitorder="little").tobytes()
+    return head, np.packbits(total * 2 > n, bitorder="little").tobytes()
 
 
 STEP = np.arange(1, LONG // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -227,10 +230,10 @@ def _wide_rows(width: int):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = [_wide(t or b"", width) for t in texts]
-            nodes = [xxhash.xxh3_64_intdigest(r[2] + r[0].to_bytes(8, "little", signed=True)) - 2**63 for r in rows]
+            nodes = [xxhash.xxh3_64_intdigest(long + np.array(head).tobytes()) - 2**63 for head, long in rows]
             h = [xxhash.xxh3_64_intdigest(t) - 2**63 if t is not None else None for t in texts]
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(nodes, pa.int64()), *cols], ["doc_id", "h", "node", "w0", "w1", "long"])
+            cols = [*(pa.array([r[0][i] for r in rows], pa.int64()) for i in range(4)), pa.array([r[1] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(nodes, pa.int64()), *cols], ["doc_id", "h", "node", *WORDS, "long"])
 
     return run
 
@@ -241,29 +244,56 @@ def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("h_", pa.array(h, pa.int64()))
 
 
+def _keyed_by_text(docs: DataFrame) -> DataFrame:
+    arrow_rows(docs.sparkSession)
+    return docs.mapInArrow(_text_hash, T.StructType([*docs.schema.fields, T.StructField("h_", T.LongType())]))
+
+
+def _truly_similar(edges: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of edges (a, b, a_h, b_h), those whose texts' shingle sets reach the Jaccard similarity."""
+    asked = edges.select(F.explode(F.array("a_h", "b_h")).alias("h_")).distinct()
+    texts = stash(keyed.select("h_", F.col("text").cast("binary").alias("t")).join(asked, "h_", "left_semi").groupBy("h_").agg(F.first("t").alias("t")))
+    a, b = (texts.select(F.col("h_").alias(f"{k}_h"), F.col("t").alias(f"t{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(text: bytes) -> set[bytes]:
+            words = text.lower().split()
+            joined, starts, ends = spans_of(words, width)
+            return {joined[i:j] for i, j in zip(starts, ends, strict=True)}
+
+        for batch in batches:
+            x, y, ok = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            for s, t in zip(x, y, strict=True):
+                s, t = shingles(s or b""), shingles(t or b"")
+                ok.append(len(s & t) >= similarity * len(s | t))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return edges.select("a", "b", "a_h", "b_h").join(a, "a_h").join(b, "b_h").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (nulls first); all columns kept.
 
-    Two texts are similar if the 512-bit SimHash of their word shingles differs in no more bits than sets at the Jaccard
-    similarity are expected to. Candidates come from pigeonhole tables over a 128-bit SimHash of their longer words,
-    whose minimal spanning forests keep what is closest linked; groups are the components. Texts without words are one
-    group. Equal rows leave one.
+    Two texts are similar if their sets of word shingles have the Jaccard similarity. A 512-bit SimHash of the shingles
+    tells by its Hamming distance, and where that is within DOUBT of the similarity the sets are compared. Candidates come
+    from pigeonhole tables over two 128-bit SimHashes of their longer words, whose minimal spanning forests keep what is
+    closest linked; groups are the components. Texts without words are one group. Equal rows leave one.
     """
     arrow_rows(docs.sparkSession)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = stash(body.mapInArrow(_wide_rows(width), "doc_id long, h long, node long, w0 long, w1 long, long binary"))
-    nodes = stash(rows.groupBy("node").agg(F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("long").alias("long")))
-    near = links(nodes, REACH, LIKELY, ("w0", "w1"), "node").select("a", "b").distinct()
-    a, b = (nodes.select(F.col("node").alias(k), F.col("long").alias(f"{k}_long")) for k in "ab")
-    wide = F.col("a_long"), F.col("b_long")
-    apart = sum((F.bit_count(F.conv(F.hex(F.substring(wide[0], i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(wide[1], i, 4)), 16, 10).cast("long"))) for i in range(1, LONG // 8, 4)), F.lit(0))
-    near = near.join(a, "a").join(b, "b").where(apart <= most_bits(similarity)).select("a", "b")
+    rows = stash(body.mapInArrow(_wide_rows(width), f"doc_id long, h long, node long, {', '.join(f'{w} long' for w in WORDS)}, long binary"))
+    nodes = stash(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in (*WORDS, "long", "h"))))
+    near = links(nodes, REACH, LIKELY, WORDS[:2], "node").unionByName(links(nodes, REACH, LIKELY, WORDS[2:], "node")).select("a", "b").distinct()
+    a, b = (nodes.select(F.col("node").alias(k), F.col("long").alias(f"{k}_long"), F.col("h").alias(f"{k}_h")) for k in "ab")
+    part = lambda c, i: F.conv(F.hex(F.substring(c, i, 4)), 16, 10).cast("long")
+    apart = sum((F.bit_count(part(F.col("a_long"), i).bitwiseXOR(part(F.col("b_long"), i))) for i in range(1, LONG // 8, 4)), F.lit(0))
+    near = stash(near.join(a, "a").join(b, "b").withColumn("bits", apart).where(F.col("bits") <= most_bits(similarity - DOUBT)).select("a", "b", "a_h", "b_h", "bits"))
+    sure = most_bits(similarity + DOUBT)
+    keyed = _keyed_by_text(docs)
+    near = near.where(F.col("bits") <= sure).select("a", "b").unionByName(_truly_similar(near.where(F.col("bits") > sure), keyed, width, similarity))
     of = components(near, "a", "b")
     rows = rows.join(of, "node", "left")
     per = rows.groupBy(F.coalesce("component", "node").alias("root"), "doc_id", "h").agg(F.count("*").alias("n"))
     kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("k_"), F.col("x.h").alias("t_"), F.col("x.n").alias("n_"))
-    arrow_rows(docs.sparkSession)
-    hashed = T.StructType([*docs.schema.fields, T.StructField("h_", T.LongType())])
-    keyed = docs.mapInArrow(_text_hash, hashed)
     stay = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(F.col("k_")) & keyed["h_"].eqNullSafe(F.col("t_")))
     return stay.where("n_ = 1").select(*docs.columns).unionByName(stay.where("n_ > 1").dropDuplicates(["k_", "t_"]).select(*docs.columns))
