@@ -41,13 +41,13 @@ def adjacency(pixels: DataFrame, label: str, mpp_x: float, mpp_y: float) -> Data
     return e.groupBy("image_id", F.least("a", "b").alias("g1"), F.greatest("a", "b").alias("g2")).agg(F.sum(side).alias("len_um"))
 
 
-def offset_means(cells: DataFrame, value: str, height: int, width: int, offsets: Sequence[int] = (1, 2, 4), extra: Sequence[str] = ()) -> DataFrame:
-    """(key, *extra, mean): mean of the values up, down, left and right at each offset, clamped at the edges.
+def offset_means(cells: DataFrame, value: str, height: int, width: int, offsets: Sequence[int] = (1, 2, 4), extra: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
+    """(key, *extra, mean): mean of the values up, down, left and right at each offset, edges clamped or reflected.
 
     A missing or NaN neighbour counts as the cell itself. Each cell sends its value to the cells that look at it: clamping
     maps several looks to one source, so looks are exploded on the looking side and joined by equality.
     """
-    clamp = lambda c, n: F.greatest(F.lit(0), F.least(c, F.lit(n - 1)))
+    clamp = EDGES[edge]
     looks = F.array(*(F.struct(clamp(F.col("y") + dy * d, height).cast("long").alias("ny"), clamp(F.col("x") + dx * d, width).cast("long").alias("nx")) for d in offsets for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))))
     keys = [*KEY, *extra]
     looking = cells.select(*keys, F.col(value).alias("own"), F.explode(looks).alias("n")).select(*keys, "own", "n.*")
@@ -63,14 +63,29 @@ def reflected(c: Column, n: int) -> Column:
     return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
 
 
-def taps(cells: DataFrame, value: str, axis: str, weights: Sequence[float], size: int, extra: Sequence[str] = ()) -> DataFrame:
-    """One pass of a separable filter along an axis with `nearest` edges: (key, *extra, value).
+def mirrored(c: Column, n: int) -> Column:
+    """The coordinate mirrored at the edges, the edge cell itself not repeated."""
+    if n == 1:
+        return F.lit(0)
+    m = F.pmod(c, F.lit(2 * n - 2))
+    return F.when(m >= n, 2 * n - 2 - m).otherwise(m)
 
-    A cell's taps clamp to the edge, so weights of equal sources add up; looks are exploded and joined by equality.
+
+def clamped(c: Column, n: int) -> Column:
+    return F.greatest(F.lit(0), F.least(c, F.lit(n - 1)))
+
+
+EDGES = {"nearest": clamped, "mirror": mirrored, "reflect": reflected}
+
+
+def taps(cells: DataFrame, value: str, axis: str, weights: Sequence[float], size: int, extra: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
+    """One pass of a separable filter along an axis: (key, *extra, value).
+
+    Taps beyond an edge fall back inside, so weights of equal sources add up; looks are exploded and joined by equality.
     """
     r = len(weights) // 2
     other = "x" if axis == "y" else "y"
-    looks = F.array(*(F.struct(F.greatest(F.lit(0), F.least(F.col(axis) + (k - r), F.lit(size - 1))).cast("long").alias("n"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)))
+    looks = F.array(*(F.struct(EDGES[edge](F.col(axis) + (k - r), size).cast("long").alias("n"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)))
     keys = [*KEY, *extra]
     looking = cells.select(*keys, F.explode(looks).alias("t")).select(*keys, "t.*")
     seen = cells.select("image_id", F.col(axis).alias("n"), F.col(other).alias("o_"), *extra, F.col(value).alias("v"))
@@ -85,9 +100,22 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def gaussian(cells: DataFrame, value: str, sigma: float, height: int, width: int, extra: Sequence[str] = ()) -> DataFrame:
-    w = gaussian_weights(sigma)
-    return taps(taps(cells, value, "y", w, height, extra), value, "x", w, width, extra)
+def gaussian(cells: DataFrame, value: str, sigma: float | tuple[float, float], height: int, width: int, extra: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
+    """Two passes, rows then columns; sigma may differ by axis (y, x)."""
+    sy, sx = sigma if isinstance(sigma, tuple) else (sigma, sigma)
+    return taps(taps(cells, value, "y", gaussian_weights(sy), height, extra, edge), value, "x", gaussian_weights(sx), width, extra, edge)
+
+
+def smoothed_labels(pixels: DataFrame, label: str, sigma: tuple[float, float], height: int, width: int, classes: Sequence[int], edge: str = "mirror", fixed_zero: bool = False) -> DataFrame:
+    """(key, label): the class whose one-hot mask, blurred, is largest at a cell; ties to the lower class.
+
+    fixed_zero: cells of label 0 stay 0 and win nowhere.
+    """
+    hot = pixels.select(*KEY, F.explode(F.array(*(F.struct(F.lit(int(c)).cast("long").alias("c"), (F.col(label) == c).cast("double").alias("q")) for c in classes))).alias("h")).select(*KEY, "h.*")
+    blurred = gaussian(hot, "q", sigma, height, width, ("c",), edge)
+    best = blurred.groupBy(*KEY).agg((-F.max(F.struct(F.round("q", 9).alias("q"), (-F.col("c")).alias("n")))["n"]).alias("new"))
+    out = F.when(F.lit(fixed_zero) & (F.col(label) == 0), F.lit(0)).otherwise(F.col("new"))
+    return pixels.join(best, list(KEY)).select(*KEY, out.cast("long").alias("label"))
 
 
 def masked_gaussian(cells: DataFrame, value: str, mask: str, sigma: float, height: int, width: int) -> DataFrame:
@@ -154,3 +182,47 @@ def nearest_filled(cells: DataFrame, payload: Sequence[str], missing: str, reach
             break
         r *= 2
     return out
+
+
+def distances(a: DataFrame, b: DataFrame, mpp_x: float, mpp_y: float, reach: int = 4, limit: int = 1 << 20) -> DataFrame:
+    """(key, d): of each cell of a the exact distance to the nearest of b; no rows if b is empty.
+
+    Looks within a growing square of cells, by equality; a distance is final once no cell outside the square can be nearer.
+    """
+    if not b.take(1):
+        return a.select(*KEY, F.lit(None).cast("double").alias("d")).limit(0)
+    todo, out, r = a.select(*KEY), None, reach
+    there = b.select("image_id", F.col("y").alias("y2"), F.col("x").alias("x2"))
+    while r <= limit:
+        span = F.sequence(F.lit(-r), F.lit(r))
+        looks = todo.select(*KEY, F.explode(span).alias("dy")).select(*KEY, "dy", F.explode(span).alias("dx"))
+        looks = looks.select(*KEY, (F.col("y") + F.col("dy")).alias("y2"), (F.col("x") + F.col("dx")).alias("x2"), F.sqrt(F.pow(F.col("dy") * F.lit(float(mpp_y)), 2) + F.pow(F.col("dx") * F.lit(float(mpp_x)), 2)).alias("d"))
+        best = looks.join(there, ["image_id", "y2", "x2"]).groupBy(*KEY).agg(F.min("d").alias("d")).where(F.col("d") <= (r + 1) * min(mpp_x, mpp_y))
+        out = best if out is None else out.unionByName(best)
+        todo = todo.join(best.select(*KEY), list(KEY), "left_anti")
+        if not todo.take(1):
+            break
+        r *= 2
+    return out
+
+
+def hann_blend(windows: DataFrame, value: str, side: int, stride: int, floor: float = 0.05) -> DataFrame:
+    """(key, value): cells of overlapping square windows, averaged with separable Hann weights not below the floor.
+
+    windows: (image_id, wy, wx, iy, ix, value), window (wy, wx) beginning at stride * (wy, wx).
+    """
+    hann = lambda c: F.greatest(F.pow(F.sin(F.lit(math.pi) * (F.col(c) + 0.5) / side), 2), F.lit(floor))
+    w = windows.withColumns({"y": F.col("wy") * stride + F.col("iy"), "x": F.col("wx") * stride + F.col("ix"), "w_": hann("iy") * hann("ix")})
+    return w.groupBy(*KEY).agg((F.sum(F.col("w_") * F.col(value)) / F.sum("w_")).alias(value))
+
+
+def boxes_at(boxes: DataFrame, points: DataFrame, cell: int) -> DataFrame:
+    """points joined with the boxes (box_id, y0, x0, y1, x1; ends excluded) that hold them.
+
+    Boxes are listed under each index cell they touch and points under theirs, so candidates meet by equality and the
+    exact test follows.
+    """
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))
+    listed = boxes.select("*", F.explode(span("y0", "y1")).alias("cy")).select("*", F.explode(span("x0", "x1")).alias("cx"))
+    at = points.withColumns({"cy": F.floor(F.col("y") / cell), "cx": F.floor(F.col("x") / cell)})
+    return at.join(listed, ["cy", "cx"]).where("y >= y0 and y < y1 and x >= x0 and x < x1").drop("cy", "cx")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import label_components
-from tessella.operators.grid import KEY
+from tessella.operators.grid import KEY, gaussian
 from tessella.plans.durable import stash
 
 RING = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
@@ -80,3 +80,44 @@ def repair(pixels: DataFrame, label: str, minimum_pixels: int, mode: str, suppor
         if mode != "single":
             raise ValueError("repair did not settle")
     return now.select(*KEY, "label")
+
+
+def tissue_support(rgb: DataFrame, height: int, width: int, mpp_x: float, mpp_y: float, island_um2: float = 100.0, hole_um2: float = 900.0, block: int = 256) -> DataFrame:
+    """(key, on boolean): stained cells (image_id, y, x, r, g, b), less small islands, with small enclosed holes filled.
+
+    A cell is stained if its colours, blurred by one pixel, spread by more than 25 or fall below 180. Islands of less than
+    island_um2 go, then holes of less than hole_um2 that don't reach the frame fill; both 4-connected over the whole image.
+    """
+    long = rgb.select(*KEY, F.posexplode(F.array(*(F.col(c).cast("double") for c in "rgb"))).alias("c", "v"))
+    blurred = gaussian(long, "v", 1.0, height, width, ("c",), "reflect").groupBy(*KEY).agg(F.max("v").alias("hi"), F.min("v").alias("lo"))
+    raw = stash(blurred.select(*KEY, F.when((F.col("hi") - F.col("lo") > 25) | (F.col("lo") < 180), 1).otherwise(0).cast("long").alias("label"), F.lit(True).alias("any")))
+    pixel = mpp_x * mpp_y
+    for value, area, guard in ((1, island_um2, None), (0, hole_um2, "any")):
+        gone = small_parts(raw, value, math.ceil(area / pixel), False, guard, block).select(*KEY, F.lit(1 - value).cast("long").alias("new"))
+        raw = stash(raw.join(gone, list(KEY), "left").select(*KEY, F.coalesce("new", "label").alias("label"), "any"))
+    return raw.select(*KEY, (F.col("label") == 1).alias("on"))
+
+
+def relabel_single_contact(pixels: DataFrame, label: str, below: int, keep_at_frame: bool = False, block: int = 256) -> DataFrame:
+    """(key, label): 4-connected parts of fewer than `below` cells take the one non-zero class that all their other neighbours have.
+
+    For rasters of two classes and 0. All is decided on the input, so order plays no part. Parts with a mixed or zero
+    contact stay; so do parts at the frame if asked, and the parts of a class that would vanish.
+    """
+    base = stash(pixels.select(*KEY, F.col(label).cast("long").alias("label")))
+    counts = {r[0]: r[1] for r in base.groupBy("label").count().collect()}
+    if len([c for c in counts if c > 0]) != 2:
+        raise ValueError("exactly two classes are expected")
+    frame = base.groupBy("image_id").agg(F.min("y").alias("fy0"), F.max("y").alias("fy1"), F.min("x").alias("fx0"), F.max("x").alias("fx1"))
+    steps = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
+    parts = label_components(base.withColumn("label", F.col("label") + 1), "label", False, block).withColumn("label", F.col("label") - 1)
+    size = parts.groupBy("image_id", "component").agg(F.count("*").alias("area"), F.min("label").alias("own"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).where(F.col("area") < below)
+    if keep_at_frame:
+        size = size.join(F.broadcast(frame), "image_id").where("y0 > fy0 and y1 < fy1 and x0 > fx0 and x1 < fx1")  # one row an image
+    cells = parts.join(size.select("image_id", "component", "own"), ["image_id", "component"])
+    near = cells.select("image_id", "component", "own", steps.alias("n")).select("image_id", "component", "own", "n.*").join(base, list(KEY)).where("label <> own")
+    one = near.groupBy("image_id", "component", "own").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi and lo > 0")
+    moved = stash(cells.drop("own").join(one, ["image_id", "component"]).select(*KEY, "own", F.col("lo").alias("new")))
+    lost = {r[0] for r in moved.groupBy("own").count().collect() if r[0] > 0 and r[1] >= counts[r[0]]}
+    moved = moved.where(~F.col("own").isin(*lost)) if lost else moved
+    return base.join(moved.select(*KEY, "new"), list(KEY), "left").select(*KEY, F.coalesce("new", "label").alias("label"))

@@ -85,6 +85,18 @@ def select_pairwise(tok: DataFrame, count: int, pool: int = 128, damp: float = 0
     return taken
 
 
+def round_robin(relevance: np.ndarray, persistence: dict[int, float], count: int, floor: float = 0.05) -> list[int]:
+    """Each pair of classes in turn takes its best channel left, by relevance * (floor + persistence); ties to the lower."""
+    weight = floor + np.array([persistence.get(c) or 0.0 for c in range(relevance.shape[1])])
+    order = [iter(np.argsort(-row * weight, kind="stable").tolist()) for row in relevance]
+    taken: list[int] = []
+    count = min(count, relevance.shape[1])
+    while len(taken) < count:
+        turn = order[len(taken) % len(order)]
+        taken.append(next(c for c in turn if c not in taken))
+    return taken
+
+
 def fold_ridge(rows: DataFrame, alpha: float, x: str = "x", y: str = "y", fold: str = "fold") -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Of each fold the multi-output ridge (coef, intercept) fitted on all other folds.
 

@@ -115,3 +115,20 @@ def op_M11_fold_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rows.withColumn("p", F.coalesce(*(F.when(F.col("fold") == k, out_of_fold(k)) for k in sorted(fits))))
     err = F.aggregate(F.zip_with("p", "y", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda s, v: s + v) / 8
     return p.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(err), 6).alias("mse"))
+
+
+@query()
+def op_R15_single_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of two classes, small parts with one contact relabelled."""
+    p = X.raster(spark, sf_dir).withColumn("pred", 1 + F.col("pred") % 2)
+    return repair.relabel_single_contact(p, "pred", 6).select("y", "x", "label")
+
+
+@query()
+def op_R18_tissue_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support of a synthetic stain: each class has its own colour."""
+    p = X.raster(spark, sf_dir)
+    h, w = p.agg(F.max("y") + 1, F.max("x") + 1).first()
+    grey = F.when(F.col("pred") < 3, 240).otherwise(120)
+    rgb = p.select(*grid.KEY, grey.alias("r"), grey.alias("g"), (grey + 5).alias("b"))
+    return repair.tissue_support(rgb, h, w, 1.0, 1.0, 30.0, 30.0).select("y", "x", "on")

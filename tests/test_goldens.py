@@ -238,3 +238,34 @@ def test_partitions_do_not_matter(spark):
         runs.append(sorted((r.y, r.x, round(r.v, 9)) for r in grid.gaussian(df, "v", 0.75, 9, 11).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert runs[0] == runs[1]
+
+
+def test_tissue_support_islands_and_holes(spark):
+    a = np.full((40, 40), 250)
+    a[5:30, 5:30] = 100
+    a[12:16, 12:16] = 250  # a hole of 16 cells, less after the blur
+    a[34:38, 34:38] = 100  # an island
+    cells = [("a", y, x, int(v), int(v), int(v)) for y, row in enumerate(a) for x, v in enumerate(row)]
+    df = spark.createDataFrame(cells, "image_id string, y long, x long, r int, g int, b int")
+    on = array(repair.tissue_support(df, 40, 40, 1.0, 1.0, 50.0, 50.0, block=16).withColumn("label", F.col("on").cast("int")), a.shape)
+    assert on[13, 13] == 1 and on[36, 36] == 0 and on[0, 0] == 0 and on[10, 10] == 1
+    plain = array(repair.tissue_support(df, 40, 40, 1.0, 1.0, 1.0, 1.0, block=16).withColumn("label", F.col("on").cast("int")), a.shape)
+    assert plain[13, 13] == 0 and plain[36, 36] == 1
+
+
+def test_relabel_single_contact(spark):
+    a = np.ones((12, 12), int)
+    a[:, 6:] = 2
+    a[2, 2] = 2  # an island in class 1
+    a[5, 5:7] = [2, 1]  # two islands side by side, each in the other's class
+    a[8, 9] = 0  # a hole in class 2
+    a[0, 0] = 2  # at the frame
+    got = array(repair.relabel_single_contact(raster(spark, a.tolist()), "label", 3, block=5), a.shape)
+    want = a.copy()
+    want[2, 2], want[8, 9], want[0, 0] = 1, 2, 1
+    want[5, 5:7] = [1, 2]
+    assert (got == want).all()
+    kept = array(repair.relabel_single_contact(raster(spark, a.tolist()), "label", 3, True, block=5), a.shape)
+    assert kept[0, 0] == 2 and kept[2, 2] == 1
+    with pytest.raises(ValueError, match="two classes"):
+        repair.relabel_single_contact(raster(spark, [[1, 1]]), "label", 3)
