@@ -20,8 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    The table stays until release(): results may still be read from it lazily.
+    """
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's stashed tables, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

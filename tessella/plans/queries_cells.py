@@ -374,3 +374,19 @@ def op_A13_region_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = p.select(*grid.KEY, F.col("truth").alias("component"))
     got = components.label_components(p, "pred", block=64)
     return metrics.region_covering(ref, got).select(*(F.round(c, 6).alias(c) for c in ("covering_r", "covering_p", "covering")))
+
+
+@query(f"WITH {PIX}, {RGB} SELECT y, x FROM rgb WHERE greatest(r, g, b) - least(r, g, b) > 25 OR least(r, g, b) < 210")
+def op_P09_stain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose colours spread, or are dark."""
+    p = X.raster(spark, sf_dir)
+    channel = lambda base, k, m: base + F.col("event_id") * k % m
+    r, g, b = channel(200, 7, 56), channel(205, 13, 51), channel(200, 29, 56)
+    return p.where((F.greatest(r, g, b) - F.least(r, g, b) > 25) | (F.least(r, g, b) < 210)).select("y", "x")
+
+
+@query(f"WITH {CHAN}, {PIX}, {SHAPE}, {WEIGHTS} SELECT group_id, count(DISTINCT (ty, tx)) AS tokens, sum(n)::BIGINT AS mass FROM wt GROUP BY group_id")
+def op_D09_region_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens under each group, and its pixel mass."""
+    wt, _ = _grouped_tokens(spark, sf_dir)
+    return wt.groupBy("group_id").agg(F.count("*").alias("tokens"), F.sum("n").alias("mass"))

@@ -132,3 +132,30 @@ def op_R18_tissue_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = F.when(F.col("pred") < 3, 240).otherwise(120)
     rgb = p.select(*grid.KEY, grey.alias("r"), grey.alias("g"), (grey + 5).alias("b"))
     return repair.tissue_support(rgb, h, w, 1.0, 1.0, 30.0, 30.0).select("y", "x", "on")
+
+
+@query(f"{COMP} SELECT c // 100000 AS y, c % 100000 AS x, count(*) * 6.0::DOUBLE AS area FROM comp GROUP BY c")
+def op_S25_source_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the components' rings in source coordinates, 2 and 3 times as fine along x and y."""
+    r = _rings(spark, sf_dir).withColumn("points", vector.scaled("points", 2.0, 3.0))
+    per = r.groupBy("component").agg(F.sum(vector.ring_area("points")).alias("area"))
+    return per.select(F.expr(f"component div {ROW}").alias("y"), (F.col("component") % ROW).alias("x"), "area")
+
+
+@query(f"{COMP}, a AS (SELECT c, count(*) AS area, min(l) AS l FROM comp JOIN lab USING (id) GROUP BY c) SELECT c // 100000 AS y, c % 100000 AS x, name, area FROM a JOIN (VALUES (1, 'one'), (2, 'two'), (3, 'three'), (4, 'four')) t(id, name) ON t.id = l WHERE area > 5")
+def op_J12_polygon_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons with the properties of the region they came from."""
+    labelled = components.label_components(X.raster(spark, sf_dir), "pred")
+    props = components.component_table(labelled).where("area > 5").select("component", "label", "area")
+    names = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four")], "label long, name string")
+    outer = vector.polygonize(labelled).where(~F.col("hole")).select("component").distinct()
+    met = outer.join(props, "component").join(F.broadcast(names), "label")
+    return met.select(F.expr(f"component div {ROW}").alias("y"), (F.col("component") % ROW).alias("x"), "name", "area")
+
+
+@query(f"{COMP}, s AS (SELECT c, count(*) AS n FROM comp GROUP BY c), k AS (SELECT id, CASE WHEN n >= 4 THEN l ELSE 0 END AS b, l AS a FROM comp JOIN s USING (c) JOIN lab USING (id)) SELECT a AS class_id, round(sum((a = b)::INT) / count(*), 6) AS kept FROM k GROUP BY a")
+def op_A19_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each class's cells that a cleanup of parts under 4 cells keeps."""
+    labelled = components.label_components(X.raster(spark, sf_dir), "pred")
+    size = components.component_table(labelled).select("component", "area")
+    return labelled.join(size, "component").groupBy(F.col("label").alias("class_id")).agg(F.round(F.count_if(F.col("area") >= 4) / F.count("*"), 6).alias("kept"))
