@@ -238,6 +238,32 @@ def _wide_rows(width: int):
     return run
 
 
+FILTER = 1 << 26  # bits of the broadcast filter on text hashes, 8 MB whatever the input
+
+
+def _filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the hashes modulo FILTER, built by distributed aggregation; 32,768 bits a row."""
+    bit = F.pmod(column, F.lit(FILTER)) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(bit).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in parts:
+        out[(r.n - 1) * 4096 : r.n * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _possibly(held):
+    """Rows (text binary) whose hash may be among the filter's, with the hash; the join after it is exact."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            h = np.array([xxhash.xxh3_64_intdigest(t) - 2**63 if t is not None else 0 for t in batch.column(0).to_pylist()], np.int64)
+            at = h % FILTER
+            ok = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays([pa.array(h).filter(ok), batch.column(0).filter(ok)], ["h_", "t"])
+
+    return run
+
+
 def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = [xxhash.xxh3_64_intdigest(t.encode()) - 2**63 if t is not None else None for t in batch.column("text").to_pylist()]
@@ -249,10 +275,16 @@ def _keyed_by_text(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_text_hash, T.StructType([*docs.schema.fields, T.StructField("h_", T.LongType())]))
 
 
-def _truly_similar(edges: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of edges (a, b, a_h, b_h), those whose texts' shingle sets reach the Jaccard similarity."""
-    asked = edges.select(F.explode(F.array("a_h", "b_h")).alias("h_")).distinct()
-    texts = stash(keyed.select("h_", F.col("text").cast("binary").alias("t")).join(asked, "h_", "left_semi").groupBy("h_").agg(F.first("t").alias("t")))
+def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of edges (a, b, a_h, b_h), those whose texts' shingle sets reach the Jaccard similarity.
+
+    A filter of bounded size keeps most texts that no edge asks for out of the exchange.
+    """
+    asked = stash(edges.select(F.explode(F.array("a_h", "b_h")).alias("h_")).where("h_ is not null").distinct())
+    held = docs.sparkSession.sparkContext.broadcast(_filter(asked, "h_"))
+    arrow_rows(docs.sparkSession)
+    texts = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(_possibly(held), "h_ long, t binary")
+    texts = stash(texts.join(asked, "h_", "left_semi").groupBy("h_").agg(F.first("t").alias("t")))
     a, b = (texts.select(F.col("h_").alias(f"{k}_h"), F.col("t").alias(f"t{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +322,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     near = stash(near.join(a, "a").join(b, "b").withColumn("bits", apart).where(F.col("bits") <= most_bits(similarity - DOUBT)).select("a", "b", "a_h", "b_h", "bits"))
     sure = most_bits(similarity + DOUBT)
     keyed = _keyed_by_text(docs)
-    near = near.where(F.col("bits") <= sure).select("a", "b").unionByName(_truly_similar(near.where(F.col("bits") > sure), keyed, width, similarity))
+    near = near.where(F.col("bits") <= sure).select("a", "b").unionByName(_truly_similar(near.where(F.col("bits") > sure), docs, width, similarity))
     of = components(near, "a", "b")
     rows = rows.join(of, "node", "left")
     per = rows.groupBy(F.coalesce("component", "node").alias("root"), "doc_id", "h").agg(F.count("*").alias("n"))
