@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tessella.llm.common import arrow_rows, stash, unit_hash
 
 LONGEST, BACKOFF, UNDETERMINED = 5, math.log(0.4), "und"
+CACHE = 200_000  # words whose likelihoods a task keeps
 
 
 def words_of(text: str) -> list[str]:
@@ -37,28 +38,27 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """tables[0]: words, tables[n]: character n-grams; each maps to a row of log probabilities by language."""
+    """tables[0]: words, tables[n]: character n-grams; each maps to a row of its matrix of log probabilities by language."""
 
     def __init__(self, langs: list[str], counts: list[tuple[int, str, str, int]]):
         self.langs = langs
         at = {x: i for i, x in enumerate(langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for n, item, lang, c in counts:
-            row = self.tables[n].setdefault(item, np.zeros(len(langs)))
-            row[at[lang]] += c
-        for table in self.tables:
-            total = sum(table.values(), np.zeros(len(langs)))
-            size = len(table)
-            for k, row in table.items():
-                table[k] = np.log((row + 0.1) / (total + 0.1 * (size + 1)))
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        places = [(n, self.tables[n].setdefault(item, len(self.tables[n])), at[lang], c) for n, item, lang, c in counts]
+        self.logs = [np.zeros((len(t), len(langs)), np.float32) for t in self.tables]
+        for n, row, lang, c in places:
+            self.logs[n][row, lang] += c
+        for n, m in enumerate(self.logs):
+            self.logs[n] = np.log((m + 0.1) / (m.sum(axis=0) + 0.1 * (len(m) + 1)))
 
     def word(self, word: str) -> np.ndarray:
         """Log-likelihood by language: the word's, or the mean over its n-grams of the longest length known, backed off."""
         if (row := self.tables[0].get(word)) is not None:
-            return row
+            return self.logs[0][row]
         for step, n in enumerate(range(LONGEST, 0, -1), 1):
-            if found := [r for g in grams(word, n) if (r := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0) + step * BACKOFF
+            get = self.tables[n].get
+            if found := [r for g in grams(word, n) if (r := get(g)) is not None]:
+                return self.logs[n][found].mean(axis=0) + step * BACKOFF
         return np.zeros(len(self.langs))
 
 
@@ -106,29 +106,18 @@ def fit(train: DataFrame, per_lang: int = 600, items: int = 30_000, doc_id: str
 
 
 def _scorer(held, column: int):
-    cache: dict[str, int] = {}
-    rows: list[np.ndarray] = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         width = len(model.langs)
-        matrix = np.zeros((1024, width))
+        cache: dict[str, int] = {}
+        matrix = np.zeros((CACHE, width), np.float32)
 
         def miss(word: str) -> int:
-            nonlocal matrix
-            if len(cache) > 300_000:
-                cache.clear()
-                rows.clear()
             core = letters(word)
-            rows.append(model.word(core) if core else np.zeros(width))
-            cache[word] = i = len(rows) - 1
-            if i >= len(matrix):
-                matrix = np.concatenate([matrix, np.zeros_like(matrix)])
-            matrix[i] = rows[i]
+            cache[word] = i = len(cache)
+            matrix[i] = model.word(core) if core else 0
             return i
 
-        cache.clear()
-        rows.clear()
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(column).to_pylist():
@@ -139,11 +128,10 @@ def _scorer(held, column: int):
                 words, total = words_of(text), np.zeros(width)
                 for at in range(0, len(words), 4096):
                     part = words[at : at + 4096]
-                    if len(cache) > 300_000 - len(part):
+                    if len(cache) > CACHE - len(part):
                         cache.clear()
-                        rows.clear()
                     ids = [i if (i := cache.get(w, -1)) >= 0 else miss(w) for w in part]
-                    total += matrix[ids].sum(axis=0)
+                    total += matrix[ids].sum(axis=0, dtype=np.float64)
                 p = np.exp(total - total.max())
                 p /= p.sum()
                 best = int(p.argmax())
