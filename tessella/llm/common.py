@@ -1,18 +1,16 @@
-"""What the text operators share: durable intermediate tables, Arrow batch size, the document split."""
+"""What the text operators share: Arrow batch size, reads, hash draws; durable tables from the engine."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.durable import shared_dir, stash
+
+__all__ = ["SPACE", "WORD", "arrow_rows", "id_crc", "read", "shared_dir", "stash", "unit_hash"]
+
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,24 +22,6 @@ def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.shared.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tessella-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("tessella.shared.dir", named)
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_crc(doc_id: Column) -> Column:
     """crc32 of doc_id as text; a null id counts as the empty text, whose crc32 is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))
@@ -50,11 +30,3 @@ def id_crc(doc_id: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A draw from (0, 1) that depends on the values alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-
-
-def same(a: DataFrame, b: DataFrame, *cols: str) -> Column:
-    """Null-safe equality on several columns, for joins whose keys may be null."""
-    out = F.lit(True)
-    for c in cols:
-        out = out & a[c].eqNullSafe(b[c])
-    return out

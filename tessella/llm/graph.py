@@ -1,46 +1,5 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components, as the engine has them."""
 
-from __future__ import annotations
+from tessella.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tessella.llm.common import stash
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
-
-
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node long, component long): each node of an edge with the smallest node that it reaches.
-
-    Every step is an aggregation with map-side combine and a join on the node, so a hub is split by adaptive
-    execution; no component is gathered anywhere. Loops and repeated edges are allowed, an empty table gives none.
-    """
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = stash(e)
-    state = _state(e)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        )
-        e = stash(small)
-        was, state = state, _state(e)
-        if was == state:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+__all__ = ["components"]

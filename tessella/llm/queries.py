@@ -68,6 +68,20 @@ def queries() -> dict:
     return dict(QUERIES)
 
 
+#: Every window of every text, counted; covered bytes as islands of window starts. Hexadecimal text stands for bytes.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+ n AS (SELECT rn, doc_id, hx, length(hx) // 2 AS n FROM d),
+ w AS (SELECT rn, i, md5(substr(hx, 2 * i + 1, 400)) AS k FROM (SELECT rn, hx, unnest(range(n - 199)) AS i FROM n WHERE n >= 200)),
+ s AS (SELECT rn, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+ g AS (SELECT rn, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rn ORDER BY i) AS g FROM (SELECT rn, i, lag(i) OVER (PARTITION BY rn ORDER BY i) AS before FROM s)),
+ r AS (SELECT rn, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY rn, g),
+ p AS (SELECT r.rn, a, b, coalesce(lag(b) OVER (PARTITION BY r.rn ORDER BY a), 0) AS pre FROM r),
+ c AS (SELECT p.rn, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(hx, 2 * pre + 1, 2 * (a - pre)), '' ORDER BY a) AS kept, max(b) AS last FROM p JOIN n ON n.rn = p.rn GROUP BY p.rn)
+ SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN c.rn IS NULL THEN hx ELSE kept || substr(hx, 2 * last + 1) END)) AS kept_sha256 FROM n LEFT JOIN c ON c.rn = n.rn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Hashes, draws and models have no SQL here; tests/llm holds these queries against brute force instead."""
-    return {}
+    """The other queries' hashes, draws and models have no SQL here; tests/llm holds them against brute force instead."""
+    return {"op4_suffix_dedup": OP4_SQL}
