@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import arrow_rows, stash
+from tessella.llm.common import arrow_rows
 
 K1, B = 1.2, 0.75
 SHINGLE, SIMILAR = 5, 0.8
@@ -175,6 +175,18 @@ def _expand(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, at
 
 
+def _shares(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
+    """The distinct items with a text, and how many indexes of MOST_ITEMS hold them."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
+    return items, max(1, math.ceil(items.count() / MOST_ITEMS))
+
+
+def _held(items: DataFrame, shares: int, k: int):
+    """The broadcast index of one share of the items."""
+    rows = items.where(F.pmod(F.xxhash64("text"), F.lit(shares)) == k).orderBy("item_id", "text").collect()
+    return items.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): a row for each document and item it leaks.
 
@@ -186,15 +198,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
-    n = items.count()
-    shares = max(1, math.ceil(n / MOST_ITEMS))
+    items, shares = _shares(benchmark, item_id, text)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     item_kind, doc_kind = (x.schema[0].dataType.simpleString() for x in (items, chosen))
 
     def searched(k: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(shares)) == k).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows]))
+        held = _held(items, shares, k)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,6 +221,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that leak an item; all columns kept, null ids too."""
-    bad = stash(leaks(docs, benchmark).select(F.col("doc_id").alias("bad_")).distinct())  # its size is known then
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_"]), "left_anti")
+    """docs without the rows that leak an item; all columns kept. Each row is judged by its own text, whatever its id."""
+    arrow_rows(docs.sparkSession)
+    items, shares = _shares(benchmark)
+
+    def kept(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ok = [not hits for at in range(0, len(texts), 64) for hits in held.value.search(texts[at : at + 64])]
+                yield batch.filter(pa.array(ok, pa.bool_()))
+
+        return run
+
+    out = docs
+    for k in range(shares):
+        out = out.mapInArrow(kept(_held(items, shares, k)), docs.schema)
+    return out

@@ -109,3 +109,12 @@ def test_decontamination_odd_rows(spark, make_docs, monkeypatch, most):
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 5
     assert decontam.leaks(make_docs([]), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_clean_judges_rows_not_ids(spark, make_docs):
+    item = "which river runs through the old town of the northern province then"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = ["a clean text of some words about nothing in particular", "another clean text that shares no passage with any item"]
+    rows = [(None, item), (None, texts[0]), (None, None), (7, item), (7, texts[1]), (7, texts[1])]
+    kept = decontam.clean(make_docs(rows), bench).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, texts[0]), (7, texts[1]), (7, texts[1])]
