@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,8 +20,6 @@ SEED = 42
 CHUNK = 1 << 15
 #: Blocks and how many of them a table's key holds. 7 and 3: any pair at 4 bits of 64 or fewer meets in a table.
 SURE = (7, 3)
-#: For 128 bits, in which a pair at the fraction 0.07 of differing bits meets in one of 45 tables 19 times of 20.
-LIKELY = (10, 2)
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -77,9 +75,14 @@ def masks(bits: int, blocks: int, whole: int) -> list[int]:
     return [sum(block[i] for i in c) for c in combinations(range(blocks), whole)]
 
 
-def forest(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Gap = Callable[[np.ndarray, np.ndarray | int], np.ndarray]
+
+
+def forest(words: np.ndarray, distance: int, gap_of: Gap | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, bits): a minimal spanning forest of distinct fingerprints (rows of 64-bit words), edges at the distance or less.
 
+    gap_of(rows, row): the distances, if not the differing bits.
+
     It connects what all such pairs connect, at this distance and at any smaller one, by fewer edges than there are rows;
     pairs are looked at row by row and never kept.
     """
@@ -88,7 +91,7 @@ def forest(words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np
     best, by = np.full(n - 1, np.iinfo(np.int32).max, np.int32), np.zeros(n - 1, np.int64)
     x, y, d, now = [], [], [], 0
     while len(left):
-        gap = np.bitwise_count(words[left] ^ words[now]).sum(axis=1, dtype=np.int32)
+        gap = gap_of(left, now) if gap_of else np.bitwise_count(words[left] ^ words[now]).sum(axis=1, dtype=np.int32)
         nearer = gap < best
         best[nearer], by[nearer] = gap[nearer], now
         i = int(best.argmin())
@@ -120,17 +123,20 @@ def _linked(distance: int, width: int):
             out.append((node[s + i], node[s + j], gap))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
+    def found(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, d = pairs(*rows)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "bits"])
+
+    return _by_run(found, 1 + width)
+
+
+def _by_run(found: Callable[..., Iterator[pa.RecordBatch]], longs: int):
+    """Rows are (table int, key long, and so many longs more), sorted; found() is given whole runs of (table, key)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All but the last run of what has been read is whole."""
-        held = [np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(2 + width))]
+        held = [np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(1 + longs))]
         waiting: list[list[np.ndarray]] = []
-
-        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if len(rows[0]) > 1:
-                a, b, d = pairs(*rows)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "bits"])
-
         for batch in batches:
             waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if sum(len(x[0]) for x in waiting) < max(1 << 16, len(held[0])):
@@ -139,10 +145,12 @@ def _linked(distance: int, width: int):
             waiting = []
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
             cut = last[-1] + 1 if len(last) else 0
-            yield from out([h[:cut] for h in held])
+            if cut > 1:
+                yield from found(*(h[:cut] for h in held))
             held = [h[cut:] for h in held]
         held = [np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)]
-        yield from out(held)
+        if len(held[0]) > 1:
+            yield from found(*held)
 
     return run
 
@@ -186,11 +194,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id:
 
 # One document of each group of similar ones
 
-WORDS = ("w0", "w1", "w2", "w3")
 LONG = 512  # bits of the fingerprint that measures similarity
-REACH = 30  # differing bits of 128 at which two texts are candidates
+WORDS = tuple(f"w{i}" for i in range(LONG // 64))
 SIMILAR = 0.8
 DOUBT = 0.12  # similarity within which 512 bits may err: three standard deviations
+APART = 0.2  # below the similarity by more than this, the sets aren't compared: five standard deviations
+SHORT = 64  # shingles; fingerprints of fewer say too little, so such texts' sets are always compared
+#: Tables, and minima that a table's key holds: at the similarity 0.8 all of them differ for one pair of 95,000.
+TABLES, MINIMA = 16, 3
 
 
 def most_bits(similarity: float, bits: int = LONG) -> int:
@@ -198,14 +209,18 @@ def most_bits(similarity: float, bits: int = LONG) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _wide(text: bytes, width: int) -> tuple[list[int], bytes]:
-    """Four words of a fingerprint of the text's longer words (for blocks; shingles change too fast), and one of its shingles."""
+STEP = np.arange(1, LONG // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+LEAST = np.uint32(0xFFFFFFFF)
+
+
+def _wide(text: bytes, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many shingles the text has; a fingerprint of them in 64-bit words; and keys of their minima, one a table.
+
+    Two texts have the same least shingle under a hash with the probability of their Jaccard similarity, however they differ.
+    """
     words = text.lower().split()
-    own = {w for w in words if len(w) > 4} or set(words)
-    digests = (xxhash.xxh3_128_digest(w, seed) for w in own for seed in (0, 1))
-    short = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
-    head = np.packbits(votes(short) * 2 > len(short), bitorder="little").view(np.int64).tolist() if len(short) else [0] * 4
-    total, n = np.zeros(LONG, np.int64), 0
+    total, n, least = np.zeros(LONG, np.int64), 0, np.full((MINIMA, TABLES), LEAST)
     if words:
         joined, starts, ends = spans_of(words, width)
         seen = {joined[i:j] for i, j in zip(starts, ends, strict=True)}
@@ -219,10 +234,14 @@ def _wide(text: bytes, width: int) -> tuple[list[int], bytes]:
             part *= np.uint64(0x94D049BB133111EB)
             part ^= part >> np.uint64(31)
             total += votes(part.view(np.uint8).reshape(len(part), -1))
-    return head, np.packbits(total * 2 > n, bitorder="little").tobytes()
-
-
-STEP = np.arange(1, LONG // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(32)
+            for k in range(MINIMA):
+                least[k] = np.minimum(least[k], (part * ODD[k]).view(np.uint32).min(axis=0))
+    key = np.zeros(TABLES, np.uint64)
+    for k in range(MINIMA):
+        key = (key + least[k]) * ODD[k]
+        key ^= key >> np.uint64(29)
+    return n, np.packbits(total * 2 > n, bitorder="little").view(np.int64), key.view(np.int64)
 
 
 def _wide_rows(width: int):
@@ -230,14 +249,69 @@ def _wide_rows(width: int):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = [_wide(t or b"", width) for t in texts]
-            nodes = [xxhash.xxh3_64_intdigest(long + np.array(head).tobytes()) - 2**63 for head, long in rows]
+            nodes = [xxhash.xxh3_64_intdigest(long.tobytes() + key.tobytes()) - 2**63 for _, long, key in rows]
             h = [xxhash.xxh3_64_intdigest(t) - 2**63 if t is not None else None for t in texts]
-            cols = [*(pa.array([r[0][i] for r in rows], pa.int64()) for i in range(4)), pa.array([r[1] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(nodes, pa.int64()), *cols], ["doc_id", "h", "node", *WORDS, "long"])
+            words = np.array([r[1] for r in rows], np.int64).reshape(-1, len(WORDS))
+            keys = pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))
+            cols = [pa.array(h, pa.int64()), pa.array(nodes, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *map(pa.array, words.T.copy()), keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "h", "node", "size", *WORDS, "keys"])
 
     return run
 
 
+def _met(close: int, far: int, rest: bool):
+    """Of rows (table, key, node, component, size, words...): pairs at `far` bits or fewer that meet, as (a, b, bits).
+
+    A pair with a text of fewer than SHORT shingles counts as over `close`, and `far` at most. Runs of 8 or fewer give all
+    their pairs. Others give a minimal spanning forest, and where its edges of `close` bits don't connect the run, also its
+    rows, as (node, null, null, table, key); with rest they give all pairs of different components over `close` instead.
+    """
+    def found(table: np.ndarray, key: np.ndarray, node: np.ndarray, component: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, short = np.stack([w.view(np.uint64) for w in words], axis=1), size < SHORT
+
+        def gap_of(i, j) -> np.ndarray:
+            gap = np.bitwise_count(u[i] ^ u[j]).sum(axis=1, dtype=np.int32)
+            return np.where(short[i] | short[j], np.clip(gap, close + 1, far), gap).astype(np.int32)
+
+        def pairs(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits, pa.int32()), none.cast(pa.int32()), none], ["a", "b", "bits", "t", "k"])
+
+        new = np.concatenate(([True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
+        first = np.flatnonzero(new)
+        run = np.diff(np.append(first, len(node)))
+        if not rest:
+            group, small = np.cumsum(new), np.repeat(run, run) <= 8
+            for off in range(1, 8):
+                i = np.flatnonzero((group[off:] == group[:-off]) & small[off:])
+                gap = gap_of(i, i + off)
+                yield pairs(node[i[gap <= far]], node[i[gap <= far] + off], gap[gap <= far])
+        for s, n in zip(first[run > 8].tolist(), run[run > 8].tolist(), strict=True):
+            if rest:
+                for i in range(s, s + n - 1):
+                    j = np.arange(i + 1, s + n)
+                    j = j[component[j] != component[i]]
+                    gap = gap_of(j, i)
+                    ok = (gap > close) & (gap <= far)
+                    if ok.any():
+                        yield pairs(np.full(ok.sum(), node[i]), node[j[ok]], gap[ok])
+                continue
+            x, y, gap = forest(u[s : s + n], far, lambda i, j, s=s: gap_of(i + s, j + s))
+            yield pairs(node[s + x], node[s + y], gap)
+            if (gap <= close).sum() < n - 1:
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(node[s : s + n]), none, none.cast(pa.int32()), pa.array(table[s : s + n], pa.int32()), pa.array(key[s : s + n])], ["a", "b", "bits", "t", "k"])
+
+    return _by_run(found, 3 + len(WORDS))
+
+
+def _meetings(rows: DataFrame, close: int, far: int, rest: bool = False) -> DataFrame:
+    """_met() over rows (t, k, node, component, size, words)."""
+    arrow_rows(rows.sparkSession, 20_000)
+    dealt = rows.select("t", "k", "node", "component", "size", *WORDS).repartition("t", "k").sortWithinPartitions("t", "k", "node")
+    return dealt.mapInArrow(_met(close, far, rest), "a long, b long, bits int, t int, k long")
+
+
 FILTER = 1 << 26  # bits of the broadcast filter on text hashes, 8 MB whatever the input
 
 
@@ -306,24 +380,30 @@ def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: fl
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (nulls first); all columns kept.
 
-    Two texts are similar if their sets of word shingles have the Jaccard similarity. A 512-bit SimHash of the shingles
-    tells by its Hamming distance, and where that is within DOUBT of the similarity the sets are compared. Candidates come
-    from pigeonhole tables over two 128-bit SimHashes of their longer words, whose minimal spanning forests keep what is
-    closest linked; groups are the components. Texts without words are one group. Equal rows leave one.
+    Two texts are similar if their sets of word shingles have the Jaccard similarity. Candidates come from tables over the
+    sets' minima. A 512-bit SimHash of the shingles tells by its Hamming distance, and where that is within DOUBT of the
+    similarity, or texts are short, the sets are compared. Large runs of a table first give a minimal spanning forest by that
+    distance, then all pairs between what it leaves apart; groups are the components. Texts without words are one group.
+    Equal rows leave one.
     """
     arrow_rows(docs.sparkSession)
+    close, far = most_bits(similarity + DOUBT), most_bits(similarity - APART)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = stash(body.mapInArrow(_wide_rows(width), f"doc_id long, h long, node long, {', '.join(f'{w} long' for w in WORDS)}, long binary"))
-    nodes = stash(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in (*WORDS, "long", "h"))))
-    near = links(nodes, REACH, LIKELY, WORDS[:2], "node").unionByName(links(nodes, REACH, LIKELY, WORDS[2:], "node")).select("a", "b").distinct()
-    a, b = (nodes.select(F.col("node").alias(k), F.col("long").alias(f"{k}_long"), F.col("h").alias(f"{k}_h")) for k in "ab")
-    part = lambda c, i: F.conv(F.hex(F.substring(c, i, 4)), 16, 10).cast("long")
-    apart = sum((F.bit_count(part(F.col("a_long"), i).bitwiseXOR(part(F.col("b_long"), i))) for i in range(1, LONG // 8, 4)), F.lit(0))
-    near = stash(near.join(a, "a").join(b, "b").withColumn("bits", apart).where(F.col("bits") <= most_bits(similarity - DOUBT)).select("a", "b", "a_h", "b_h", "bits"))
-    sure = most_bits(similarity + DOUBT)
-    keyed = _keyed_by_text(docs)
-    near = near.where(F.col("bits") <= sure).select("a", "b").unionByName(_truly_similar(near.where(F.col("bits") > sure), docs, width, similarity))
+    rows = stash(body.mapInArrow(_wide_rows(width), f"doc_id long, h long, node long, size long, {', '.join(f'{w} long' for w in WORDS)}, keys array<long>"))
+    nodes = stash(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", "size", *WORDS, "keys"))))
+    rows = rows.select("doc_id", "h", "node")
+    keyed = nodes.select("node", F.lit(0).cast("long").alias("component"), "size", *WORDS, F.posexplode("keys").alias("t", "k"))
+    met = stash(_meetings(keyed, close, far))
+    a, b = (nodes.select(F.col("node").alias(k), F.col("h").alias(f"{k}_h")) for k in "ab")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stash(_truly_similar(stash(pairs.join(a, "a").join(b, "b").select("a", "b", "a_h", "b_h")), docs, width, similarity))
+
+    pairs = met.where("b is not null").select("a", "b", "bits").distinct()
+    tried = pairs.where(F.col("bits") > close).select("a", "b")
+    near = pairs.where(F.col("bits") <= close).select("a", "b").unionByName(verified(tried))
     of = components(near, "a", "b")
+    keyed = _keyed_by_text(docs)
     rows = rows.join(of, "node", "left")
     per = rows.groupBy(F.coalesce("component", "node").alias("root"), "doc_id", "h").agg(F.count("*").alias("n"))
     kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("k_"), F.col("x.h").alias("t_"), F.col("x.n").alias("n_"))

@@ -119,3 +119,28 @@ def test_distinct_documents_keep_columns_and_odd_rows(spark, make_docs):
     texts = [r.text for r in out.collect()]
     assert len([t for t in texts if not (t or "").strip()]) == 1  # all without words are one group
     assert texts.count("same text of several words here") == 1 and len(texts) == len(set(texts))
+
+
+def shingled(text, width=5):
+    w = text.split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def alike(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_appended_and_cut_copies_leave_one(spark, make_docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 11)))
+    rows = []
+    for g in range(150):
+        n = rng.choice((8, 20, 60, 300, 900))
+        base = [word() for _ in range(n)]
+        more = int((n - 4) * rng.uniform(0.2, 0.25))
+        longer, shorter = base + [word() for _ in range(more)], base[more - n // 20 :]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(longer if g % 2 else shorter))]
+    rows = [r for g in range(150) for r in rows[2 * g : 2 * g + 2] if alike(*(shingled(t) for _, t in rows[2 * g : 2 * g + 2]))]
+    assert len(rows) > 200
+    got = {r.doc_id for r in simhash.distinct_documents(make_docs(rows)).collect()}
+    assert got == {i for i, _ in rows if i % 2 == 0}
