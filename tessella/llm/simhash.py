@@ -403,6 +403,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     tried = pairs.where(F.col("bits") > close).select("a", "b")
     near = pairs.where(F.col("bits") <= close).select("a", "b").unionByName(verified(tried))
     of = components(near, "a", "b")
+    apart = met.where("b is null").select(F.col("a").alias("node"), "t", "k")
+    if not apart.isEmpty():
+        apart = apart.join(nodes.select("node", "size", *WORDS), "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = _meetings(apart, close, far, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        of = components(near.unionByName(verified(more)), "a", "b")
     keyed = _keyed_by_text(docs)
     rows = rows.join(of, "node", "left")
     per = rows.groupBy(F.coalesce("component", "node").alias("root"), "doc_id", "h").agg(F.count("*").alias("n"))

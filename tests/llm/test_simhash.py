@@ -144,3 +144,26 @@ def test_appended_and_cut_copies_leave_one(spark, make_docs):
     assert len(rows) > 200
     got = {r.doc_id for r in simhash.distinct_documents(make_docs(rows)).collect()}
     assert got == {i for i, _ in rows if i % 2 == 0}
+
+
+def test_large_runs_keep_every_pair(spark, make_docs):
+    """Texts of one family whose pairs lie on both sides of the similarity: closed by exact sets of all pairs."""
+    rng = random.Random(9)
+    rows = []
+    for f, n in enumerate((100, 240, 400)):
+        base = [f"f{f}w{i}" for i in range(n)]
+        for k in range(60):
+            w = list(base)
+            for i in rng.sample(range(n), n // 80 + rng.randrange(2)):
+                w[i] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * f + k, " ".join(w)))
+    sets = [shingled(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        new = [min(label[j] for j in range(len(rows)) if alike(sets[i], sets[j])) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    got = sorted(r.doc_id for r in simhash.distinct_documents(make_docs(rows)).collect())
+    assert got == sorted({rows[x][0] for x in label})
+    assert 10 < len(got) < 170
