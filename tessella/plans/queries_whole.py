@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import grid
+from tessella.operators import components, grid
 from tessella.plans.registry import query
 from tessella.sources import fixtures as X
 
@@ -77,3 +77,13 @@ def op_J05_scale_alignment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = X.channels(tok).where("ch = 0")
     half = ch.groupBy(F.lit("e0").alias("image_id"), F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(F.avg("v").alias("v"), F.count("*").alias("n")).where("n = 4")
     return grid.bilinear(half, "v", *_size(half), 0.5, tok).select("y", "x", F.round("v", 6).alias("v"))
+
+
+@query()
+def op_K08_component_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component's place within its label: by area, largest first, then bounds (x0, y0, x1, y1) and a digest of its cells."""
+    cells = components.label_components(X.raster(spark, sf_dir), "pred", block=64)
+    digest = cells.groupBy("image_id", "component").agg(F.sum(F.xxhash64("y", "x").cast("decimal(38,0)")).cast("string").alias("digest"))
+    t = components.component_table(cells).join(digest, ["image_id", "component"])
+    order = Window.partitionBy("image_id", "label").orderBy(F.desc("area"), "x0", "y0", "x1", "y1", "digest")
+    return t.withColumn("rank", F.row_number().over(order).cast("long")).select("label", "rank", "area", "x0", "y0", "x1", "y1")

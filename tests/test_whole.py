@@ -109,3 +109,21 @@ def test_tokens(spark, tokens):
     half = np.array([[np.mean([tokens[2 * y + i, 2 * x + j] for i, j in np.ndindex(2, 2)]) for x in range(10)] for y in range(h // 2)])
     ys, xs = np.array(sorted(tokens)).T
     close(got(spark, "J05_scale_alignment"), dict(zip(zip(ys.tolist(), xs.tolist(), strict=True), linear(half, ys, xs), strict=True)))
+
+
+def test_component_order_has_all(spark, raster):
+    p = raster["pred"]
+    left, want = set(np.ndindex(p.shape)), {}
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            y, x = todo.pop()
+            part.append((y, x))
+            near = {(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)} & left
+            near = {q for q in near if p[q] == p[y, x]}
+            left -= near
+            todo += near
+        ys, xs = zip(*part, strict=True)
+        want.setdefault(int(p[part[0]]), []).append((-len(part), min(xs), min(ys), max(xs), max(ys)))
+    rows = sorted(tuple(r) for r in QUERIES["op_K08_component_order_whole"](spark, SF).collect())
+    assert rows == [(c, i + 1, -o[0], *o[1:]) for c in sorted(want) for i, o in enumerate(sorted(want[c]))]
