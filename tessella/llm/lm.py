@@ -189,11 +189,9 @@ def _gradients(w: np.ndarray, rows: np.ndarray, g: np.ndarray, seen: np.ndarray,
     w[name] -= total
 
 
-def learn(model: Model, symbols: list[np.ndarray], phases: list[int], stride: int, seen: list[np.ndarray], power: list[np.ndarray], rate: float, batch: int = 2048) -> None:
-    """Steps on the log loss of the targets whose place in their text is the text's phase modulo stride."""
+def learn(model: Model, symbols: list[np.ndarray], seen: list[np.ndarray], power: list[np.ndarray], rate: float, batch: int = 2048) -> None:
+    """Steps on the log loss of every target of the texts."""
     cls, at, rows_1, rows_2 = model.places(symbols)
-    pick = np.concatenate([(np.arange(len(s)) + p) % stride == 0 for s, p in zip(symbols, phases, strict=True)])
-    cls, at, rows_1, rows_2 = cls[pick], at[pick], rows_1[:, pick], rows_2[:, pick]
     for lo in range(0, len(cls), batch):
         own = slice(lo, lo + batch)
         y, r1 = cls[own], rows_1[:, own]
@@ -210,7 +208,7 @@ def learn(model: Model, symbols: list[np.ndarray], phases: list[int], stride: in
             _gradients(model.w2, r2, g, seen[1], power[1], rate)
 
 
-def _trained(held, stride: int, rate: float):
+def _trained(held, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's own steps from the shared weights; gives its changes, weighted by each row's uses."""
         start: Model = held.value
@@ -224,7 +222,7 @@ def _trained(held, stride: int, rate: float):
             symbols = [model.encode(t, odd)[1] for t in batch.column(0).to_pylist()]
             if symbols:
                 any_ = True
-                learn(model, symbols, batch.column(1).to_pylist(), stride, seen, power, rate)
+                learn(model, symbols, seen, power, rate)
         if any_:
             rows = []
             for layer, (w, w0, n) in enumerate(((model.w1, start.w1, seen[0]), (model.w2, start.w2, seen[1]))):
@@ -250,13 +248,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([total[k][i].astype(np.float32).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["block", "d", "n"])
 
 
-def fit(train: DataFrame, doc_id: Column, rounds: int = 3, stride: int = 4, rate: float = 0.5, text: str = "text") -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, doc_id: Column, rounds: int = 3, rate: float = 0.5, text: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the count table (word, r, c) of train.
 
     Counts cover every token. Gradient updates run in `rounds`: each training text is in one of them by the hash of its
-    id, and gives every stride-th of its places as a target (its whole text as context), so the work grows with the
-    corpus. In a round each task steps from the shared weights; the changes are averaged over tasks by each weight row's
-    uses, summed block by block on the executors. The driver holds the model alone: TOP words and 4 MB of weights.
+    id, and gives each of its places as a target, so the work grows with the corpus. In a round each task steps from the
+    shared weights; the changes are averaged over tasks by each weight row's uses, summed block by block on the executors. The driver holds the model alone: TOP words and 4 MB of weights.
     """
     spark = train.sparkSession
     arrow_rows(spark)
@@ -273,9 +270,9 @@ def fit(train: DataFrame, doc_id: Column, rounds: int = 3, stride: int = 4, rate
     model_rows = [(model.w1, ROWS_1), (model.w2, ROWS_2)]
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        part = body.where(F.pmod("h", F.lit(rounds)) == r).select("text", F.pmod(F.shiftright("h", 8), F.lit(stride)).cast("int").alias("phase"))
+        part = body.where(F.pmod("h", F.lit(rounds)) == r).select("text")
         arrow_rows(spark)
-        changes = part.mapInArrow(_trained(held, stride, rate), "block int, d binary, n binary").repartition(BLOCKS, "block").mapInArrow(_summed, "block int, d binary, n binary").collect()
+        changes = part.mapInArrow(_trained(held, rate), "block int, d binary, n binary").repartition(BLOCKS, "block").mapInArrow(_summed, "block int, d binary, n binary").collect()
         for block, d, uses in changes:
             w, rows = model_rows[block // BLOCKS]
             k, step = block % BLOCKS, rows // BLOCKS

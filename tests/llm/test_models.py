@@ -137,3 +137,9 @@ def test_lm_probabilities_sum_to_one():
         places = model.places([np.array([*context, lm.COMMON + k])])
         total += math.exp(model.log_p(*places)[-1]) * 0.5 / model.rare_mass[k]
     assert abs(total - 1) < 1e-4
+
+
+def test_every_place_of_a_text_trains(spark, make_docs):
+    model, _ = lm.fit(make_docs([(1, "alpha beta")]), F.col("doc_id"), rounds=1)
+    cls, _, rows_1, _ = model.places([model.encode(b"alpha beta", {})[1]])
+    assert len(cls) == 3 and model.w1[rows_1].any(axis=2).all()
