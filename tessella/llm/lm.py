@@ -4,31 +4,39 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, stash
+from tessella.llm.common import batches_of, stash, unit_hash
 
 END = b""  # no word is empty
-WITHIN, FREQUENT, RARE = 32, 32, 32  # words of a frequent class; frequent and rare classes
+WITHIN, FREQUENT, RARE = 64, 32, 32  # words of a frequent class; frequent and rare classes
 COMMON = WITHIN * FREQUENT
 CONTEXTS = COMMON + RARE + 1  # a context is a frequent word, a rare class or the start
-ROWS_1, ROWS_2 = 1 << 13, 1 << 14  # hashed weight rows of the class layer and the word layer
-BLOCKS = 32  # a layer's rows travel in so many blocks
+ROWS_1, ROWS_2 = 1 << 14, 1 << 14  # hashed weight rows of the class layer and the word layer
+BLOCKS, GROUPS = 32, 16  # a layer's rows travel in so many blocks, summed in so many groups first
 TOP = 1 << 17  # each scorer holds the counts of at most so many words, the most frequent; the others' counts are joined
-CHUNK = 4096
+CHUNK, PIECE = 4096, 16 << 20
+PRIOR = 3.0  # observations added to what is seen and to what is expected of each feature and class
 LOW = np.float32(-1e9)
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of binary texts: the distinct tokens, the tokens' places among them, and where each text's tokens end.
+
+    A-Z are lowered, the six ASCII spaces part words, and each text ends in END. Null counts as empty.
+    """
+    s = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    s = pc.if_else(pc.equal(pc.binary_length(s), 0), s, pc.binary_join_element_wise(s, pa.scalar(""), " "))  # the last part is END
+    parts = pc.ascii_split_whitespace(s)
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def rare_class(word: bytes) -> int:
@@ -41,13 +49,13 @@ class Model:
     P(word | context) is P(class | context) * P(word | class, context). The COMMON most frequent tokens make up FREQUENT
     classes by rank; all others, seen or not, fall into RARE classes by their spelling, where they share the mass as
     (c + 0.5) / (N_r + 0.5 * (V_r + 1)), the unseen counting as one. Context features: the word before, the two words
-    before as a pair (hashed), and the words two and three before alone (skips). Offsets are corpus log shares, so
+    before as a pair (hashed), and the word two before alone (a skip). Offsets are corpus log shares, so
     untrained weights give the unigram model.
     """
 
     def __init__(self, n: int, v: int, top: list[tuple[bytes, int]], rare: dict[int, tuple[int, int]]):
         self.n, self.v = n, v
-        self.words = {w: i for i, (w, _) in enumerate(top)}
+        self.words = pa.array([w for w, _ in top], pa.binary())
         self.counts = np.array([c for _, c in top], np.float64)
         self.symbol = np.array([i if i < COMMON else COMMON + rare_class(w) for i, (w, _) in enumerate(top)] + [0], np.int64)
         common = np.zeros(COMMON)
@@ -64,36 +72,27 @@ class Model:
         self.w1 = np.zeros((ROWS_1, FREQUENT + RARE), np.float32)
         self.w2 = np.zeros((ROWS_2, WITHIN), np.float32)
 
-    def encode(self, text: bytes | None, odd: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ranks of a text's tokens (-1 outside the top), their symbols (rank, or COMMON + rare class), the words outside."""
-        words = tokens_of(text)
-        rank = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of distinct words (-1 outside the top), and their symbols (rank, or COMMON + rare class)."""
+        rank = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         symbol = self.symbol[rank]
-        if len(odd) > 300_000:
-            odd.clear()
-        outside = np.flatnonzero(rank < 0).tolist()
-        others = [words[i] for i in outside]
-        for w in others:
-            if w not in odd:
-                odd[w] = COMMON + rare_class(w)
-        symbol[outside] = [odd[w] for w in others]
-        return rank, symbol, others
-
-    def places(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Of all tokens of some texts: class, place in it (frequent classes), and the weight rows of either layer."""
-        t = np.concatenate(symbols)
-        size = np.array([len(s) for s in symbols])
-        begin = np.cumsum(size) - size
-        place = np.arange(len(t)) - np.repeat(begin, size)
+        outside = np.flatnonzero(rank < 0)
+        symbol[outside] = [COMMON + rare_class(w) for w in words.take(pa.array(outside)).to_pylist()]
+        return rank, symbol
+
+    def places(self, t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the symbols t of all tokens of some texts: class, place in it (frequent classes), and the weight rows of either layer."""
+        begin = np.concatenate(([0], ends[:-1]))
+        place = np.arange(len(t)) - np.repeat(begin, ends - begin)
         c = []
-        for back in (1, 2, 3):
+        for back in (1, 2):
             before = np.empty_like(t)
             before[back:] = t[:-back]
             before[place < back] = CONTEXTS - 1
             c.append(before)
         cls = np.where(t < COMMON, t // WITHIN, t - COMMON + FREQUENT)
-        pair = 3 * CONTEXTS + _hash(c[0] * CONTEXTS + c[1]) % (ROWS_1 - 3 * CONTEXTS)
-        rows_1 = np.stack((c[0], CONTEXTS + c[1], 2 * CONTEXTS + c[2], pair))
+        pair = 2 * CONTEXTS + _hash(c[0] * CONTEXTS + c[1]) % (ROWS_1 - 2 * CONTEXTS)
+        rows_1 = np.stack((c[0], CONTEXTS + c[1], pair))
         rows_2 = np.stack([_hash((k * CONTEXTS + c[k]) * FREQUENT + cls) % ROWS_2 for k in (0, 1)])
         return cls, t % WITHIN, rows_1, rows_2
 
@@ -103,23 +102,27 @@ class Model:
         for lo in range(0, len(cls), CHUNK):
             own = slice(lo, lo + CHUNK)
             x, y = self.layer_1(rows_1[:, own]), cls[own]
-            p = x[np.arange(len(y)), y] - _lse(x)
+            p = x[np.arange(len(y)), y]
+            p -= _lse(x)
             f = np.flatnonzero(y < FREQUENT)
             if len(f):
                 z = self.layer_2(rows_2[:, own][:, f], y[f])
-                p[f] += z[np.arange(len(f)), at[own][f]] - _lse(z)
+                p[f] += z[np.arange(len(f)), at[own][f]]
+                p[f] -= _lse(z)
             out[own] = p
         return out
 
     def layer_1(self, rows: np.ndarray) -> np.ndarray:
-        x = self.w1[rows[0]] + self.offset_1
+        x = self.w1[rows[0]]
         for r in rows[1:]:
             x += self.w1[r]
+        x += self.offset_1
         return x
 
     def layer_2(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        x = self.offset_2[cls] + self.w2[rows[0]]
-        x += self.w2[rows[1]]
+        x = self.offset_2[cls]
+        for r in rows:
+            x += self.w2[r]
         return x
 
 
@@ -129,155 +132,157 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials; offsets are log shares and weights are small, so none overflows."""
-    return np.log(np.exp(x).sum(axis=1))
+    """Log of the sum of exponentials, x overwritten; offsets are log shares and weights are small, so none overflows."""
+    return np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _share(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x)
-    e /= e.sum(axis=1, keepdims=True)
-    return e
+    np.exp(x, out=x)
+    x *= (1 / x.sum(axis=1))[:, None]
+    return x
 
 
 # Counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    for piece in batches_of(batches, 0, 1 << 14, PIECE):
+        words, at, _ = tokens_of(piece.column(0))
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)))], ["word", "c"])
 
-    def out() -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([rare_class(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "r", "c"])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens_of(text))
-            if len(counts) > 300_000:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+def count_tokens(texts: DataFrame) -> DataFrame:
+    """(word binary, c): counts of every token of column text, by partial counts in each task and a sum by word."""
+    return texts.mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_tokens(texts: DataFrame) -> DataFrame:
-    """(word binary, r, c): counts of every token of column text, by partial counts in each task and a sum by word."""
-    return texts.mapInArrow(_counted, "word binary, r int, c long").groupBy("word", "r").agg(F.sum("c").alias("c"))
+def _rare_class(word: str) -> Column:
+    """rare_class() as a column."""
+    w = F.col(word)
+    last = F.when(F.octet_length(w) < 2, w).otherwise(F.substring(w, F.octet_length(w) - 1, F.lit(2)))
+    return (F.crc32(F.concat(F.substring(w, 1, 2), F.lit(b" "), last)) % RARE).cast("int")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The (word, c) of about the `most` most frequent words; of those tied at the edge, as many as fit, by a hash of the word.
+
+    The least count is found from two small histograms, by the sixteenth of an octave and then within the one at the edge.
+    """
+    octave = F.floor(F.log2("c") * 16).cast("long")
+    room, edge = most, None
+    for b, words in sorted(((r[0], r[1]) for r in counts.groupBy(octave).count().collect()), reverse=True):
+        if words > room:
+            edge = b
+            break
+        room -= words
+    if edge is None:
+        return counts
+    least, share = None, 0.0
+    for c, words in sorted(((r[0], r[1]) for r in counts.where(octave == edge).groupBy("c").count().collect()), reverse=True):
+        least, share = c, min(1.0, room / words)
+        if words > room:
+            break
+        room -= words
+    return counts.where((F.col("c") > least) | ((F.col("c") == least) & (unit_hash("word") < share)))
 
 
 # Training
 
 
-def _gradients(w: np.ndarray, rows: np.ndarray, g: np.ndarray, seen: np.ndarray, power: np.ndarray, rate: float) -> None:
-    """Add g's rows up by weight row and take a step there; power: each row's sum of squares so far."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    name = ordered[first]
-    n = np.diff(np.append(first, len(flat)))
-    at = order % g.shape[0]
-    total, live, k = g[at[first]], np.flatnonzero((n > 1) & (n <= 16)), 1  # most rows have few uses: their k-th uses together
-    while len(live):
-        total[live] += g[at[first[live] + k]]
-        k += 1
-        live = live[n[live] > k]
-    for i in np.flatnonzero(n > 16):
-        total[i] = g[at[first[i] : first[i] + n[i]]].sum(axis=0)
-    seen[name] += n
-    power[name] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-    total *= (rate / np.sqrt(power[name] + 1.0))[:, None]
-    w[name] -= total
-
-
-def learn(model: Model, symbols: list[np.ndarray], seen: list[np.ndarray], power: list[np.ndarray], rate: float, batch: int = 2048) -> None:
-    """Steps on the log loss of every target of the texts."""
-    cls, at, rows_1, rows_2 = model.places(symbols)
-    for lo in range(0, len(cls), batch):
-        own = slice(lo, lo + batch)
-        y, r1 = cls[own], rows_1[:, own]
-        x = model.layer_1(r1)
-        g = _share(x)
-        g[np.arange(len(y)), y] -= 1
-        _gradients(model.w1, r1, g, seen[0], power[0], rate)
-        f = np.flatnonzero(y < FREQUENT)
-        if len(f):
-            r2 = rows_2[:, own][:, f]
-            z = model.layer_2(r2, y[f])
-            g = _share(z)
-            g[np.arange(len(f)), at[own][f]] -= 1
-            _gradients(model.w2, r2, g, seen[1], power[1], rate)
-
-
-def _trained(held, rate: float):
+def _expected(into: np.ndarray, rows: np.ndarray, share: np.ndarray) -> None:
+    """Add share's rows up by weight row: most have few uses, whose k-th ones are added together."""
+    for r in rows.astype(np.uint16 if len(into) <= 1 << 16 else np.int64):
+        order = np.argsort(r, kind="stable")
+        r, use = r[order], share[order]
+        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        n = np.diff(np.append(first, len(r)))
+        total, live, k = use[first], np.flatnonzero((n > 1) & (n <= 16)), 1
+        while len(live):
+            total[live] += use[first[live] + k]
+            k += 1
+            live = live[n[live] > k]
+        for i in np.flatnonzero(n > 16):
+            total[i] = use[first[i] : first[i] + n[i]].sum(axis=0)
+        into[r[first]] += total
+
+
+def _gathered(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's own steps from the shared weights; gives its changes, weighted by each row's uses."""
-        start: Model = held.value
-        model = Model.__new__(Model)
-        model.__dict__ = dict(start.__dict__, w1=start.w1.copy(), w2=start.w2.copy())
-        seen = [np.zeros(ROWS_1), np.zeros(ROWS_2)]
-        power = [np.zeros(ROWS_1, np.float32), np.zeros(ROWS_2, np.float32)]
-        odd: dict[bytes, int] = {}
+        """What the task's texts show of each weight (its feature and its class together), and what the model expects there."""
+        model: Model = held.value
+        seen = [np.zeros(w.shape) for w in (model.w1, model.w2)]
+        hoped = [np.zeros(w.shape) for w in (model.w1, model.w2)]
         any_ = False
-        for batch in batches:
-            symbols = [model.encode(t, odd)[1] for t in batch.column(0).to_pylist()]
-            if symbols:
-                any_ = True
-                learn(model, symbols, seen, power, rate)
+        for piece in batches_of(batches, 0, 1 << 14, PIECE // 2):
+            words, at, ends = tokens_of(piece.column(0))
+            cls, place, rows_1, rows_2 = model.places(model.encode(words)[1][at], ends)
+            any_ = True
+            frequent = cls < FREQUENT
+            for total, rows, y in ((seen[0], rows_1, cls), (seen[1], rows_2[:, frequent], place[frequent])):
+                for r in rows:
+                    total += np.bincount(r * total.shape[1] + y, minlength=total.size).reshape(total.shape)
+            for lo in range(0, len(cls), CHUNK):
+                own = slice(lo, lo + CHUNK)
+                _expected(hoped[0], rows_1[:, own], _share(model.layer_1(rows_1[:, own])))
+                f = frequent[own]
+                if f.any():
+                    r2 = rows_2[:, own][:, f]
+                    _expected(hoped[1], r2, _share(model.layer_2(r2, cls[own][f])))
         if any_:
-            rows = []
-            for layer, (w, w0, n) in enumerate(((model.w1, start.w1, seen[0]), (model.w2, start.w2, seen[1]))):
-                change = ((w - w0) * n[:, None]).astype(np.float32)
-                for k, (d, m) in enumerate(zip(np.split(change, BLOCKS), np.split(n, BLOCKS), strict=True)):
-                    if m.any():
-                        rows.append((layer * BLOCKS + k, d.tobytes(), m.astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "d", "n"])
+            group = (TaskContext.get().partitionId() if TaskContext.get() else 0) % GROUPS
+            rows = [(layer * BLOCKS + k, a.astype(np.float32).tobytes(), b.astype(np.float32).tobytes()) for layer in (0, 1) for k, (a, b) in enumerate(zip(np.split(seen[layer], BLOCKS), np.split(hoped[layer], BLOCKS), strict=True)) if a.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([group] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["block", "part", "seen", "hoped"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, list[np.ndarray]] = {}
+    total: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
-        for block, d, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            both = np.frombuffer(d, np.float32), np.frombuffer(n, np.float32)
-            held = total.setdefault(block, [np.zeros(len(x)) for x in both])
+        for block, part, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            both = np.frombuffer(a, np.float32), np.frombuffer(b, np.float32)
+            held = total.setdefault((block, part), [np.zeros(len(x)) for x in both])
             for h, x in zip(held, both, strict=True):
                 h += x
     if total:
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([total[k][i].astype(np.float32).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["block", "d", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)), *(pa.array([total[k][i].astype(np.float32).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["block", "part", "seen", "hoped"])
+
+
+def updates(train: DataFrame, held) -> list:
+    """Rows (block, part, seen, hoped) of all the texts: sums over tasks in groups, then over groups; no task sees all partial sums."""
+    kind = "block int, part int, seen binary, hoped binary"
+    grouped = train.mapInArrow(_gathered(held), kind).repartition(BLOCKS * GROUPS // 4, "block", "part").mapInArrow(_summed, kind)
+    return grouped.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInArrow(_summed, kind).collect()
+
+
+def step(model: Model, sums: list) -> None:
+    """One update: each weight moves by the log of seen to expected, over the features that are on together (iterative scaling)."""
+    for block, _, seen, hoped in sums:
+        w, on = ((model.w1, 3), (model.w2, 2))[block // BLOCKS]
+        k, rows = block % BLOCKS, len(w) // BLOCKS
+        a, b = (np.frombuffer(x, np.float32).reshape(rows, -1) + PRIOR for x in (seen, hoped))
+        w[k * rows : (k + 1) * rows] += np.log(a / b) / on
 
 
-def fit(train: DataFrame, doc_id: Column, rounds: int = 3, rate: float = 0.5, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the count table (word, r, c) of train.
+def fit(train: DataFrame, doc_id: Column, rounds: int = 3, text: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and the count table (word, c) of train.
 
-    Counts cover every token. Gradient updates run in `rounds`: each training text is in one of them by the hash of its
-    id, and gives each of its places as a target, so the work grows with the corpus. In a round each task steps from the
-    shared weights; the changes are averaged over tasks by each weight row's uses, summed block by block on the executors. The driver holds the model alone: TOP words and 4 MB of weights.
+    Counts cover every token. Updates run in `rounds`: each training text is in one of them by the hash of its id, and
+    gives each of its places as a target, so the work grows with the corpus. In a round all tasks look at the same weights;
+    what they see and expect is summed over tasks in two levels, and one step is taken, so the model doesn't depend on how
+    the texts are dealt to tasks (but for rounding). The driver holds the model alone: about TOP words and 20 MB of sums.
     """
     spark = train.sparkSession
-    arrow_rows(spark)
     body = train.select(F.col(text).cast("binary").alias("text"), F.xxhash64(doc_id.cast("string")).alias("h"))
     counts = stash(count_tokens(body.select("text")))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    # all words over a count, the least one that leaves TOP or fewer: from how many words have each count, with no global sort
-    upto = F.sum("words").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    least = counts.groupBy("c").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= TOP).agg(F.min("c")).first()[0]
-    top = (counts.where(F.col("c") >= least) if least else counts.limit(0)).select("word", "c").toArrow()
-    top = top.sort_by([("c", "descending"), ("word", "ascending")])
-    rare = {r[0]: (r[1], r[2]) for r in counts.groupBy("r").agg(F.sum("c"), F.count("*")).collect()}
+    top = most_frequent(counts, TOP).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    rare = {r[0]: (r[1], r[2]) for r in counts.groupBy(_rare_class("word")).agg(F.sum("c"), F.count("*")).collect()}
     model = Model(n or 0, v or 0, list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)), rare)
-    model_rows = [(model.w1, ROWS_1), (model.w2, ROWS_2)]
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        part = body.where(F.pmod("h", F.lit(rounds)) == r).select("text")
-        arrow_rows(spark)
-        changes = part.mapInArrow(_trained(held, rate), "block int, d binary, n binary").repartition(BLOCKS, "block").mapInArrow(_summed, "block int, d binary, n binary").collect()
-        for block, d, uses in changes:
-            w, rows = model_rows[block // BLOCKS]
-            k, step = block % BLOCKS, rows // BLOCKS
-            uses = np.frombuffer(uses, np.float32)[:, None]
-            w[k * step : (k + 1) * step] += np.frombuffer(d, np.float32).reshape(step, -1) / np.maximum(uses, 1)
+        step(model, updates(body.where(F.pmod("h", F.lit(rounds)) == r).select("text"), held))
         held.unpersist()
     return model, counts
 
@@ -291,28 +296,23 @@ def _scored(held):
         unit = math.log10(model.n + 0.5 * (model.v + 1))
         known = np.log10(model.counts + 0.5) if len(model.counts) else np.zeros(1)
         rare_unit = np.log10(model.rare_mass)
-        odd: dict[bytes, int] = {}
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in batches:
-            out: list[tuple] = []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 32):
-                coded = [model.encode(t, odd) for t in texts[at : at + 32]]
-                cls, place, rows_1, rows_2 = model.places([c[1] for c in coded])
-                p = model.log_p(cls, place, rows_1, rows_2) / math.log(10)
-                is_rare = cls >= FREQUENT
-                rank = np.concatenate([c[0] for c in coded])
-                own = np.where(rank >= 0, known[np.maximum(rank, 0)], 0.0)
-                score = p + np.where(is_rare, own - rare_unit[np.maximum(cls - FREQUENT, 0)], 0.0)
-                ends = np.cumsum([len(c[0]) for c in coded])
-                starts = np.concatenate(([0], ends[:-1]))
-                for (ranks, _, outside), a, s in zip(coded, np.add.reduceat(own - unit, starts), np.add.reduceat(score, starts), strict=True):
-                    tally = Counter(outside)
-                    out.append((row, len(ranks), int((ranks >= 0).sum()), float(a), float(s), list(tally), list(tally.values())))
-                    row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            cols = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "words", "times"])
+        for piece in batches_of(batches, 1, 1 << 14, PIECE // 2):
+            words, at, ends = tokens_of(piece.column(1))
+            ranks, symbols = model.encode(words)
+            cls, place, rows_1, rows_2 = model.places(symbols[at], ends)
+            score = model.log_p(cls, place, rows_1, rows_2) / math.log(10)
+            rank = ranks[at]
+            own = np.where(rank >= 0, known[np.maximum(rank, 0)], 0.0)
+            score += np.where(cls >= FREQUENT, own - rare_unit[np.maximum(cls - FREQUENT, 0)], 0.0)
+            m, starts = len(ends), np.concatenate(([0], ends[:-1]))
+            sums = [np.add.reduceat(x, starts) for x in ((rank >= 0).astype(np.int64), own - unit, score)]
+            outside = np.flatnonzero(rank < 0)
+            key, times = np.unique(np.searchsorted(ends, outside, "right") * len(words) + at[outside], return_counts=True)
+            cuts = pa.array(np.searchsorted(key // len(words), np.arange(m + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (words.take(pa.array(key % len(words))), pa.array(times.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.arange(row, row + m)), pa.array(ends - starts), *map(pa.array, sums), *lists], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "words", "times"])
+            row += m
 
     return run
 
@@ -321,10 +321,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of each whole text and its end.
 
     A null text counts as empty: the end alone. Words beyond the model's TOP get their exact counts by a join. Repeated
-    rows give repeated rows. Without training texts base_score is 0 and each token falls to its class's unseen share.
+    rows give repeated rows, an empty table none; texts of any length are scored whole. Without training texts base_score
+    is 0 and each token falls to its class's unseen share.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     held = spark.sparkContext.broadcast(model)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = body.schema["doc_id"].dataType.simpleString()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, stash, unit_hash
+from tessella.llm.common import WORD, free_names, stash, unit_hash
 
 WEIGHTS, SHARE, CEILING = (5.0, 2.0, 1.0), 1.5, 2.0
 FAN = 64  # items that one node of the reduction tree combines, on average
@@ -94,14 +94,20 @@ def pivotal(items: DataFrame, seed: int = 7, fan: int = FAN) -> DataFrame:
     return done.select("stratum", "h", F.col("p").cast("int").alias("up"))
 
 
+def _keys(doc_id: Column, text: Column, source: Column) -> tuple[Column, Column]:
+    """Two independent hashes of all that tells rows apart here; a null differs from any value."""
+    told = [c for x in (doc_id.cast("string"), source.cast("string"), text) for c in (x.isNull(), x)]
+    return F.xxhash64(*told), F.xxhash64(F.lit(1), *reversed(told))
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """Rows with their size and h, a hash of all that tells rows apart here."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("t"))
-    return rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("source", F.lit("\0")), "size", "t"))
+    """Rows with their size and keys h and g."""
+    h, g = _keys(F.col(doc_id), F.col(text), F.col(source))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), g.alias("g"))
 
 
 def mix(docs: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, copies, h): how many words, and whole copies, the mix takes of each row.
+    """(doc_id, size, source_size, target, taken, source, copies, h, g): how many words, and whole copies, the mix takes of each row.
 
     Every row of a source is worth f = target / source_size copies (2 at most): floor(f) of them for certain, the rest by
     pivotal rounding over word masses, so a source's taken words differ from its target by less than one row's size.
@@ -114,32 +120,36 @@ def mix(docs: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "tex
     plan = stash(plan)
     few = plan.count() <= 50_000  # else the join is left to Spark, which splits a hot source
     p = plan.withColumnRenamed("source", "s_")
-    items = rows.groupBy("source", "doc_id", "size", "h").agg(F.count("*").alias("rows"))
+    items = rows.groupBy("source", "doc_id", "size", "h", "g").agg(F.count("*").alias("rows"))
     items = items.join(F.broadcast(p) if few else p, items["source"].eqNullSafe(p["s_"])).drop("s_")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     items = items.withColumn("whole", f * F.col("rows")).withColumn("base", F.floor(F.col("whole") + 1e-9).cast("long"))
     items = stash(items.withColumn("p", F.greatest(F.col("whole") - F.col("base"), F.lit(0.0))))
     live = items.where("size > 0 and p > 0").select(F.col("source").alias("stratum"), "h", F.col("size").cast("double").alias("mass"), "p")
-    up = pivotal(live, seed).withColumnRenamed("h", "h_").drop("stratum")
-    out = items.join(up, items["h"] == up["h_"], "left")
+    up = pivotal(live, seed).withColumnsRenamed({"h": "h_", "stratum": "s_"})
+    out = items.join(up, (items["h"] == up["h_"]) & items["source"].eqNullSafe(up["s_"]), "left")
     lone = F.when(F.col("size") == 0, (unit_hash("h", F.lit(seed)) < F.col("p")).cast("int")).otherwise(F.lit(0))
     out = out.withColumn("all_copies", F.col("base") + F.coalesce("up", lone))
     out = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     copies = F.floor(F.col("all_copies") / F.col("rows")) + (F.col("i") <= F.col("all_copies") % F.col("rows")).cast("long")
     out = out.withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "h")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "h", "g")
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with each row as often as mix() copies it, all columns kept. Equal rows share one key and one fate."""
-    took = mix(docs, seed).groupBy("h").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_")).withColumnRenamed("h", "h_")
-    plain = docs.columns
-    source = F.col("source").cast("string")
-    keyed = docs.withColumn("h_own_", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(source, F.lit("\0")), word_count(F.col("text")), F.xxhash64("text")))
-    joined = keyed.join(took, keyed["h_own_"] == took["h_"])
-    lone = joined.where("rows_ = 1 and copies_ > 0").withColumn("i_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*plain)
-    many = joined.where("rows_ > 1")
-    one = Window.partitionBy("h_own_").orderBy("h_own_")
-    many = many.withColumn("r_", F.row_number().over(one)).withColumn("c_", F.floor(F.col("copies_") / F.col("rows_")) + (F.col("r_") <= F.col("copies_") % F.col("rows_")).cast("long"))
-    many = many.where("c_ > 0").withColumn("i_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_")))).select(*plain)
-    return lone.unionByName(many)
+    """docs with each row as often as mix() copies it, all columns kept. Rows alike in doc_id, source and text share their copies evenly.
+
+    Rows of a source without words stay once; an empty table stays empty.
+    """
+    took = mix(docs, seed).groupBy("h", "g").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    h, g, h2, g2, copies, rows, i, r, c = free_names(docs, "h", "g", "h2", "g2", "copies", "rows", "i", "r", "c")
+    plain = [F.col(f"`{x}`") for x in docs.columns]
+    own = _keys(F.col("doc_id"), F.col("text"), F.col("source"))
+    took = took.select(*(F.col(x).alias(y) for x, y in (("h", h2), ("g", g2), ("copies", copies), ("rows", rows))))
+    keyed = docs.withColumns({h: own[0], g: own[1]})
+    joined = keyed.join(took, (F.col(h) == F.col(h2)) & (F.col(g) == F.col(g2)))
+    upto = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
+    lone = joined.where((F.col(rows) == 1) & (F.col(copies) > 0)).withColumn(i, upto(copies)).select(*plain)
+    many = joined.where(F.col(rows) > 1).withColumn(r, F.row_number().over(Window.partitionBy(h, g).orderBy(h)))
+    many = many.withColumn(c, F.floor(F.col(copies) / F.col(rows)) + (F.col(r) <= F.col(copies) % F.col(rows)).cast("long"))
+    return lone.unionByName(many.where(F.col(c) > 0).withColumn(i, upto(c)).select(*plain))

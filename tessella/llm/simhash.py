@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import arrow_rows, stash
-from tessella.llm.graph import components
+from tessella.llm.common import batches_of, free_names, stash
+from tessella.operators.graph import components
 
 SEED = 42
 CHUNK = 1 << 15
 #: Blocks and how many of them a table's key holds. 7 and 3: any pair at 4 bits of 64 or fewer meets in a table.
 SURE = (7, 3)
+#: The same for the bits that a run's key leaves open, where the run is too long for one task.
+FINER = (6, 2)
+RUN = 4096  # fingerprints of a run that are compared in one task
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -57,11 +60,10 @@ def fingerprint(text: bytes, width: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp long). A null text counts as one without words."""
-    arrow_rows(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             fp = np.array([fingerprint(t or b"", width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -104,77 +106,119 @@ def forest(words: np.ndarray, distance: int, gap_of: Gap | None = None) -> tuple
     return np.array(x, np.int64), np.array(y, np.int64), np.array(d, np.int32)
 
 
-def _linked(distance: int, width: int):
-    """Rows are (table, key, node, words...), sorted by (table, key, node)."""
-    def pairs(table: np.ndarray, key: np.ndarray, node: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, ...]:
-        u = np.stack([w.view(np.uint64) for w in words], axis=1)
-        new = np.concatenate(([True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
+def _linked(distance: int, most: int):
+    """Rows are (mask, key, fp), sorted; a run of over `most` gives its rows back as (fp, null, null, mask, key)."""
+    def pairs(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+        u = fp.view(np.uint64)[:, None]
+        new = np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])))
         first = np.flatnonzero(new)
-        run = np.diff(np.append(first, len(node)))
+        run = np.diff(np.append(first, len(fp)))
         out, group = [], np.cumsum(new)
         small = np.repeat(run, run) <= 8
         for off in range(1, 8):
             i = np.flatnonzero((group[off:] == group[:-off]) & small[off:])
             gap = np.bitwise_count(u[i] ^ u[i + off]).sum(axis=1, dtype=np.int32)
             near = gap <= distance
-            out.append((node[i[near]], node[i[near] + off], gap[near]))
+            out.append((fp[i[near]], fp[i[near] + off], gap[near]))
         for s, n in zip(first[run > 8].tolist(), run[run > 8].tolist(), strict=True):
             i, j, gap = forest(u[s : s + n], distance)
-            out.append((node[s + i], node[s + j], gap))
+            out.append((fp[s + i], fp[s + j], gap))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def found(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b, d = pairs(*rows)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "bits"])
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), none, none], ["a", "b", "bits", "mask", "key"])
 
-    return _by_run(found, 1 + width)
+    def dense(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(len(fp), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(fp), none, none.cast(pa.int32()), pa.array(mask), pa.array(key)], ["a", "b", "bits", "mask", "key"])
 
+    return _by_run(found, 1, np.int64, most, dense)
 
-def _by_run(found: Callable[..., Iterator[pa.RecordBatch]], longs: int):
-    """Rows are (table int, key long, and so many longs more), sorted; found() is given whole runs of (table, key)."""
+
+def _by_run(found: Callable[..., Iterator[pa.RecordBatch]], longs: int, first: type = np.int32, most: int | None = None, dense: Callable[..., Iterator[pa.RecordBatch]] | None = None):
+    """Rows are (first, key long, and so many longs more), sorted; found() is given whole runs of the first two.
+
+    With most, runs longer than that go to dense() instead, in parts: no run is held whole.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All but the last run of what has been read is whole."""
-        held = [np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(1 + longs))]
+        held = [np.empty(0, first), *(np.empty(0, np.int64) for _ in range(1 + longs))]
         waiting: list[list[np.ndarray]] = []
+        going: tuple | None = None  # the long run whose rows have begun to go out
+
+        def split(rows: list[np.ndarray], ended: bool) -> Iterator[pa.RecordBatch]:
+            """Give out whole runs; what is left over stays in held."""
+            nonlocal held, going
+            if not len(rows[0]):
+                held = rows
+                return
+            edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            starts, ends = np.concatenate(([0], edge)), np.append(edge, len(rows[0]))
+            long = ends - starts > most if most else np.zeros(len(starts), bool)
+            if going == (rows[0][0], rows[1][0]):
+                long[0] = True
+            last = len(starts) - (0 if ended or long[-1] else 1)
+            for i in np.flatnonzero(long):
+                yield from dense(*(r[starts[i] : ends[i]] for r in rows))
+            rest = np.repeat(~long[:last], (ends - starts)[:last])
+            upto = len(rest)
+            if rest.sum() > 1:
+                yield from found(*(r[:upto][rest] for r in rows))
+            going = (rows[0][-1], rows[1][-1]) if long[-1] else None
+            held = [r[upto:] for r in rows]
+
         for batch in batches:
             waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if sum(len(x[0]) for x in waiting) < max(1 << 16, len(held[0])):
                 continue
-            held = [np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)]
+            rows = [np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)]
             waiting = []
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut > 1:
-                yield from found(*(h[:cut] for h in held))
-            held = [h[cut:] for h in held]
-        held = [np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)]
-        if len(held[0]) > 1:
-            yield from found(*held)
+            yield from split(rows, False)
+        yield from split([np.concatenate([h, *(w[k] for w in waiting)]) for k, h in enumerate(held)], True)
 
     return run
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: tuple[int, int] = SURE, words: tuple[str, ...] = ("fp",), node: str = "fp") -> DataFrame:
-    """(a, b, bits): edges between nodes of distinct fingerprints that connect all pairs which meet and lie within the distance.
-
-    words: the fingerprint's 64-bit columns. Its bits are split into blocks, and a table for each choice of some of them
-    keys a row by those; with SURE and 64 bits every pair at 4 bits or fewer meets. Rows are dealt by (table, key) and
-    sorted there; a run is verified by XOR and bit count, and gives at most 8 * 7 / 2 pairs or a spanning forest.
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, key, fp) of long runs under keys that hold FINER's share of the open bits too."""
+    for batch in batches:
+        mask, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for m in np.unique(mask):
+            own = mask == m
+            bits = [b for b in range(64) if not int(m) >> b & 1]
+            edges = [len(bits) * i // FINER[0] for i in range(FINER[0] + 1)]
+            blocks = [sum(1 << b for b in bits[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            for c in combinations(blocks, FINER[1]):
+                more = np.uint64(sum(c))
+                k = (fp[own].view(np.uint64) & more) * np.uint64(0x9E3779B97F4A7C15) ^ key[own].view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), np.uint64(m) | more, np.uint64).view(np.int64)), pa.array((k ^ (k >> np.uint64(31))).view(np.int64)), pa.array(fp[own])], ["mask", "key", "fp"])
+
+
+def links(fps: DataFrame, distance: int = 4, most: int = RUN) -> DataFrame:
+    """(a, b, bits): edges between distinct fingerprints (fp) that connect all pairs within the distance, 4 at most.
+
+    The 64 bits are split into blocks, and a table for each choice of some of them keys a row by those; every pair at 4
+    bits or fewer meets. Rows are dealt by (mask, key) and sorted there; a run is verified by XOR and bit count, and gives
+    at most 8 * 7 / 2 pairs or a spanning forest. A run of over `most` rows is dealt again by blocks of the bits that its
+    key leaves open, in which such a pair meets too; any value of `most` connects the same.
     """
-    arrow_rows(fps.sparkSession, 20_000)
-    bits = 64 * len(words)
-    if blocks == SURE and (distance > 4 or bits != 64):
-        raise ValueError("these blocks are for 64 bits and find pairs at 4 bits or fewer")
-
-    def key(mask: int) -> Column:
-        parts = [(mask >> (64 * i)) & (2**64 - 1) for i in range(len(words))]
-        own = [F.col(w).bitwiseAND(F.lit(m - 2**64 if m >> 63 else m)) for w, m in zip(words, parts, strict=True) if m]
-        return own[0] if len(own) == 1 else F.xxhash64(*own)
-
-    keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), key(m).alias("k")) for i, m in enumerate(masks(bits, *blocks)))))
-    dealt = fps.select(F.col(node).alias("node"), *words, keyed.alias("x")).select("x.t", "x.k", "node", *(F.col(w).alias(f"w{i}") for i, w in enumerate(words)))
-    return dealt.repartition("t", "k").sortWithinPartitions("t", "k", "node").mapInArrow(_linked(distance, len(words)), "a long, b long, bits int")
+    if distance > 4:
+        raise ValueError("these blocks find pairs at 4 bits or fewer")
+    kind = "a long, b long, bits int, mask long, key long"
+    signed = lambda m: m - 2**64 if m >> 63 else m
+    keyed = F.explode(F.array(*(F.struct(F.lit(signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for m in masks(64, *SURE))))
+    rows, out = fps.select("fp", keyed.alias("x")).select("x.mask", "x.key", "fp"), None
+    while True:
+        met = stash(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_linked(distance, most), kind))
+        found = met.where("b is not null").select("a", "b", "bits")
+        out = found if out is None else out.unionByName(found)
+        dense = met.where("b is null").select("mask", "key", F.col("a").alias("fp"))
+        if dense.isEmpty():
+            return out
+        rows = dense.mapInArrow(_finer, "mask long, key long, fp long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,6 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id:
 
     The component is its smallest doc_id. Repeated rows and equal texts share a fingerprint, so they link; texts without
     words (null, empty, white space) all have fingerprint 0. A null doc_id never becomes a component's id unless all are.
+    Texts of any length are fingerprinted whole; an empty table gives none.
     """
     fp = stash(fingerprints(docs, width, doc_id, text))
     reps = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -246,7 +291,7 @@ def _wide(text: bytes, width: int) -> tuple[int, np.ndarray, np.ndarray]:
 
 def _wide_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             texts = batch.column(1).to_pylist()
             rows = [_wide(t or b"", width) for t in texts]
             nodes = [xxhash.xxh3_64_intdigest(long.tobytes() + key.tobytes()) - 2**63 for _, long, key in rows]
@@ -307,7 +352,6 @@ def _met(close: int, far: int, rest: bool):
 
 def _meetings(rows: DataFrame, close: int, far: int, rest: bool = False) -> DataFrame:
     """_met() over rows (t, k, node, component, size, words)."""
-    arrow_rows(rows.sparkSession, 20_000)
     dealt = rows.select("t", "k", "node", "component", "size", *WORDS).repartition("t", "k").sortWithinPartitions("t", "k", "node")
     return dealt.mapInArrow(_met(close, far, rest), "a long, b long, bits int, t int, k long")
 
@@ -329,7 +373,7 @@ def _possibly(held):
     """Rows (text binary) whose hash may be among the filter's, with the hash; the join after it is exact."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for batch in batches:
+        for batch in batches_of(batches, 0):
             h = np.array([xxhash.xxh3_64_intdigest(t) - 2**63 if t is not None else 0 for t in batch.column(0).to_pylist()], np.int64)
             at = h % FILTER
             ok = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
@@ -339,14 +383,13 @@ def _possibly(held):
 
 
 def _text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batches_of(batches, "text"):
         h = [xxhash.xxh3_64_intdigest(t.encode()) - 2**63 if t is not None else None for t in batch.column("text").to_pylist()]
-        yield batch.append_column("h_", pa.array(h, pa.int64()))
+        yield batch.append_column("hash of text", pa.array(h, pa.int64()))
 
 
-def _keyed_by_text(docs: DataFrame) -> DataFrame:
-    arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(_text_hash, T.StructType([*docs.schema.fields, T.StructField("h_", T.LongType())]))
+def _keyed_by_text(docs: DataFrame, name: str) -> DataFrame:
+    return docs.mapInArrow(_text_hash, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -356,7 +399,6 @@ def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: fl
     """
     asked = stash(edges.select(F.explode(F.array("a_h", "b_h")).alias("h_")).where("h_ is not null").distinct())
     held = docs.sparkSession.sparkContext.broadcast(_filter(asked, "h_"))
-    arrow_rows(docs.sparkSession)
     texts = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(_possibly(held), "h_ long, t binary")
     texts = stash(texts.join(asked, "h_", "left_semi").groupBy("h_").agg(F.first("t").alias("t")))
     a, b = (texts.select(F.col("h_").alias(f"{k}_h"), F.col("t").alias(f"t{k}")) for k in "ab")
@@ -367,7 +409,7 @@ def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: fl
             joined, starts, ends = spans_of(words, width)
             return {joined[i:j] for i, j in zip(starts, ends, strict=True)}
 
-        for batch in batches:
+        for batch in batches_of(batches, 2, 64):
             x, y, ok = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
             for s, t in zip(x, y, strict=True):
                 s, t = shingles(s or b""), shingles(t or b"")
@@ -384,9 +426,8 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     sets' minima. A 512-bit SimHash of the shingles tells by its Hamming distance, and where that is within DOUBT of the
     similarity, or texts are short, the sets are compared. Large runs of a table first give a minimal spanning forest by that
     distance, then all pairs between what it leaves apart; groups are the components. Texts without words are one group.
-    Equal rows leave one.
+    Equal rows leave one; texts of any length are compared whole; an empty table stays empty.
     """
-    arrow_rows(docs.sparkSession)
     close, far = most_bits(similarity + DOUBT), most_bits(similarity - APART)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = stash(body.mapInArrow(_wide_rows(width), f"doc_id long, h long, node long, size long, {', '.join(f'{w} long' for w in WORDS)}, keys array<long>"))
@@ -408,9 +449,10 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
         apart = apart.join(nodes.select("node", "size", *WORDS), "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         more = _meetings(apart, close, far, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         of = components(near.unionByName(verified(more)), "a", "b")
-    keyed = _keyed_by_text(docs)
+    h, k, t, n = free_names(docs, "h", "k", "t", "n")
+    keyed = _keyed_by_text(docs, h)
     rows = rows.join(of, "node", "left")
     per = rows.groupBy(F.coalesce("component", "node").alias("root"), "doc_id", "h").agg(F.count("*").alias("n"))
-    kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("k_"), F.col("x.h").alias("t_"), F.col("x.n").alias("n_"))
-    stay = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(F.col("k_")) & keyed["h_"].eqNullSafe(F.col("t_")))
-    return stay.where("n_ = 1").select(*docs.columns).unionByName(stay.where("n_ > 1").dropDuplicates(["k_", "t_"]).select(*docs.columns))
+    kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias(k), F.col("x.h").alias(t), F.col("x.n").alias(n))
+    stay = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(F.col(k)) & keyed[h].eqNullSafe(F.col(t)))
+    return stay.where(F.col(n) == 1).select(*docs.columns).unionByName(stay.where(F.col(n) > 1).dropDuplicates([k, t]).select(*docs.columns))

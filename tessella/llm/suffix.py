@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, stash
+from tessella.llm.common import batches_of, stash
 
 LENGTH = 200  # bytes of a repeat
 GRAM = 64  # bytes that an anchor hashes
 BATCH = 1 << 20  # bytes sorted together, below 2**21 so that three names fit 63 bits
+HOT = 2_000  # contexts of a bucket beyond which it is refined
 #: Fixed odd multipliers of the rolling hash and its finish.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,7 +149,7 @@ def _key(text: bytes) -> tuple[int, int]:
 def _anchored(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # copies within a task give their anchors once
-        for batch in batches:
+        for batch in batches_of(batches, 0):
             for value in batch.column(0).to_pylist():
                 if not value or len(value) < length or (k := _key(value)) in seen:
                     continue
@@ -172,42 +173,47 @@ def _anchored(length: int, gram: int):
     return packed
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, k1, k2, at), without repeats, those whose h another row has too."""
-    last = None  # columns of the last row read, and whether it goes out already
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(cols[0]):
-            continue
-        if last is not None:
-            cols = [np.concatenate((x, c)) for x, c in zip(last[0], cols, strict=True)]
-        fresh = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))
-        cols = [c[fresh] for c in cols]
-        h = cols[0]
-        same = h[1:] == h[:-1]
-        out = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        if last is not None:
-            if last[1]:
-                out[0] = False  # it went out before
-            state = last[1] and len(h) == 1
-        else:
-            state = False
-        last = ([c[-1:] for c in cols], bool(out[-1]) or state)
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], ["h", "k1", "k2", "at"])
+def _contexts(length: int, gram: int):
+    """The bytes within reach of each anchor: all strings of the length that hold its gram, which begins at p."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 2, 64, 1 << 20):
+            for k1, k2, text, anchors_ in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                for s in range(0, len(anchors_), 2_000):
+                    part = sorted((x["at"], x["h"], x["hot"]) for x in anchors_[s : s + 2_000])
+                    lo = [max(0, at - (length - gram)) for at, _, _ in part]
+                    cols = [[h for _, h, _ in part], [k1] * len(part), [k2] * len(part), lo, [at - i for (at, _, _), i in zip(part, lo, strict=True)], [text[i : at + length] for (at, _, _), i in zip(part, lo, strict=True)], [hot for _, _, hot in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["h", "k1", "k2", "lo", "p", "ctx", "hot"])
 
+    return run
 
-def _contexts(length: int, gram: int):
+
+def halves(p: int, q: int, size: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(new p, new q, begin, end) of up to two parts of a context of the size whose bytes p to q are known.
+
+    A string of the length that holds p to q reaches either half of what it lacks, or more, to the right, or else the rest
+    to the left. Each part knows that much more, and goes from begin to end: what strings with it reach.
+    """
+    lack = length - (q - p)
+    right = (lack + 1) // 2
+    parts = []
+    for a, b in ((p, q + right), (p - (lack - right + 1), q)):
+        lo, hi = max(0, b - length), min(size, a + length)
+        if a >= 0 and b <= size and b - a <= length and hi - lo >= length:
+            parts.append((a - lo, b - lo, lo, hi))
+    return parts
+
+
+def _refined(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, text, ats, hs in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                lo = [max(0, a - (length - gram)) for a in ats]
-                ctx = [text[i : a + length] for i, a in zip(lo, ats, strict=True)]
-                n = len(ats)
-                for s in range(0, n, 2_000):
-                    e = min(n, s + 2_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hs[s:e], pa.int64()), pa.array([k1] * (e - s), pa.int64()), pa.array([k2] * (e - s), pa.int64()), pa.array(lo[s:e], pa.int32()), pa.array(ctx[s:e], pa.binary())], ["h", "k1", "k2", "lo", "ctx"])
+            rows = []
+            for h, k1, k2, lo, p, q, ctx, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b, i, j in halves(p, q, len(ctx), length):
+                    known = hashlib.blake2b(ctx[i + a : i + b], digest_size=8, key=(h % 2**64).to_bytes(8, "little") + bytes([a == p - i])).digest()
+                    rows.append((int.from_bytes(known, "little", signed=True), k1, k2, lo + i, a, b, ctx[i:j], many))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "k1", "k2", "lo", "p", "q", "ctx", "many"])
 
     return run
 
@@ -256,78 +262,51 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def _sorted_buckets(length: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (h, ctx, k1, k2, lo) come sorted. Small buckets are sorted several at a time."""
+        """Rows (h, ctx, k1, k2, lo, many) come sorted, and no bucket is large. Several are sorted at a time."""
         rows: list[tuple[int, int, int, int]] = []  # k1, k2, lo, number of the context
         ctx: list[bytes] = []
         many: list[bool] = []  # whether a context occurs more than once: then all of it repeats
-        size, h_now, mark, spill = 0, None, (0, 0), False
-        names = ["k1", "k2", "a", "b", "w1", "w2"]
+        size, h_now, mark = 0, None, (0, 0)
 
-        def flush(upto_rows: int, upto_ctx: int) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal rows, ctx, many, size
-            part, texts, multi = rows[:upto_rows], ctx[:upto_ctx], many[:upto_ctx]
-            rows = [(a, b, c, d - upto_ctx) for a, b, c, d in rows[upto_rows:]]
-            ctx, many = ctx[upto_ctx:], many[upto_ctx:]
-            size = sum(map(len, ctx))
-            if not texts:
-                return
-            texts_of: dict[tuple[int, int], int] = {}
-            places = np.full(len(texts), -1, np.int64)
-            for a, b, c, d in part:
-                if not multi[d]:
-                    places[d] = (texts_of.setdefault((a, b), len(texts_of)) << 32) + c
-            spans = [_runs(s, length) for s in repeated(texts, places, length)]
-            out = [(k1, k2, lo + i, lo + j) for k1, k2, lo, c in part for i, j in ([(0, len(texts[c]))] if multi[c] else spans[c])]
-            if out:
-                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                none = pa.nulls(len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays([*cols, none, none], names)
-
-        def windows(part: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            """A bucket too large to sort in one task: each of its windows goes on by its digest, to be counted."""
-            out = []
-            for k1, k2, lo, text in part:
-                for i in range(len(text) - length + 1):
-                    d = hashlib.blake2b(text[i : i + length], digest_size=16).digest()
-                    out.append((k1, k2, lo + i, lo + i + length, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+            if ctx:
+                texts_of: dict[tuple[int, int], int] = {}
+                places = np.full(len(ctx), -1, np.int64)
+                for a, b, c, d in rows:
+                    if not many[d]:
+                        places[d] = (texts_of.setdefault((a, b), len(texts_of)) << 32) + c
+                spans = [_runs(s, length) for s in repeated(ctx, places, length)]
+                out = [(k1, k2, lo + i, lo + j) for k1, k2, lo, c in rows for i, j in ([(0, len(ctx[c]))] if many[c] else spans[c])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k1", "k2", "a", "b"])
+            rows, ctx, many, size = [], [], [], 0
 
         for batch in batches:
-            for h, text, k1, k2, lo in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for h, text, k1, k2, lo, more in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 if h != h_now:
                     if len(ctx) - mark[1] == 1 and not many[mark[1]]:  # alone: nothing repeats
                         rows, ctx, many = rows[: mark[0]], ctx[: mark[1]], many[: mark[1]]
-                    if size > batch_bytes // 4:
-                        yield from flush(len(rows), len(ctx))
-                    h_now, mark, spill = h, (len(rows), len(ctx)), False
-                if spill:
-                    yield from windows([(k1, k2, lo, text)])
-                    continue
+                    if size > batch_bytes // 4 or len(rows) > 50_000:
+                        yield from flush()
+                    h_now, mark = h, (len(rows), len(ctx))
                 if len(ctx) > mark[1] and ctx[-1] == text:
-                    if rows[-1][:3] == (k1, k2, lo):
+                    if rows[-1][:3] == (k1, k2, lo) and not more:
                         continue  # two anchors of one text with the same reach
                     many[-1] = True
                 else:
                     ctx.append(text)
-                    many.append(False)
+                    many.append(more)
                     size += len(text) + 1
                 rows.append((k1, k2, lo, len(ctx) - 1))
-                if size > batch_bytes:
-                    if mark[1]:
-                        yield from flush(*mark)
-                        mark = (0, 0)
-                    if size > batch_bytes:
-                        yield from windows([(a, b, c, ctx[d]) for a, b, c, d in rows])
-                        rows, ctx, many, size, spill = [], [], [], 0, True
-        yield from flush(len(rows), len(ctx))
+        yield from flush()
 
     return run
 
 
 def _merged(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches, 2):
             out = []
             for k1, k2, text, spans in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 keep, removed, n, at = hashlib.sha256(), 0, 0, 0
@@ -351,7 +330,7 @@ def _merged(length: int):
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batches_of(batches, 1):
         texts = [t or b"" for t in batch.column(1).to_pylist()]
         sha = [hashlib.sha256(t) for t in texts]
         k1, k2 = ([int.from_bytes(x.digest()[i : i + 8], "little", signed=True) for x in sha] for i in (0, 8))
@@ -359,48 +338,81 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batches_of(batches, 0):
         texts = batch.column(0).to_pylist()
         keys = [_key(t) for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column(0)], ["k1", "k2", "text"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+SPANS = "k1 long, k2 long, a long, b long"
+
+
+def _hot_spans(hot: DataFrame, length: int, batch_bytes: int, most: int) -> DataFrame | None:
+    """(k1, k2, a, b) from contexts (h, k1, k2, lo, p, q, ctx) whose buckets are too large to sort in one task.
+
+    Level by level: contexts alike in all bytes are one, found by an aggregation with map-side combine, and repeat whole;
+    those left are refined by more bytes beside the known ones into buckets of their own, until those are small enough to be
+    sorted. At the last level a bucket's strings are one. Contexts only ever split, so nothing is left out.
+    """
+    key, out = ["h", "p", "q", "ctx"], None
+    rows = hot.withColumn("many", F.lit(False))
+    while not rows.isEmpty():
+        place = F.xxhash64("k1", "k2", "lo")
+        once = stash(rows.groupBy(*key).agg(F.bool_or("many").alias("was"), (F.min(place) != F.max(place)).alias("more"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo"))))
+        whole = rows.where(~F.col("many")).join(once.where("more or was").select(*key), key, "left_semi")
+        spans = [whole.select("k1", "k2", F.col("lo").cast("long").alias("a"), (F.col("lo") + F.octet_length("ctx")).cast("long").alias("b"))]
+        fine = stash(once.select("h", "k1", "k2", "lo", "p", "q", "ctx", (F.col("was") | F.col("more")).alias("many")).mapInArrow(_refined(length), "h long, k1 long, k2 long, lo int, p int, q int, ctx binary, many boolean"))
+        size = fine.groupBy("h").agg(F.count("*").alias("n"))
+        large = stash(size.where(F.col("n") > most).select("h"))
+        small = fine.join(large, "h", "left_anti").select("h", "ctx", "k1", "k2", "lo", "many")
+        spans.append(small.repartition("h").sortWithinPartitions("h", "ctx", "k1", "k2", "lo").mapInArrow(_sorted_buckets(length, batch_bytes), SPANS))
+        found = stash(spans[0].unionByName(spans[1]))
+        out = found if out is None else out.unionByName(found)
+        rows = fine.join(large, "h", "left_semi").where(F.col("q") - F.col("p") < length)
+        ends = fine.join(large, "h", "left_semi").where(F.col("q") - F.col("p") >= length)  # nothing is left to refine by: equal strings are compared whole
+        lone = ends.groupBy("h", "ctx").agg((F.bool_or("many") | (F.min(place) != F.max(place))).alias("more")).where("more").select("h", "ctx")
+        ended = ends.where(~F.col("many")).join(lone, ["h", "ctx"], "left_semi").select("k1", "k2", F.col("lo").cast("long").alias("a"), (F.col("lo") + length).cast("long").alias("b"))
+        out = out.unionByName(stash(ended))
+        rows = stash(rows)
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of any repeated `length`-byte string.
 
     A string repeats if it starts at any other place, in the same text or another; overlaps count, all is judged on the
     input, and matches stay within a text. Null counts as empty. Equal texts (repeated rows too) of `length` bytes or
-    more lose everything.
+    more lose everything. Texts of any length are worked on whole; an empty table gives none.
 
-    1. Each run of `length` bytes holds an anchor that depends on its bytes alone. Anchors (hash, text key, place) are
-       dealt by hash; those that no other place shares can't lie in a repeat, and go.
+    1. Each run of `length` bytes holds an anchor that depends on its bytes alone. Anchors (hash, text key, place) whose
+       hash no other place has can't lie in a repeat, and go; that is an aggregation and a join.
     2. For the rest the bytes within reach of the anchor are dealt by hash, so all occurrences of a repeat meet. Each task
        joins buckets to a string of bounded size, sorts its suffixes by the difference cover modulo 3 and compares
-       neighbours' first `length` bytes. A bucket beyond batch_bytes (one hot line under ever new contexts) hands on
-       its windows by a 128-bit digest, which a distributed aggregation counts: nothing is cut short.
+       neighbours' first `length` bytes. A bucket of over `hot` anchors (one line under ever new contexts) is first refined
+       by the bytes around the anchor, see _hot_spans(); any value of `hot` gives the same rows.
     3. The covered intervals are merged for each text. Equal texts are worked on once, by the first 128 bits of their
        SHA-256.
     """
-    arrow_rows(docs.sparkSession)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = body.schema["doc_id"].dataType.simpleString()
     key = ["k1", "k2"]
     rows = stash(body.mapInArrow(_digested, f"doc_id {kind}, n_bytes long, k1 long, k2 long, sha string"))
     copies = rows.groupBy(*key).agg(F.count("*").alias("copies"))
     long = body.select("text").where(F.length("text") >= length)
-    found = long.mapInArrow(_anchored(length, gram), "h long, k1 long, k2 long, at int")
-    shared = found.repartition("h").sortWithinPartitions("h", *key, "at").mapInArrow(_shared, "h long, k1 long, k2 long, at int")
-    shared = stash(shared.groupBy(*key).agg(F.collect_list("at").alias("ats"), F.collect_list("h").alias("hs")))
+    found = stash(long.mapInArrow(_anchored(length, gram), "h long, k1 long, k2 long, at int"))
+    place = F.xxhash64(*key, "at")
+    per = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
+    anchored = found.join(per.select("h", (F.col("n") > hot).alias("hot")), "h")
+    shared = stash(anchored.groupBy(*key).agg(F.collect_set(F.struct("at", "h", "hot")).alias("anchors")))
     texts = long.mapInArrow(_with_key, "k1 long, k2 long, text binary")
     once = stash(texts.join(shared.select(*key), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")))
-    reach = once.join(shared, key).select(*key, "text", "ats", "hs").mapInArrow(_contexts(length, gram), "h long, k1 long, k2 long, lo int, ctx binary")
-    dealt = reach.select("h", "ctx", *key, "lo").repartition("h").sortWithinPartitions("h", "ctx", *key, "lo")
-    spans = stash(dealt.mapInArrow(_sorted_buckets(length, batch_bytes), "k1 long, k2 long, a long, b long, w1 long, w2 long"))
-    hot = spans.where("w1 is not null")
-    place = F.struct(*key, "a")
-    counted = hot.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select(F.col("w1").alias("p_"), F.col("w2").alias("q_"))
-    hot = hot.join(counted, (hot["w1"] == counted["p_"]) & (hot["w2"] == counted["q_"]), "left_semi")
-    spans = spans.where("w1 is null").unionByName(hot).select(*key, F.struct("a", "b").alias("s")).groupBy(*key).agg(F.collect_set("s").alias("spans"))
+    reach = once.join(shared, key).select(*key, "text", "anchors").mapInArrow(_contexts(length, gram), "h long, k1 long, k2 long, lo int, p int, ctx binary, hot boolean")
+    reach = stash(reach)
+    dealt = reach.where("not hot").select("h", "ctx", *key, "lo", F.lit(False).alias("many")).repartition("h").sortWithinPartitions("h", "ctx", *key, "lo")
+    spans = stash(dealt.mapInArrow(_sorted_buckets(length, batch_bytes), SPANS))
+    refined = _hot_spans(reach.where("hot").select("h", *key, "lo", "p", (F.col("p") + gram).alias("q"), "ctx"), length, batch_bytes, hot)
+    spans = spans if refined is None else spans.unionByName(refined)
+    spans = spans.select(*key, F.struct("a", "b").alias("s")).groupBy(*key).agg(F.collect_set("s").alias("spans"))
     cut = once.join(spans, key).select(*key, "text", "spans").mapInArrow(_merged(length), "k1 long, k2 long, n_removed long, n_spans long, kept string")
     per = copies.join(cut, key, "left").select(*key, "copies", "n_removed", "n_spans", "kept")
     out = rows.join(per, key)

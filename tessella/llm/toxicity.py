@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, stash, unit_hash
+from tessella.llm.common import batches_of, stash, unit_hash
 
 PREFIXES = (4, 5, 6)
 CACHE = 400_000
@@ -56,50 +57,55 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def nnpu(x: list[list[int]], positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 5e-5, seed: int = 11) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) for the logistic loss, by Adam.
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative positive-unlabelled risk of logits z under the logistic loss, and the way to step in each logit.
 
-    Where the estimated risk of the unlabelled as negatives falls below 0, the step goes up that term instead.
+    prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). Where the estimated risk of the unlabelled as negatives falls below 0,
+    the step goes up that term instead.
     """
-    rng = np.random.default_rng(seed)
+    p, u = z[positive], z[~positive]
+    as_negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+    value = prior * np.logaddexp(0, -p).mean() + max(0.0, as_negative)
+    s, out = 1 / (1 + np.exp(-np.clip(z, -50, 50))), np.empty(len(z))
+    down_p, down_u = -prior * s[positive] / len(p), s[~positive] / len(u)
+    if as_negative >= 0:
+        out[positive], out[~positive] = prior * (s[positive] - 1) / len(p) + down_p, down_u
+    else:
+        out[positive], out[~positive] = -down_p, -down_u
+    return float(value), out
+
+
+def nnpu(x: list[list[int]], positive: np.ndarray, scale: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least risk() by Adam; row i has the features x[i], each of its scale's value."""
     lens = np.array([len(r) for r in x])
-    flat, starts = np.array([i for r in x for i in r], np.int64), np.concatenate(([0], np.cumsum(lens)[:-1]))
+    flat = np.array([i for r in x for i in r], np.int64)
+    owner, value, width = np.repeat(np.arange(len(x)), lens), scale[flat], len(scale)
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    groups = [np.flatnonzero(positive), np.flatnonzero(~positive)]
     for t in range(1, steps + 1):
-        rows = [g if len(g) <= 4096 else rng.choice(g, 4096, replace=False) for g in groups]
-        z = [np.array([0.0])] * 2
-        cols, owner = [], []
-        for k, r in enumerate(rows):
-            c = np.concatenate([flat[starts[i] : starts[i] + lens[i]] for i in r]) if len(r) else np.empty(0, np.int64)
-            o = np.repeat(np.arange(len(r)), lens[r])
-            z[k] = b + np.bincount(o, w[c], len(r))
-            cols.append(c)
-            owner.append(o)
-        s = [1 / (1 + np.exp(-q)) for q in z]
-        negative = np.logaddexp(0, z[1]).mean() - prior * np.logaddexp(0, z[0]).mean()
-        up_p, down_u, down_p = prior * (s[0] - 1) / len(s[0]), s[1] / len(s[1]), -prior * s[0] / len(s[0])
-        g = [up_p + down_p, down_u] if negative >= 0 else [-down_p, -down_u]
-        gw = sum(np.bincount(c, q[o], width) for c, q, o in zip(cols, g, owner, strict=True)) + decay * w
-        gb = sum(q.sum() for q in g)
+        _, g = risk(b + np.bincount(owner, w[flat] * value, len(x)), positive, prior)
+        gw, gb = np.bincount(flat, g[owner] * value, width) + decay * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return w, float(b)
+    return w * scale, float(b)
 
 
-def valley(z: np.ndarray, prior: float) -> float:
-    """Where to cut unlabelled logits: the middle of the widest gap that leaves about the prior's share above it; 0 if there is no gap."""
-    z = np.sort(z)[::-1]
-    lo, hi = int(0.6 * prior * len(z)), int(np.ceil(1.4 * prior * len(z)))
-    near = z[max(lo - 1, 0) : hi + 1]
-    if len(near) < 2:
-        return 0.0
-    i = int(np.argmax(near[:-1] - near[1:]))
-    return float(near[i] + near[i + 1]) / 2 if near[i] - near[i + 1] > 0.3 else 0.0
+def cut(z: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The logit above which a row counts as positive: where the same risk, under the zero-one loss, is least.
+
+    Of equally good places the middle of the widest gap between logits.
+    """
+    e = np.unique(z)
+    places = np.concatenate(([e[0] - 1], (e[1:] + e[:-1]) / 2, [e[-1] + 1]))
+    p, u = np.sort(z[positive]), np.sort(z[~positive])
+    missed, taken = np.searchsorted(p, places) / len(p), 1 - np.searchsorted(u, places) / len(u)
+    value = prior * missed + np.maximum(0.0, taken - prior * (1 - missed))
+    best = np.flatnonzero(value <= value.min() + 1e-12)
+    gap = np.concatenate(([0.0], np.diff(e), [0.0]))
+    return float(places[best[np.argmax(gap[best])]])
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +115,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(f, p, c) for p in counts for f, c in counts[p].items()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], ["f", "p", "c"])
 
-    for batch in batches:
+    for batch in batches_of(batches, 0):
         for text, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[p].update({f for w in set((text or "").lower().split()) for f in features(w)})
             if sum(map(len, counts.values())) > 200_000:
@@ -119,19 +125,22 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 8_000, width: int = 4_000, least: int = 8, lift: float = 5.0, doc_id: str = "doc_id", text: str = "text") -> Scorer:
+def evidence(a: Column, b: Column, n_p: int, n_u: int) -> Column:
+    """How surely a feature speaks for the positives: the log ratio of its shares in a of n_p and b of n_u, less 2.8 standard errors."""
+    ratio = F.log(((a + 0.8) / n_p) / ((b + 0.8) / n_u))
+    return ratio - math.sqrt(8) * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 8_000, doc_id: str = "doc_id", text: str = "text") -> Scorer:
     """Learn from docs and labels (doc_id, toxic); pass training rows only.
 
     Positives: rows with a label toxic = 1. Unlabelled: any other rows; their class prior is the share of 1 among non-null
-    labels, times the share of them without a label. A feature counts if at least `least` positives have it, `lift` times
-    as often as the unlabelled; of texts with one least shingle hash (copies, most near copies) one counts. The cut at 0.5
-    is moved to the valley of the unlabelled scores, if there is one. Bounds, all parameters: about so many positives and
-    unlabelled rows, those whose hash of doc_id is low enough, and `width` features, those of the highest presence ratio
-    of positives to unlabelled. Without positives or without unlabelled rows every score is the prior (one half if there
-    is no label).
+    labels, times the share of them without a label. All features with evidence() for the positives take part, each with
+    that evidence as its value; of texts with one least shingle hash (copies, most near copies) one counts. The logit at
+    which a score is 0.5 is the one of the least zero-one risk, see cut(). Bounds, both parameters: about so many positives
+    and unlabelled rows, those whose hash of doc_id is low enough. Without positives or without unlabelled rows every score
+    is the prior (one half if there is no label). A repeated doc_id has the greatest of its labels; its rows are all taken.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen, hits = marks.agg(F.count("*"), F.sum(F.col("toxic"))).first()
@@ -154,35 +163,34 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
         return Scorer([], np.zeros(0), float(np.log(prior / (1 - prior))))
     counts = rows.mapInArrow(_presence, "f string, p boolean, c long").groupBy("f").agg(
         F.sum(F.when(F.col("p"), F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("p"), 0).otherwise(F.col("c"))).alias("b"))
-    ratio = (F.col("a") / n[True]) / ((F.col("b") + 1) / n[False])
-    best = counts.where(F.col("a") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= lift).orderBy(F.desc("ratio"), F.desc("a"), "f").limit(width)
-    names = [r[0] for r in best.select("f").collect()]
+    found_ = counts.select("f", evidence(F.col("a"), F.col("b"), n[True], n[False]).alias("e")).where("e > 0").toArrow().sort_by("f")
+    names, scale = found_.column("f").to_pylist(), found_.column("e").to_numpy()
     blank = Scorer(names, np.zeros(len(names)), 0.0)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in batches_of(batches, 0):
             x = [blank.ids(t, cache) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), batch.column(1)], ["x", "p"])
 
     table = rows.mapInArrow(found, "x array<int>, p boolean").toArrow()
     x, p = table.column("x").to_pylist(), np.array(table.column("p").to_pylist(), bool)
-    order_ = sorted(range(len(x)), key=lambda i: (bool(p[i]), x[i]))  # reruns agree, whatever the row order
-    w, b = nnpu([x[i] for i in order_], p[order_], len(names), hidden)
-    z = np.array([b + w[x[i]].sum() for i in range(len(x)) if not p[i]])
-    return Scorer(names, w, b - valley(z, hidden))
+    order = sorted(range(len(x)), key=lambda i: (bool(p[i]), x[i]))  # reruns agree, whatever the row order
+    x, p = [x[i] for i in order], p[order]
+    w, b = nnpu(x, p, scale, hidden)
+    z = np.array([b + w[r].sum() for r in x])
+    return Scorer(names, w, b - cut(z, p, hidden))
 
 
 def score(docs: DataFrame, model: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of every row; a null text scores as an empty one."""
-    arrow_rows(docs.sparkSession)
+    """(doc_id, score, predicted) of every row, of its whole text; a null text scores as an empty one. Repeated rows give repeated rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             s = np.array([held.value.score(t, cache) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 

@@ -1,7 +1,8 @@
 import pytest
 
 #: Columns beside those of documents whose names the operators use inside.
-EXTRA = {"h": "long", "size": "int", "p": "double", "node": "string", "x": "int", "fp": "long", "row": "int", "words": "int", "shard": "string", "score": "double", "lang_pred": "string", "taken": "int", "k1": "long", "copies": "int", "stratum": "string"}
+EXTRA = {"h": "long", "size": "int", "p": "double", "node": "string", "x": "int", "fp": "long", "row": "int", "words": "int", "shard": "string", "score": "double", "lang_pred": "string", "taken": "int", "k1": "long", "copies": "int", "stratum": "string",
+    **{c: "int" for c in ("h_", "k_", "t_", "n_", "i_", "r_", "c_", "copies_", "rows_", "h_own_", "bad_", "lang_pred_", "lang_score", "g", "k", "t", "n", "i", "r", "c", "rows", "H2")}}
 
 
 @pytest.fixture
@@ -12,7 +13,7 @@ def make_docs(spark):
     def make(rows, extra=True, parts=3):
         full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or "")) for r in rows]
         df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
-        return df.withColumns({k: F.lit(None).cast(t) for k, t in EXTRA.items()}) if extra else df
+        return df.withColumns({k: F.lit(77).cast(t) for k, t in EXTRA.items()}) if extra else df
 
     return make
 

@@ -69,24 +69,36 @@ def test_query_against_every_window(spark):
     assert Counter(map(tuple, queries.op4_suffix_dedup(spark, SF).collect())) == expected(rows, 200)
 
 
-@pytest.mark.parametrize("batch", [1 << 20, 600])
-def test_repeats_inside_and_across_texts(spark, make_docs, batch):
-    """A tiny batch sends buckets the way of their windows' digests."""
+@pytest.mark.parametrize(("batch", "hot"), [(1 << 20, 2_000), (600, 3)])
+def test_repeats_inside_and_across_texts(spark, make_docs, batch, hot):
+    """A low bound on buckets sends most of them through all the levels of refinement."""
     rng = random.Random(4)
     piece = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     shared, line = piece(70), piece(45)
     rows = [(i, piece(rng.randrange(0, 200)) + (shared if i % 3 == 0 else "") + piece(30) + (line * (i % 4)) + piece(20)) for i in range(40)]
     rows += [(100, "z" * 300), (101, "xy" * 200), (102, rows[5][1]), (103, rows[6][1]), (103, rows[6][1]), (104, None), (105, ""), (None, piece(100)), (106, shared), (107, "z" * 39)]
-    got = suffix.remove_repeats(make_docs(rows), length=40, gram=16, batch_bytes=batch)
+    got = suffix.remove_repeats(make_docs(rows), length=40, gram=16, batch_bytes=batch, hot=hot)
     assert Counter(map(tuple, got.collect())) == expected(rows, 40)
 
 
 def test_suffix_odd_rows(spark, make_docs):
-    rows = [r for r in ODD if r[0] not in (11, 12)]
-    assert Counter(map(tuple, suffix.remove_repeats(make_docs(rows)).collect())) == expected(rows, 200)
+    assert Counter(map(tuple, suffix.remove_repeats(make_docs(ODD)).collect())) == expected(ODD, 200)
     assert suffix.remove_repeats(make_docs([])).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_every_string_of_a_context_is_in_one_half(data):
+    length, size = 40, data.draw(st.integers(40, 64))
+    p = data.draw(st.integers(0, size - 16))
+    q = data.draw(st.integers(p + 1, min(size, p + 39)))
+    parts = suffix.halves(p, q, size, length)
+    assert all(b - a > q - p for a, b, _, _ in parts)
+    for s in range(size - length + 1):
+        if s <= p and q <= s + length:
+            assert sum(lo <= s and s + length <= hi and s - lo <= a and b <= s - lo + length for a, b, lo, hi in parts) == 1
+
+
 def reference(texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     return [len(sp.encode(t or "")) for t in texts]
@@ -117,8 +129,22 @@ def test_any_text_as_the_library(merges, text):
     assert tokens.count_batch([text], merges, {}) == reference([text])
 
 
-def test_long_sequences_by_rounds_and_by_heap(merges):
+def one_at_a_time(merges, word):
+    """The symbols left of a word, merging the lowest-rank pair, the leftmost of equals, once a step."""
+    pairs = {int(k): (int(r), int(i)) for k, r, i in zip(merges.keys, merges.rank, merges.into, strict=True)}
+    symbols = {int(p): int(s) for p, s in zip(merges.point, merges.symbol, strict=True)}
+    sym = [symbols.get(ord(c), merges.n - 1) for c in word]
+    more = sum(len(c.encode()) - 1 for c, s in zip(word, sym, strict=True) if s == merges.n - 1)
+    while True:
+        found = min(((pairs[k][0], i, pairs[k][1]) for i in range(len(sym) - 1) if (k := sym[i] * merges.n + sym[i + 1]) in pairs), default=None)
+        if found is None:
+            return len(sym) + more
+        sym[found[1] : found[1] + 2] = [found[2]]
+
+
+def test_sequences_of_any_length_as_one_merge_at_a_time(merges):
     rng = random.Random(1)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü語") for _ in range(n)) for n in (1, 2, 50, 150, 191, 400, 3000)] + ["a" * 190, "<s>", "▁▁▁a"]
-    assert merges._together(words) == [merges._alone(w) for w in words]
-    assert tokens.count_batch(words, merges, {}) == reference(words)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü語") for _ in range(n)) for n in (1, 2, 50, 150, 191, 400, 1000)] + ["a" * 190, "aaab" * 60, "<s>", "▁▁▁a"]
+    assert merges.counts(words) == [one_at_a_time(merges, w) for w in words]
+    long = ["".join(rng.choice("etaoinshrd") for _ in range(n)) for n in (3000, 40_000)] + ["x" * 50_000, "ab" * 30_000]
+    assert tokens.count_batch(words + long, merges, {}) == reference(words + long)
