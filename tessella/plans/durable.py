@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir; where it is unset and everything runs in one process (tests), a temporary folder of our own.
+
+    On a cluster without that setting it is an error: executors' own disks don't make a whole table.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.shared.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", master := spark.conf.get("spark.master", "local")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("tessella.shared.dir", named)
