@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,50 +162,85 @@ def area_resample(cells: DataFrame, value: str, source_side: int, target_side: i
     return e.groupBy("image_id", F.col("a.t").alias("y"), F.col("b.t").alias("x")).agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
 
 
-def nearest_filled(cells: DataFrame, payload: Sequence[str], missing: str, reach: int = 2, limit: int = 1 << 20) -> DataFrame:
-    """(key, sy, sx, *payload): each missing cell with the nearest present one; ties by row, then column.
+STRIP = 64  # columns of one strip of the first pass, rows of one of the second
+
+
+def _columns(key: tuple, targets: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """In a strip of columns: for each wanted row and each column with a target, that target's row which is nearest (the upper of two)."""
+    if not (len(targets) and len(rows)):
+        return pd.DataFrame({c: np.empty(0, object) for c in ("image_id", "y", "xs", "ys")})
+    want, columns, out = np.unique(rows["y"].to_numpy()), [], []
+    for x, own in targets.groupby("x", sort=True)["y"]:
+        at = np.unique(own.to_numpy())
+        below = np.searchsorted(at, want, "right") - 1
+        up, down = at[np.maximum(below, 0)], at[np.minimum(below + 1, len(at) - 1)]
+        columns.append(x)
+        out.append(np.where((below < 0) | (np.abs(down - want) < np.abs(want - up)), down, up))
+    return pd.DataFrame({"image_id": np.full(len(want), key[0], object), "y": want, "xs": [columns] * len(want), "ys": np.stack(out, axis=1).tolist()})
+
+
+def _rows(mpp_y: float, mpp_x: float):
+    def run(key: tuple, cells: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+        """In a strip of rows: each cell's nearest of the columns' targets; ties by row, then column."""
+        out, by_row = [], dict(list(columns.groupby("y")))
+        for y, own in cells.groupby("y"):
+            if y not in by_row:
+                continue
+            near = by_row[y]
+            xs, ys = np.concatenate(near["xs"].to_numpy()).astype(np.int64), np.concatenate(near["ys"].to_numpy()).astype(np.int64)
+            x = own["x"].to_numpy(np.int64)
+            lo, hi = min(xs.min(), x.min()), max(xs.max(), x.max())
+            row = np.full(hi - lo + 1, -1, np.int64)  # the target's row in each column; -1 for none
+            row[xs - lo] = ys
+            fall = np.where(row >= 0, ((row - y) * mpp_y) ** 2, np.inf)
+            best, by, bx, k, open_ = np.full(len(x), np.inf), np.full(len(x), -1), np.full(len(x), -1), 0, np.arange(len(x))
+            while len(open_):  # columns k to the left and right, until none farther off can be nearer
+                for side in (-k, k) if k else (0,):
+                    c = x[open_] - lo + side
+                    inside = (c >= 0) & (c < len(row))
+                    i, c = open_[inside], c[inside]
+                    d = fall[c] + (k * mpp_x) ** 2
+                    nearer = (d < best[i]) | ((d == best[i]) & np.isfinite(d) & ((row[c] < by[i]) | ((row[c] == by[i]) & (c + lo < bx[i]))))
+                    best[i[nearer]], by[i[nearer]], bx[i[nearer]] = d[nearer], row[c[nearer]], c[nearer] + lo
+                k += 1
+                open_ = open_[((k * mpp_x) ** 2 <= best[open_]) & (k < len(row))]
+            out.append((np.full(len(x), y), x, by, bx, np.sqrt(best)))
+        whole = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 5
+        return pd.DataFrame({"image_id": np.full(len(whole[0]), key[0], object), **dict(zip(("y", "x", "sy", "sx", "d"), whole, strict=True))})
+
+    return run
+
+
+def nearest_cells(a: DataFrame, b: DataFrame, mpp_y: float = 1.0, mpp_x: float = 1.0) -> DataFrame:
+    """(key, sy, sx, d): of each cell of a the nearest cell of b in its image, ties by row, then column.
+
+    Exact, in two separable passes: along columns in strips, then along rows; each is one exchange, and no offsets are
+    exploded. Cells of an image without any of b get no row.
+    """
+    strip = lambda c: F.expr(f"{c} div {STRIP}")
+    targets = b.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), strip("x").alias("bx"))
+    wanted = a.select("image_id", F.col("y").cast("long").alias("y")).distinct().join(targets.select("image_id", "bx").distinct(), "image_id").select(F.col("image_id").alias("i_"), F.col("bx").alias("b_"), "y")
+    columns = targets.groupBy("image_id", "bx").cogroup(wanted.groupBy("i_", "b_")).applyInPandas(_columns, "image_id string, y long, xs array<long>, ys array<long>")
+    cells = a.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), strip("y").alias("by"))
+    columns = columns.withColumn("by", strip("y"))
+    return cells.groupBy("image_id", "by").cogroup(columns.groupBy("image_id", "by")).applyInPandas(_rows(float(mpp_y), float(mpp_x)), "image_id string, y long, x long, sy long, sx long, d double")
+
+
+def nearest_filled(cells: DataFrame, payload: Sequence[str], missing: str) -> DataFrame:
+    """(key, sy, sx, *payload): each missing cell with the nearest present one of its image; ties by row, then column.
 
-    A cell looks within a radius, by equality on exploded offsets, and is settled by what lies no farther than the
-    radius; the others look again at twice the radius. No cell is compared with all.
+    An image with missing cells and no present one is an error.
     """
-    present = cells.where(~F.col(missing)).select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *payload)
-    todo, out = cells.where(F.col(missing)).select(*KEY), None
-    if not present.take(1):
+    present, todo = cells.where(~F.col(missing)), cells.where(F.col(missing))
+    if todo.join(present.select("image_id").distinct(), "image_id", "left_anti").take(1):
         raise ValueError("no present cell")
-    r = reach
-    while r <= limit:
-        span = F.sequence(F.lit(-r), F.lit(r))
-        look = todo.select(*KEY, F.explode(span).alias("dy")).select(*KEY, "dy", F.explode(span).alias("dx"))
-        look = look.where(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= r * r).select(*KEY, (F.col("y") + F.col("dy")).alias("sy"), (F.col("x") + F.col("dx")).alias("sx"), (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias("d2"))
-        best = look.join(present, ["image_id", "sy", "sx"]).groupBy(*KEY).agg(F.min_by(F.struct("sy", "sx", *payload), F.struct("d2", "sy", "sx")).alias("b")).select(*KEY, "b.*")
-        out = best if out is None else out.unionByName(best)
-        todo = todo.join(best.select(*KEY), list(KEY), "left_anti")
-        if not todo.take(1):
-            break
-        r *= 2
-    return out
-
-
-def distances(a: DataFrame, b: DataFrame, mpp_x: float, mpp_y: float, reach: int = 4, limit: int = 1 << 20) -> DataFrame:
-    """(key, d): of each cell of a the exact distance to the nearest of b; no rows if b is empty.
-
-    Looks within a growing square of cells, by equality; a distance is final once no cell outside the square can be nearer.
-    """
-    if not b.take(1):
-        return a.select(*KEY, F.lit(None).cast("double").alias("d")).limit(0)
-    todo, out, r = a.select(*KEY), None, reach
-    there = b.select("image_id", F.col("y").alias("y2"), F.col("x").alias("x2"))
-    while r <= limit:
-        span = F.sequence(F.lit(-r), F.lit(r))
-        looks = todo.select(*KEY, F.explode(span).alias("dy")).select(*KEY, "dy", F.explode(span).alias("dx"))
-        looks = looks.select(*KEY, (F.col("y") + F.col("dy")).alias("y2"), (F.col("x") + F.col("dx")).alias("x2"), F.sqrt(F.pow(F.col("dy") * F.lit(float(mpp_y)), 2) + F.pow(F.col("dx") * F.lit(float(mpp_x)), 2)).alias("d"))
-        best = looks.join(there, ["image_id", "y2", "x2"]).groupBy(*KEY).agg(F.min("d").alias("d")).where(F.col("d") <= (r + 1) * min(mpp_x, mpp_y))
-        out = best if out is None else out.unionByName(best)
-        todo = todo.join(best.select(*KEY), list(KEY), "left_anti")
-        if not todo.take(1):
-            break
-        r *= 2
-    return out
+    there = present.select("image_id", F.col("y").cast("long").alias("sy"), F.col("x").cast("long").alias("sx"), *payload)
+    return nearest_cells(todo, present).join(there, ["image_id", "sy", "sx"]).select(*KEY, "sy", "sx", *payload)
+
+
+def distances(a: DataFrame, b: DataFrame, mpp_x: float, mpp_y: float) -> DataFrame:
+    """(key, d): of each cell of a the exact distance to the nearest of b in its image; no row where its image has none."""
+    return nearest_cells(a, b, mpp_y, mpp_x).select(*KEY, "d")
 
 
 def hann_blend(windows: DataFrame, value: str, side: int, stride: int, floor: float = 0.05) -> DataFrame:

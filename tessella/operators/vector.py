@@ -34,8 +34,9 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     for y0, x0, y1, x1 in pdf[["y0", "x0", "y1", "x1"]].sort_values(["y0", "x0", "y1", "x1"]).itertuples(index=False):
         out[y0, x0].append((y1, x1))
     rows = []
-    while out:
-        start = min(out)
+    for start in sorted(out):
+        if start not in out:
+            continue
         at, came, ring = start, None, []
         while True:
             nexts = out[at]
@@ -89,10 +90,25 @@ def scaled(points: str, factor_x: float, factor_y: float) -> Column:
     return F.transform(points, lambda p: F.struct((p["x"] * factor_x).alias("x"), (p["y"] * factor_y).alias("y")))
 
 
+def polygons(rings: DataFrame) -> DataFrame:
+    """(image_id, component, label, coordinates): one polygon a component, its outer ring first, its holes behind it."""
+    ring = F.transform("points", lambda p: F.array(p["x"], p["y"]))
+    every = rings.groupBy("image_id", "component", "label").agg(F.array_sort(F.collect_list(F.struct("hole", "ring", ring.alias("ring_points")))).alias("r"))
+    return every.select("image_id", "component", "label", F.transform("r", lambda r: r["ring_points"]).alias("coordinates"))
+
+
 def feature_json(points: str, label: str) -> Column:
     """A GeoJSON polygon feature of one ring."""
-    ring = F.transform(points, lambda p: F.array(p["x"], p["y"]))
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(F.col(label).alias("class_id")).alias("properties")))
+    return _feature(F.array(F.transform(points, lambda p: F.array(p["x"], p["y"]))), label)
+
+
+def polygon_json(coordinates: str, label: str) -> Column:
+    """A GeoJSON polygon feature of an outer ring and its holes."""
+    return _feature(F.col(coordinates), label)
+
+
+def _feature(coordinates: Column, label: str) -> Column:
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(F.col(label).alias("class_id")).alias("properties")))
 
 
 def rasterize(rings: DataFrame) -> DataFrame:

@@ -19,8 +19,14 @@ def bound_files(spark: SparkSession, refs: DataFrame) -> DataFrame:
     """
     listed = {r.path: (r.name, r.sha256) for r in refs.select("name", "path", "sha256").collect()}  # a manifest's few references
     files = spark.read.format("binaryFile").load(list(listed))
-    want = spark.createDataFrame([(n, p, s) for p, (n, s) in listed.items()], "name string, listed string, sha256 string")
-    met = files.join(F.broadcast(want), F.col("path").endswith(F.col("listed")))
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(path: str) -> str:
+        p = hadoop.Path(path)
+        return p.getFileSystem(conf).makeQualified(p).toString()
+
+    want = spark.createDataFrame([(n, p, whole(p), s) for p, (n, s) in listed.items()], "name string, listed string, full string, sha256 string")
+    met = files.join(F.broadcast(want), F.col("path") == F.col("full"))
     same = F.col("sha256").isNull() | (F.sha2("content", 256) == F.lower("sha256"))
     return met.select("name", F.col("listed").alias("path"), F.when(same, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("checksum differs: "), "listed"))).alias("content"))
 

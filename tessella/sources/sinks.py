@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.vector import feature_json, scaled
+from tessella.operators.vector import polygon_json, polygons, scaled
 
 
 def write_mask(pixels: DataFrame, path: str, block: int = 512) -> None:
@@ -24,8 +24,8 @@ def read_mask(spark: SparkSession, path: str, by: tuple[int, int] | None = None,
 
 
 def write_geojson(rings: DataFrame, path: str, factor_x: float = 1.0, factor_y: float = 1.0) -> None:
-    """One feature a line, coordinates in another spacing if factors are given; each executor writes its own part."""
-    rings.where(~F.col("hole")).withColumn("points", scaled("points", factor_x, factor_y)).select(feature_json("points", "label").alias("value")).write.mode("errorifexists").text(path)
+    """One feature a line and component, holes included, in another spacing if factors are given; each executor writes its own part."""
+    polygons(rings.withColumn("points", scaled("points", factor_x, factor_y))).select(polygon_json("coordinates", "label").alias("value")).write.mode("errorifexists").text(path)
 
 
 def save_state(spark: SparkSession, state: str, path: str) -> str:

@@ -223,7 +223,7 @@ def test_nearest_filled_far_cells(spark):
     rng = random.Random(1)
     cells = [("a", y, x, y * 100 + x, (y, x) not in {(0, 0), (30, 30)} and rng.random() < 2) for y in range(31) for x in range(31)]
     df = spark.createDataFrame(cells, "image_id string, y long, x long, v long, gap boolean")
-    got = {(r.y, r.x): r.v for r in grid.nearest_filled(df, ["v"], "gap", reach=2).collect()}
+    got = {(r.y, r.x): r.v for r in grid.nearest_filled(df, ["v"], "gap").collect()}
     assert len(got) == 31 * 31 - 2
     for (y, x), v in got.items():
         assert v == min((y * y + x * x, 0, 0, 0), ((30 - y) ** 2 + (30 - x) ** 2, 30, 30, 3030))[3]
@@ -269,3 +269,48 @@ def test_relabel_single_contact(spark):
     assert kept[0, 0] == 2 and kept[2, 2] == 1
     with pytest.raises(ValueError, match="two classes"):
         repair.relabel_single_contact(raster(spark, [[1, 1]]), "label", 3)
+
+
+def test_distances_by_image_and_without_targets(spark):
+    a = spark.createDataFrame([(i, y, x) for i in ("p", "q") for y in range(0, 9, 4) for x in range(0, 300, 97)] + [("p", 2000, 5)], "image_id string, y long, x long")
+    b = spark.createDataFrame([("p", 3, 250), ("p", 70, 1), ("p", 1, 0), ("p", 1, 1)], "image_id string, y long, x long")
+    got = {(r.image_id, r.y, r.x): r.d for r in grid.distances(a, b, 0.5, 2.0).collect()}
+    want = {}
+    for r in a.where("image_id = 'p'").collect():
+        want["p", r.y, r.x] = min((((r.y - t.y) * 2.0) ** 2 + ((r.x - t.x) * 0.5) ** 2) ** 0.5 for t in b.collect())
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert grid.distances(a, b.limit(0), 1.0, 1.0).count() == 0
+
+
+def test_nearest_cells_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    cells = lambda n: sorted({(f"i{rng.randrange(2)}", rng.randrange(150), rng.randrange(150)) for _ in range(n)})
+    a, b = cells(300), cells(60)
+    got = {(r.image_id, r.y, r.x): (r.sy, r.sx) for r in grid.nearest_cells(*(spark.createDataFrame(t, "image_id string, y long, x long") for t in (a, b))).collect()}
+    assert got == {p: min((((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2, q[1], q[2]) for q in b if q[0] == p[0]))[1:] for p in a}
+
+
+def test_geojson_keeps_holes(spark, tmp_path):
+    from tessella.operators import components, vector
+    from tessella.sources import sinks
+
+    ring = spark.createDataFrame([("e", y, x, 1) for y in range(3) for x in range(3) if (y, x) != (1, 1)], "image_id string, y long, x long, label long")
+    sinks.write_geojson(vector.polygonize(components.label_components(ring, "label")), str(tmp_path / "g"))
+    shapes = [json.loads(r.value)["geometry"]["coordinates"] for r in spark.read.text(str(tmp_path / "g")).collect()]
+    area = lambda ring: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring[:-1], ring[1:], strict=True)) / 2
+    assert len(shapes) == 1 and [area(r) for r in shapes[0]] == [9.0, -1.0]
+
+
+def test_bound_files_match_whole_paths(spark, tmp_path):
+    import hashlib
+
+    from tessella.sources import readers
+
+    refs = []
+    for name, content in (("a.npy", b"one"), ("ya.npy", b"two")):
+        (tmp_path / name).write_bytes(content)
+        refs.append((name, str(tmp_path / name), hashlib.sha256(content).hexdigest()))
+    got = readers.bound_files(spark, spark.createDataFrame(refs, "name string, path string, sha256 string")).collect()
+    assert sorted((r.name, bytes(r.content)) for r in got) == [("a.npy", b"one"), ("ya.npy", b"two")]
