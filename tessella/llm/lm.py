@@ -22,7 +22,8 @@ CONTEXTS = COMMON + RARE + 1  # a context is a frequent word, a rare class or th
 ROWS_1, ROWS_2 = 1 << 14, 1 << 14  # hashed weight rows of the class layer and the word layer
 BLOCKS, GROUPS = 32, 16  # a layer's rows travel in so many blocks, summed in so many groups first
 TOP = 1 << 17  # each scorer holds the counts of at most so many words, the most frequent; the others' counts are joined
-CHUNK, PIECE = 4096, 16 << 20
+CHUNK, PIECE = 4096, 8 << 20
+SHARE = 8_000_000  # training tokens that give one set of partial sums, or more: the sums are small beside the texts
 PRIOR = 3.0  # observations added to what is seen and to what is expected of each feature and class
 LOW = np.float32(-1e9)
 
@@ -213,7 +214,7 @@ def _gathered(held):
         seen = [np.zeros(w.shape) for w in (model.w1, model.w2)]
         hoped = [np.zeros(w.shape) for w in (model.w1, model.w2)]
         any_ = False
-        for piece in batches_of(batches, 0, 1 << 14, PIECE // 2):
+        for piece in batches_of(batches, 0, 1 << 12):
             words, at, ends = tokens_of(piece.column(0))
             cls, place, rows_1, rows_2 = model.places(model.encode(words)[1][at], ends)
             any_ = True
@@ -249,10 +250,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)), *(pa.array([total[k][i].astype(np.float32).tobytes() for k in keys], pa.binary()) for i in (0, 1))], ["block", "part", "seen", "hoped"])
 
 
-def updates(train: DataFrame, held) -> list:
+def updates(train: DataFrame, held, tasks: int) -> list:
     """Rows (block, part, seen, hoped) of all the texts: sums over tasks in groups, then over groups; no task sees all partial sums."""
     kind = "block int, part int, seen binary, hoped binary"
-    grouped = train.mapInArrow(_gathered(held), kind).repartition(BLOCKS * GROUPS // 4, "block", "part").mapInArrow(_summed, kind)
+    grouped = train.coalesce(tasks).mapInArrow(_gathered(held), kind).repartition(BLOCKS * GROUPS // 4, "block", "part").mapInArrow(_summed, kind)
     return grouped.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInArrow(_summed, kind).collect()
 
 
@@ -280,9 +281,10 @@ def fit(train: DataFrame, doc_id: Column, rounds: int = 3, text: str = "text") -
     top = most_frequent(counts, TOP).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     rare = {r[0]: (r[1], r[2]) for r in counts.groupBy(_rare_class("word")).agg(F.sum("c"), F.count("*")).collect()}
     model = Model(n or 0, v or 0, list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)), rare)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(model.n / SHARE))
     for r in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        step(model, updates(body.where(F.pmod("h", F.lit(rounds)) == r).select("text"), held))
+        step(model, updates(body.where(F.pmod("h", F.lit(rounds)) == r).select("text"), held, tasks))
         held.unpersist()
     return model, counts
 
@@ -297,7 +299,7 @@ def _scored(held):
         known = np.log10(model.counts + 0.5) if len(model.counts) else np.zeros(1)
         rare_unit = np.log10(model.rare_mass)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for piece in batches_of(batches, 1, 1 << 14, PIECE // 2):
+        for piece in batches_of(batches, 1, 1 << 12):
             words, at, ends = tokens_of(piece.column(1))
             ranks, symbols = model.encode(words)
             cls, place, rows_1, rows_2 = model.places(symbols[at], ends)
