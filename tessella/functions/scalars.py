@@ -69,3 +69,21 @@ def token_of(pixel: Column, pixels: int | Column, grid: int | Column) -> Column:
     """The token cell over a pixel's centre; the last cell takes what rounding puts past the end."""
     n, g = (F.lit(v) if isinstance(v, int) else v for v in (pixels, grid))
     return F.least(F.floor((pixel + 0.5) * g / n), (g - 1).cast("long")).cast("long")
+
+
+#: Columns that a kind of features has. Fixed values.
+FEATURE_WIDTHS = {"virchow2-spatial": 1280, "virchow2-pooled": 2560}
+
+
+def feature_contract(kind: str, columns: Sequence[str], revision: str, sha256: str, found: Sequence[str] | None = None) -> dict:
+    """What a head was trained on: the kind, its exact ordered columns and the encoder; an error if anything is amiss.
+
+    found: a table's columns, which must begin with those in that order.
+    """
+    if kind not in FEATURE_WIDTHS or len(columns) != FEATURE_WIDTHS[kind] or len(set(columns)) != len(columns) or not all(columns):
+        raise ValueError("a known kind and as many unique, named columns as it has are needed")
+    if not revision or len(sha256) != 64 or not set(sha256) <= set("0123456789abcdef"):
+        raise ValueError("the encoder needs a revision and a lower-case SHA-256")
+    if found is not None and list(found)[: len(columns)] != list(columns):
+        raise ValueError("the table's columns differ from the contract's")
+    return {"feature_kind": kind, "feature_columns": list(columns), "encoder": {"revision": revision, "sha256": sha256}}

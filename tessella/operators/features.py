@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.durable import stash
+
 STD_FLOOR = 1e-4
 
 
@@ -121,11 +123,79 @@ def threshold_sweep(margins: DataFrame, populations: dict[int, float], positive:
     """(threshold, sensitivity, specificity): the cut `margin >= threshold` of the largest specificity at that sensitivity.
 
     margins: (margin, class_id), two classes. Class counts are weighted to the populations; ties go to the largest
-    threshold. Rows are reduced to one for each distinct margin before the cumulative window.
+    threshold. Rows are reduced to one for each distinct margin; those are dealt in ranges, summed up within each, and
+    shifted by the sums of the ranges above: only a row a range meets in one task.
     """
     per = margins.groupBy("margin").agg(F.count_if(F.col("class_id") == positive).alias("tp"), F.count_if(F.col("class_id") != positive).alias("fp"))
-    down = Window.orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = per.select("margin", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp"), F.sum("tp").over(every).alias("p"), F.sum("fp").over(every).alias("n"))
-    c = c.select(F.col("margin").alias("threshold"), (F.col("tp") / F.col("p")).alias("sensitivity"), (1 - F.col("fp") / F.col("n")).alias("specificity"))
+    per = stash(per.repartitionByRange(F.desc("margin")).withColumn("range", F.spark_partition_id()))
+    sums = per.groupBy("range").agg(F.sum("tp").alias("a"), F.sum("fp").alias("b"))
+    above, every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in "ab"), F.sum("a").over(every).alias("p"), F.sum("b").over(every).alias("n"))
+    down = Window.partitionBy("range").orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = per.select("range", "margin", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp")).join(F.broadcast(sums), "range")  # a row a range
+    c = c.select(F.col("margin").alias("threshold"), ((F.col("tp") + F.col("a_above")) / F.col("p")).alias("sensitivity"), (1 - (F.col("fp") + F.col("b_above")) / F.col("n")).alias("specificity"))
     return c.where(F.col("sensitivity") >= sensitivity).orderBy(F.desc("specificity"), F.desc("threshold")).limit(1)
+
+
+def _class_grams(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One matrix a fold and class, packed: x'x of rows with a one behind them; its last row holds sums and the count."""
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)], axis=1)
+            for fold, label in np.unique(key, axis=0).tolist():
+                own = x[(key == (fold, label)).all(axis=1)]
+                total[fold, label] = total.get((fold, label), 0) + own.T @ own
+        if total:
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["fold", "class_id", "g"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for fold, label, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total[fold, label] = total.get((fold, label), 0) + np.frombuffer(g)
+    if total:
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["fold", "class_id", "g"])
+
+
+def class_grams(tok: DataFrame, width: int, fold: str) -> dict[tuple[int, int], np.ndarray]:
+    """By fold and class the (width + 1) squared products of tok's rows (feat, class_id), in one pass over them.
+
+    Partitions hand on one packed matrix a fold and class, which are added in tasks of their own; the driver gets their sums.
+    """
+    kind = "fold long, class_id long, g binary"
+    rows = tok.select("feat", F.col(fold).cast("long").alias("fold"), F.col("class_id").cast("long").alias("class_id")).mapInArrow(_class_grams(width), kind)
+    rows = rows.repartition("fold", "class_id").mapInArrow(_added, kind).collect()
+    return {(r.fold, r.class_id): np.frombuffer(r.g).reshape(width + 1, -1) for r in rows}
+
+
+def ridge_of(grams: dict[tuple[int, int], np.ndarray], folds: Sequence[int], alpha: float, balanced: bool = True) -> Ridge:
+    """The ridge head of fit_ridge() on the rows of some folds, from class_grams() alone."""
+    per: dict[int, np.ndarray] = {}
+    for (fold, label), g in grams.items():
+        if fold in folds:
+            per[label] = per.get(label, 0) + g
+    classes = sorted(per)
+    counts = {c: per[c][-1, -1] for c in classes}
+    raw = {c: counts[c] ** -0.5 if balanced else 1.0 for c in classes}
+    mean = sum(raw[c] * counts[c] for c in classes) / sum(counts.values())
+    g = sum(per[c] * (raw[c] / mean) for c in classes)
+    t = np.stack([sum(per[o][:, -1] * (raw[o] / mean) * (1.0 if o == c else -1.0) for o in classes) for c in classes], axis=1)
+    penalty = np.full(len(g), alpha)
+    penalty[-1] = 0
+    b = np.linalg.solve(g + np.diag(penalty), t)
+    return Ridge(classes, b[:-1], b[-1])
+
+
+def block_digests(cells: DataFrame, label: str, block: int) -> DataFrame:
+    """(label, digest): SHA-256 over a label's blocks in order, each by the SHA-256 of its cells in order."""
+    listed = lambda items, *fields: F.array_join(F.transform(F.sort_array(F.collect_list(items)), lambda s: F.concat_ws(",", *(s[f].cast("string") for f in fields))), ";")
+    own = cells.groupBy(label, F.expr(f"y div {block}").alias("by"), F.expr(f"x div {block}").alias("bx")).agg(F.sha2(listed(F.struct("y", "x"), "y", "x"), 256).alias("d"))
+    return own.groupBy(label).agg(F.sha2(listed(F.struct("by", "bx", "d"), "by", "bx", "d"), 256).alias("digest"))

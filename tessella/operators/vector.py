@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.components import label_components
 from tessella.operators.grid import KEY
 
 RINGS = "image_id string, component long, label long, ring int, hole boolean, points array<struct<x:double,y:double>>"
@@ -129,6 +130,16 @@ def rasterize(rings: DataFrame) -> DataFrame:
     return spans.select("image_id", "y", F.explode(F.sequence("r.a", "r.b")).alias("x"), "component", "label")
 
 
+def dissolve(rings: DataFrame, block: int = 256) -> DataFrame:
+    """Rings of the union of touching polygons of one class; polygons of different classes that overlap are an error.
+
+    The union is taken on cells, so cuts between polygons go and holes stay as they are.
+    """
+    cells = rasterize(rings).groupBy(*KEY).agg(F.min("label").alias("label"), F.max("label").alias("high"))
+    one = F.when(F.col("label") == F.col("high"), F.col("label")).otherwise(F.raise_error(F.lit("polygons of different classes overlap")))
+    return polygonize(label_components(cells.select(*KEY, one.alias("label")), "label", block=block))
+
+
 def round_trip_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, a, b): cells in which two sparse label rasters (key, label) differ; a missing cell is 0."""
     left, right = a.select(*KEY, F.col("label").alias("a")), b.select(*KEY, F.col("label").alias("b"))

@@ -314,3 +314,54 @@ def test_bound_files_match_whole_paths(spark, tmp_path):
         refs.append((name, str(tmp_path / name), hashlib.sha256(content).hexdigest()))
     got = readers.bound_files(spark, spark.createDataFrame(refs, "name string, path string, sha256 string")).collect()
     assert sorted((r.name, bytes(r.content)) for r in got) == [("a.npy", b"one"), ("ya.npy", b"two")]
+
+
+def test_ridge_from_class_grams(spark):
+    rng = np.random.default_rng(2)
+    rows = [([float(v) for v in rng.normal(c, 1, 5)], c, i % 2) for i, c in enumerate([1, 2, 3] * 30 + [1] * 10)]
+    tok = spark.createDataFrame(rows, "feat array<float>, class_id long, fold long").repartition(3)
+    grams = features.class_grams(tok, 5, "fold")
+    for folds, balanced in (([0, 1], True), ([1], True), ([0], False)):
+        a, b = features.ridge_of(grams, folds, 7.0, balanced), features.fit_ridge(tok.where(F.col("fold").isin(folds)), 5, 7.0, balanced)
+        assert a.classes == b.classes and np.allclose(a.coef, b.coef) and np.allclose(a.intercept, b.intercept)
+
+
+def test_threshold_sweep_over_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.gauss(c, 1.5), c) for c in (0, 1) for _ in range(400)] + [(0.25, 0), (0.25, 1)] * 5
+    got = features.threshold_sweep(spark.createDataFrame(rows, "margin double, class_id long"), {}, 1, 0.8).first()
+    p, n = sum(c for _, c in rows), sum(1 - c for _, c in rows)
+    cuts = [(1 - sum(m >= t for m, c in rows if not c) / n, t, sum(m >= t for m, c in rows if c) / p) for t in {m for m, _ in rows}]
+    want = max((s, t, e) for s, t, e in cuts if e >= 0.8)
+    assert (got.threshold, round(got.specificity, 9), round(got.sensitivity, 9)) == (want[1], round(want[0], 9), round(want[2], 9))
+
+
+def test_assembly_refuses_gaps_and_disagreement(spark):
+    from tessella.operators import projection
+
+    frame = spark.createDataFrame([("e", 2, 4)], "image_id string, height long, width long")
+    shards = [("e", y, x, 0, c, 2, 2, 1) for c in (0, 2) for y in (0, 1) for x in range(max(0, c - 1), min(4, c + 3))]
+    make = lambda rows: spark.createDataFrame(rows, "image_id string, y long, x long, core_y long, core_x long, core_h long, core_w long, label long")
+    assert sorted((r.y, r.x, r.label, r.seen) for r in projection.assembled(make(shards), frame).collect()) == [(y, x, 1, 2 if x in (1, 2) else 1) for y in (0, 1) for x in range(4)]
+    odd = [(*s[:-1], 2) if (s[1], s[2], s[4]) == (0, 1, 2) else s for s in shards]
+    with pytest.raises(Exception, match="disagree"):
+        projection.assembled(make(odd), frame).collect()
+    with pytest.raises(Exception, match="gap|uncovered"):
+        projection.assembled(make([s for s in shards if (s[1], s[2]) != (1, 3)]), frame).collect()
+
+
+def test_dissolve_refuses_overlapping_classes(spark):
+    square = lambda i, label, x: ("e", i, label, 0, False, [{"x": float(a), "y": float(b)} for a, b in ((x, 0), (x + 4, 0), (x + 4, 4), (x, 4), (x, 0))])
+    make = lambda *rows: spark.createDataFrame(rows, vector.RINGS)
+    got = vector.dissolve(make(square(1, 1, 0), square(2, 1, 4), square(3, 2, 8))).select("label", vector.ring_area("points").alias("a")).collect()
+    assert sorted(map(tuple, got)) == [(1, 32.0), (2, 16.0)]
+    with pytest.raises(Exception, match="overlap"):
+        vector.dissolve(make(square(1, 1, 0), square(2, 2, 2))).collect()
+
+
+def test_feature_contract():
+    names = [f"c{i}" for i in range(1280)]
+    assert S.feature_contract("virchow2-spatial", names, "r1", "0" * 64, [*names, "label"])["feature_columns"] == names
+    for bad in (("other", names, "r", "0" * 64), ("virchow2-spatial", names[:-1], "r", "0" * 64), ("virchow2-spatial", names, "", "0" * 64), ("virchow2-spatial", names, "r", "A" * 64), ("virchow2-spatial", names, "r", "0" * 64, names[::-1])):
+        with pytest.raises(ValueError):
+            S.feature_contract(*bad)
