@@ -402,7 +402,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     found = stash(long.mapInArrow(_anchored(length, gram), "h long, k1 long, k2 long, at int"))
     place = F.xxhash64(*key, "at")
     per = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
-    anchored = found.join(per.select("h", (F.col("n") > hot).alias("hot")), "h")
+    per = stash(per.select("h", (F.col("n") > hot).alias("hot")))  # a table of its own: then a hot anchor's rows can be split in the join
+    anchored = found.join(per, "h")
     shared = stash(anchored.groupBy(*key).agg(F.collect_set(F.struct("at", "h", "hot")).alias("anchors")))
     texts = long.mapInArrow(_with_key, "k1 long, k2 long, text binary")
     once = stash(texts.join(shared.select(*key), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")))
