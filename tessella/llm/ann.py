@@ -15,7 +15,7 @@ from tessella.llm.common import batches_of, stash
 
 TABLES, SEED = 12, 5
 OCCUPANCY = 3  # vectors in a bucket, on average: the number of buckets follows the number of vectors
-PROBED = 0.83  # a query probes this times the root of the number of vectors in each table
+PROBED, GROWTH = 2.9, 0.37  # a query probes PROBED * vectors ** GROWTH buckets of each table
 BEST = 64  # axes of one hash that probes are combined from
 ROWS, QUERIES, PAIRS = 1 << 14, 1 << 16, 2_000_000  # vectors, queries and pairs that one task reranks, on average
 
@@ -46,7 +46,12 @@ def plan(n: int, width: int) -> list[int]:
     while wanted > 2 * whole:
         out.append(whole)
         wanted /= 2 * whole
-    return [*out, min(whole, 1 << max(0, math.ceil(math.log2(wanted / 2))))] if wanted > 1.5 or not out else out
+    return [*out, min(whole, max(1, math.ceil(wanted / 2)))] if wanted > 1.5 or not out else out
+
+
+def probes_of(n: int) -> int:
+    """Buckets that a query probes in each table of n vectors."""
+    return max(12, math.ceil(PROBED * n**GROWTH))
 
 
 def buckets(x: np.ndarray, table: int, axes: list[int], probes: int = 1) -> np.ndarray:
@@ -149,7 +154,7 @@ def _top(found: DataFrame, q: str, r: str, k: int) -> DataFrame:
     return found.withColumn("place_", F.row_number().over(Window.partitionBy(q).orderBy("score", r))).where(F.col("place_") <= k).drop("place_")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probed: float = PROBED, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, vec_id, score): of each query's vector the k nearest rows found, but for its own id.
 
     score is the Euclidean distance in double precision; nearest first, ties to the smaller id. Vectors that are null,
@@ -158,8 +163,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     query that finds fewer than k rows is compared with all rows, in blocks.
 
     Equal vectors are one: it stands for its k + 1 smallest ids, which are all that any answer can hold. Every vector is
-    in one bucket of each table; the number of buckets follows the number of vectors, and a query probes about its root
-    of them, nearest first, so it meets a share of the vectors that falls as they grow. Only ids meet in the tables;
+    in one bucket of each table; the number of buckets follows the number of vectors, and a query probes about its
+    0.37th power of them, nearest first, so it meets a share of the vectors that falls as they grow. Only ids meet in the tables;
     vectors are joined once, to rerank the distinct pairs.
     """
     cols = lambda df: df.where(usable(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
@@ -172,10 +177,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     askers = stash(asked.groupBy("v").agg(F.min("id").alias("id")))
     of = stash(asked.join(askers.withColumnRenamed("id", "q"), "v").select(F.col("id").alias("query_id"), "q"))
     n, m = classes.count(), askers.count()
-    axes, probes = plan(n, width), max(12, math.ceil(probed * math.sqrt(n)))
+    axes, probes = plan(n, width), probes_of(n)
     hashed = "t int, key long, id long"
     index = classes.select("id", "v").mapInArrow(_hashed(axes, 1, tables), hashed).select("t", "key", F.col("id").alias("r"))
-    probe = askers.select("id", "v").mapInArrow(_hashed(axes, min(probes, 2 ** 62), tables), hashed).select("t", "key", F.col("id").alias("q"))
+    probe = askers.select("id", "v").mapInArrow(_hashed(axes, probes, tables), hashed).select("t", "key", F.col("id").alias("q"))
     pairs = stash(index.join(probe, ["t", "key"]).select("q", "r").distinct())
 
     def answers(best: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def test_recall_holds_and_the_share_of_rows_met_falls():
         x = centres[rng.integers(0, 10, n)] + rng.normal(size=(n, 64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         q = np.arange(60)
-        axes, probes = ann.plan(n, 64), max(12, math.ceil(ann.PROBED * math.sqrt(n)))
+        axes, probes = ann.plan(n, 64), ann.probes_of(n)
         met = np.zeros((len(q), n), bool)
         for t in range(ann.TABLES):
             own, asked = ann.buckets(x, t, axes)[:, 0], ann.buckets(x[q], t, axes, probes)
