@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,32 +16,28 @@ BLOCK = 256
 def _runs(pdf: pd.DataFrame, eight: bool) -> pd.DataFrame:
     """Labels of one block: horizontal runs of one label are nodes, runs that touch on the next row are united."""
     pdf = pdf.sort_values(["y", "x"], kind="stable")
-    ys, xs, ls = (pdf[c].to_numpy() for c in ("y", "x", "label"))
-    n = len(pdf)
-    new = [True] + [bool(ys[i] != ys[i - 1] or xs[i] != xs[i - 1] + 1 or ls[i] != ls[i - 1]) for i in range(1, n)]
-    starts = [i for i in range(n) if new[i]] + [n]
-    runs = [(int(ys[a]), int(xs[a]), int(xs[b - 1]), int(ls[a])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    parent = list(range(len(runs)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    reach, lo = int(eight), 0
-    for i, (y, a, b, label) in enumerate(runs):
-        while runs[lo][0] < y - 1 or (runs[lo][0] == y - 1 and runs[lo][2] + reach < a):
-            lo += 1
-        j = lo
-        while j < i and runs[j][0] == y - 1 and runs[j][1] - reach <= b:
-            if runs[j][3] == label and runs[j][2] + reach >= a:
-                p, q = root(i), root(j)
-                parent[max(p, q)] = min(p, q)
-            j += 1
-    first = [starts[root(i)] for i in range(len(runs))]  # the root run's first pixel names the part
-    sizes = [b - a for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    names = pd.Series([int(pdf["pixel"].iloc[i]) for i in first]).repeat(sizes).to_numpy()
+    ys, xs, ls = (pdf[c].to_numpy(np.int64) for c in ("y", "x", "label"))
+    starts = np.flatnonzero(np.concatenate(([True], (ys[1:] != ys[:-1]) | (xs[1:] != xs[:-1] + 1) | (ls[1:] != ls[:-1]))))
+    sizes = np.diff(np.append(starts, len(ys)))
+    y, a, label = ys[starts] - ys.min() + 1, xs[starts] - xs.min() + 2, ls[starts]
+    b, wide = a + sizes - 1, int(xs.max() - xs.min()) + 6
+    reach = int(eight)
+    lo = np.searchsorted(y * wide + b, (y - 1) * wide + a - reach)  # of the row above, the first run that ends late enough
+    hi = np.maximum(np.searchsorted(y * wide + a, (y - 1) * wide + b + reach, "right"), lo)
+    one = np.repeat(np.arange(len(y)), hi - lo)
+    two = np.arange(len(one)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    same = label[one] == label[two]
+    one, two, root = one[same], two[same], np.arange(len(y))
+    while True:  # hook the later root of each pair to the earlier, then let all point at roots
+        p, q = root[one], root[two]
+        apart = p != q
+        if not apart.any():
+            break
+        one, two, p, q = one[apart], two[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while ((up := root[root]) != root).any():
+            root = up
+    names = np.repeat(pdf["pixel"].to_numpy()[starts[root]], sizes)  # the root run's first pixel names the part
     return pdf.assign(part=names)[["image_id", "y", "x", "label", "part"]]
 
 
