@@ -149,14 +149,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, per_lang: int = 600, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from train's text and lang (rows with null in either are left out).
 
-    One bound, a parameter: of each language per_lang documents on average, those whose hash of doc_id is low enough (all,
-    if there are fewer). All their words and n-grams count. The counts are a distributed aggregation; what comes to the
+    One bound, a parameter: of each language per_lang documents on average, those whose hash of doc_id and text is low
+    enough (all, if there are fewer). All their words and n-grams count. The counts are a distributed aggregation; what comes to the
     driver is the distinct words and n-grams of that sample. Without rows there are no languages.
     """
     rows = train.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     size = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in size.items() for x in (k, per_lang / v))), F.col("lang")) if size else F.lit(0.0)
-    picked = stash(rows.where(unit_hash(F.col("doc_id").cast("string")) < share).select("text", "lang"))
+    picked = stash(rows.where(unit_hash(F.col("doc_id").cast("string"), F.xxhash64("text")) < share).select("text", "lang"))
     counts = picked.mapInArrow(_counted, "n int, item string, lang string, c long").groupBy("n", "item", "lang").agg(F.sum("c").alias("c")).toArrow()
     counts = counts.sort_by([(c, "ascending") for c in ("n", "item", "lang")])
     cols = [counts.column(c).to_pylist() for c in ("n", "item", "lang", "c")]

@@ -139,20 +139,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
     that evidence as its value; of texts with one least shingle hash (copies, most near copies) one counts. The logit at
     which a score is 0.5 is the one of the least zero-one risk, see cut(). Bounds, both parameters: about so many positives
     and unlabelled rows, those whose hash of doc_id is low enough. Without positives or without unlabelled rows every score
-    is the prior (one half if there is no label). A repeated doc_id has the greatest of its labels; its rows are all taken.
+    is the prior (one half if there is no label). A repeated doc_id has
+    the greatest of its labels; about one of its rows is taken, by a hash of the text.
     """
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen, hits = marks.agg(F.count("*"), F.sum(F.col("toxic"))).first()
     prior = min(max((hits or 0) / seen, 1e-3), 0.999) if seen else 0.5
-    ids = docs.select(F.col(doc_id).alias("doc_id")).distinct().join(marks, "doc_id", "left")
-    ids = ids.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("p"), F.col("toxic").isNotNull().alias("told"))
+    ids = docs.groupBy(F.col(doc_id).alias("doc_id")).agg(F.count("*").alias("m")).join(marks, "doc_id", "left")
+    ids = ids.select("doc_id", "m", (F.coalesce("toxic", F.lit(0)) == 1).alias("p"), F.col("toxic").isNotNull().alias("told"))
     size = {(bool(r[0]), bool(r[1])): r[2] for r in ids.groupBy("p", "told").count().collect()}
     count = {p: size.get((p, True), 0) + size.get((p, False), 0) for p in (True, False)}
     hidden = max(prior * size.get((False, False), 0) / max(count[False], 1), 1e-4)  # positives among the unlabelled
     share = F.when(F.col("p"), positives / max(count[True], 1)).otherwise(unlabelled / max(count[False], 1))
-    ids = ids.where(unit_hash(F.col("doc_id").cast("string")) < share).select("doc_id", "p")
+    ids = ids.where(unit_hash(F.col("doc_id").cast("string")) < share).select("doc_id", "p", "m")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.where((F.col("m") == 1) | (unit_hash(F.xxhash64("text")) < 1 / F.col("m"))).drop("m")
     # copies and near copies would lend their words undue weight: of rows with one least shingle hash, one stays
     rows = rows.withColumn("w", F.split(F.lower("text"), r"\s+"))
     shingle = lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))
