@@ -39,3 +39,30 @@ def predict_logistic(tok: DataFrame, fitted: tuple[LogisticRegressionModel, list
     rows = tok.withColumn("features", array_to_vector(F.transform(features, lambda v: v.cast("double"))))
     out = model.transform(rows).withColumn("pred", F.element_at(F.array(*map(F.lit, classes)), (F.col("prediction") + 1).cast("int")))
     return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def fit_numeric(tok: DataFrame, C: float = 0.1, features: str = "feat", label: str = "class_id") -> dict[str, list]:
+    """A scaler (population standard deviation, 1 for a constant channel) and a balanced logistic head on it, as plain numbers.
+
+    Three groups 1, 2 and 3 are expected. The moments are sums by channel, made on the executors.
+    """
+    per = tok.select(F.posexplode(features).alias("ch", "v")).groupBy("ch").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("ch").collect()  # a row a channel
+    mean, scale = [float(r.m) for r in per], [float(r.s) or 1.0 for r in per]
+    rows = tok.withColumn(features, scaled(features, mean, scale))
+    model, classes = fit_logistic(rows, C, features, label)
+    if classes != [1, 2, 3]:
+        raise ValueError("three groups 1, 2, 3 are expected")
+    return {"scaler_mean": mean, "scaler_scale": scale, "logistic_coef": model.coefficientMatrix.toArray().tolist(), "logistic_intercept": list(model.interceptVector.toArray()), "class_ids": classes}
+
+
+def scaled(features: str, mean: Sequence[float], scale: Sequence[float]) -> Column:
+    """(feature - mean) / scale, channel by channel."""
+    both = F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, scale, strict=True)))
+    return F.zip_with(features, both, lambda v, q: (v.cast("double") - q["m"]) / q["s"])
+
+
+def numeric_probabilities(tok: DataFrame, head: dict[str, list], features: str = "feat") -> DataFrame:
+    """tok with the head's class probabilities as an array."""
+    x = scaled(features, head["scaler_mean"], head["scaler_scale"])
+    dots = F.array(*(F.aggregate(F.zip_with(x, F.array(*(F.lit(float(v)) for v in row)), lambda a, b: a * b), F.lit(float(b)), lambda s, v: s + v) for row, b in zip(head["logistic_coef"], head["logistic_intercept"], strict=True)))
+    return tok.withColumn("p", softmax(dots))

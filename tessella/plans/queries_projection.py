@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import components, features, grid, projection, vector
+from tessella.operators import components, features, grid, heads, projection, vector
 from tessella.plans.queries_cells import SHAPE, WEIGHTS
 from tessella.plans.queries_regions import COMP
 from tessella.plans.registry import query
@@ -141,3 +141,12 @@ def op_A20_block_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each class's cells off the support, by way of digests of blocks: no task holds more than a block's cells, or a class's blocks."""
     p = X.raster(spark, sf_dir).where("not support")
     return features.block_digests(p, "truth", 32).select("truth", "digest")
+
+
+@query()
+def op_M09_numeric_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scaled, balanced logistic head of three groups on all tokens: hits by group."""
+    tok = X.tokens(spark, sf_dir).withColumn("class_id", 1 + F.col("class_id") % 3)
+    p = heads.numeric_probabilities(tok, heads.fit_numeric(tok))
+    best = F.array_position("p", F.array_max("p"))
+    return p.groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(best == F.col("class_id")).alias("hits"))
