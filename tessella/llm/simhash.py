@@ -309,10 +309,12 @@ def _met(close: int, far: int, rest: bool):
 
     A pair with a text of fewer than SHORT shingles counts as over `close`, and `far` at most. Runs of 8 or fewer give all
     their pairs. Others give a minimal spanning forest, and where its edges of `close` bits don't connect the run, also its
-    rows, as (node, null, null, table, key); with rest they give all pairs of different components over `close` instead.
+    rows, as (node, null, null, table, key); with rest they give all pairs of different components over `close` instead, each
+    in the first table in which it meets (the rows then hold the keys of all tables).
     """
     def found(table: np.ndarray, key: np.ndarray, node: np.ndarray, component: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, short = np.stack([w.view(np.uint64) for w in words], axis=1), size < SHORT
+        u, short = np.stack([w.view(np.uint64) for w in words[: len(WORDS)]], axis=1), size < SHORT
+        keys = np.stack(words[len(WORDS) :]) if rest else None
 
         def gap_of(i, j) -> np.ndarray:
             gap = np.bitwise_count(u[i] ^ u[j]).sum(axis=1, dtype=np.int32)
@@ -336,6 +338,8 @@ def _met(close: int, far: int, rest: bool):
                 for i in range(s, s + n - 1):
                     j = np.arange(i + 1, s + n)
                     j = j[component[j] != component[i]]
+                    t = int(table[i])  # a pair that meets in an earlier table has been made there, or is one component already
+                    j = j[~(keys[:t, j] == keys[:t, i, None]).any(axis=0)]
                     gap = gap_of(j, i)
                     ok = (gap > close) & (gap <= far)
                     if ok.any():
@@ -347,12 +351,13 @@ def _met(close: int, far: int, rest: bool):
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(node[s : s + n]), none, none.cast(pa.int32()), pa.array(table[s : s + n], pa.int32()), pa.array(key[s : s + n])], ["a", "b", "bits", "t", "k"])
 
-    return _by_run(found, 3 + len(WORDS))
+    return _by_run(found, 3 + len(WORDS) + (TABLES if rest else 0))
 
 
 def _meetings(rows: DataFrame, close: int, far: int, rest: bool = False) -> DataFrame:
     """_met() over rows (t, k, node, component, size, words)."""
-    dealt = rows.select("t", "k", "node", "component", "size", *WORDS).repartition("t", "k").sortWithinPartitions("t", "k", "node")
+    keys = [F.get("keys", F.lit(i)).alias(f"key{i}") for i in range(TABLES)] if rest else []
+    dealt = rows.select("t", "k", "node", "component", "size", *WORDS, *keys).repartition("t", "k").sortWithinPartitions("t", "k", "node")
     return dealt.mapInArrow(_met(close, far, rest), "a long, b long, bits int, t int, k long")
 
 
@@ -446,7 +451,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     of = components(near, "a", "b")
     apart = met.where("b is null").select(F.col("a").alias("node"), "t", "k")
     if not apart.isEmpty():
-        apart = apart.join(nodes.select("node", "size", *WORDS), "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = apart.join(nodes.select("node", "size", *WORDS, "keys"), "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         more = _meetings(apart, close, far, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         of = components(near.unionByName(verified(more)), "a", "b")
     h, k, t, n = free_names(docs, "h", "k", "t", "n")
