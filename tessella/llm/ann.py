@@ -181,7 +181,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     hashed = "t int, key long, id long"
     index = classes.select("id", "v").mapInArrow(_hashed(axes, 1, tables), hashed).select("t", "key", F.col("id").alias("r"))
     probe = askers.select("id", "v").mapInArrow(_hashed(axes, probes, tables), hashed).select("t", "key", F.col("id").alias("q"))
-    pairs = stash(index.join(probe, ["t", "key"]).select("q", "r").distinct())
+    pairs = stash(index.hint("merge").join(probe, ["t", "key"]).select("q", "r").distinct())  # a few queries make many probes: never broadcast them
 
     def answers(best: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): the ids behind the vectors, without the query's own."""
