@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import features as H
-from tessella.operators import grid, heads
-from tessella.plans import queries_features, queries_more, queries_regions  # noqa: F401  their SQL
+from tessella.operators import grid
+from tessella.plans import queries_features, queries_more  # noqa: F401  their SQL
 from tessella.plans.registry import ORACLES, query
 from tessella.sources import fixtures as X
 
@@ -72,24 +72,6 @@ def op_K09_class_ranking_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.tokens(spark, sf_dir).select("vec_id", F.array_join(F.transform(F.array_sort(s), lambda q: q["c"].cast("string")), ",").alias("ranking"))
 
 
-def _probabilities(spark: SparkSession, sf_dir: str, p) -> DataFrame:
-    return X.tokens(spark, sf_dir).select("vec_id", F.posexplode(p).alias("ch", "p")).select("vec_id", F.col("ch").cast("long").alias("ch"), F.round("p", 6).alias("p"))
-
-
-@query(_sql("op_M24_softmax", (" WHERE ch < 5", "")))
-def op_M24_softmax_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _probabilities(spark, sf_dir, heads.softmax(F.transform("feat", lambda v: v.cast("double"))))
-
-
-PRIORS = tuple((c + 1) / 2080 for c in range(CHANNELS))
-
-
-@query(_sql("op_M10_prior_correction", (" WHERE ch < 3", ""), ("[0.2, 0.3, 0.5][ch + 1]::DOUBLE", "((ch + 1) / 2080::DOUBLE)")))
-def op_M10_prior_correction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = heads.prior_corrected(heads.softmax(F.transform("feat", lambda v: v.cast("double"))), PRIORS, -0.5)
-    return _probabilities(spark, sf_dir, p)
-
-
 @query(_sql("op_M21_hann_blend", (" WHERE vec_id < 200", "")))
 def op_M21_hann_blend_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tokens as windows of their own."""
