@@ -8,7 +8,6 @@ import math
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,85 +26,110 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 PROBE = " It's\t\tA  line's\n<|endoftext|> of\x0b\x0c\r odd-things, É é ́x ΑΣ Σ 12 3'll 日本 <|startoftext|>x \x00"
 
 
-class Symbols(dict):
-    """What stands for a character's bytes in a byte-level vocabulary."""
-
-    def __init__(self):
-        from tokenizers import pre_tokenizers
-
-        super().__init__()
-        self.shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-
-    def __missing__(self, c: str) -> str:
-        self[c] = self.shown(c)[0][0]
-        return self[c]
-
-
-class Words(dict):
-    """The ids of words as little-endian 32-bit bytes, by the tokenizer at `path`; known words from memory.
+class Words:
+    """Ids by the tokenizer at `path`, as little-endian 32-bit bytes; those of known words from memory.
 
     A tokenizer that gives for a text what it gives for its words is asked for words alone; that is probed, and any other gets
-    whole texts. Where it lower-cases, splits by a pattern and merges byte symbols, and says so in its file, the pattern and its
-    merges are used on words of Latin letters; other words go through all of it.
+    whole texts. Where its file says that it lower-cases, splits by a pattern and merges byte symbols in the order of their
+    ids, words of Latin letters are split by that pattern and merged by the same table as ranks of bytes, many in a call, a space
+    standing for the end of a word; all others go through the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         if self.tokenizer.truncation or self.tokenizer.padding:
             raise ValueError("the tokenizer must neither truncate nor pad")
         said = json.loads(self.tokenizer.to_str())
-        stages = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
-        split, *rest = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        plain = stages == ["NFC", "Replace", "Lowercase"] and split.get("invert") and split.get("behavior") == "Removed" and "Regex" in split.get("pattern", {}) and rest == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-        self.pattern = regex.compile(split["pattern"]["Regex"]) if plain else None
         self.marks = {x["content"][0] for x in said["added_tokens"]}  # a word that holds one may hold a special token
-        self.symbols = Symbols()
-        self.short: dict[str, bytes] = {}
+        self.pattern = self.merges = None
+        ranks, pattern = _byte_ranks(said), _pattern(said)
+        if ranks and pattern:
+            import tiktoken
+
+            self.pattern = regex.compile(f"(?:{pattern})|\n")
+            self.merges = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+            self.line = ranks[b"\n "]
+        probe = PROBE.encode()
         whole = self.encoded(PROBE)
-        self.by_words = whole == b"".join(self.encoded(w.decode()) for w in PROBE.encode().split())
-        self.merge = self.tokenizer.model.tokenize
-        if self.by_words and self.pattern is not None and whole != b"".join(map(self.__getitem__, PROBE.encode().split())):
-            raise ValueError("the tokenizer's stages don't give what it gives")
+        self.by_words = whole == b"".join(self.encoded(w.decode()) for w in probe.split())
+        if self.by_words and self.ids([probe])[0] != whole:
+            raise ValueError("the tokenizer's parts don't give what it gives")
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if len(piece) <= 4 and (found := self.short.get(piece)) is not None:
-            return found
-        shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece))
-        out = array("I", [t.id for t in self.merge(shown)]).tobytes()
-        if len(piece) <= 4:
-            self.short[piece] = out
-        return out
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode(errors="replace")
-        latin = self.pattern is not None and (word.isalnum() or (text.isascii() or max(text) < LATIN) and self.marks.isdisjoint(text))
-        if latin and word.isalpha():
-            out = self._piece(text.lower())
-        elif latin:
-            out = b"".join(map(self._piece, self.pattern.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())))
-        else:
-            out = self.encoded(text)
-        if len(word) <= LONG:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = out
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of whole texts; none for a null."""
+        if not self.by_words:
+            return [self.encoded(t.decode(errors="replace")) if t else b"" for t in texts]
+        if all(t is None or len(t) <= WINDOW for t in texts):
+            return self._of([t.split() if t else [] for t in texts])
+        return [b"".join(self._of([part.split()])[0] for part in _windows(t)) if t else b"" for t in texts]
+
+    def _of(self, split: list[list[bytes]]) -> list[bytes]:
+        every = set().union(*split)
+        fresh = list(every.difference(self.known))
+        if len(self.known) + len(fresh) > WORDS:
+            self.known.clear()
+            fresh = list(every)
+        self._learn(fresh)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > LONG:
+                del self.known[w]
         return out
 
-    def ids(self, text: bytes | None) -> bytes:
-        """The ids of a whole text; none for a null."""
-        if not text:
-            return b""
-        if not self.by_words:
-            return self.encoded(text.decode(errors="replace"))
-        if len(text) <= WINDOW:
-            return b"".join(map(self.__getitem__, text.split()))
-        return b"".join(b"".join(map(self.__getitem__, part.split())) for part in _windows(text))
+    def _learn(self, words: list[bytes]) -> None:
+        latin = lambda text: max(text, default="") < LATIN and self.marks.isdisjoint(text)
+        text = b"\n".join(words).decode(errors="replace")
+        if self.merges is None or not latin(text):
+            fine = [w for w in words if self.merges is not None and latin(w.decode(errors="replace"))]
+            for w in set(words).difference(fine):
+                self.known[w] = self.encoded(w.decode(errors="replace"))
+            words, text = fine, b"\n".join(fine).decode()
+        if words:
+            pieces = self.pattern.findall(unicodedata.normalize("NFC", text).lower() + "\n")  # a line break, which no word holds, is a piece too
+            ids = np.array(self.merges.encode_ordinary(" ".join([*pieces, ""])), "<u4")
+            ends = np.flatnonzero(ids == self.line).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(words, [data[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends[:-1]], ends, strict=True)], strict=True))
+
+
+def _pattern(said: dict) -> str | None:
+    """The pattern of a tokenizer that composes, lower-cases, keeps what the pattern finds, and maps bytes to symbols."""
+    stages = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+    split, *rest = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    plain = stages == ["NFC", "Replace", "Lowercase"] and split.get("invert") and split.get("behavior") == "Removed" and rest == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    return split.get("pattern", {}).get("Regex") if plain else None
+
+
+def _byte_ranks(said: dict) -> dict[bytes, int] | None:
+    """A byte-level vocabulary with ends of words as ranks of bytes, a space for the end; None if its merges aren't in the order of their ids."""
+    from tokenizers import pre_tokenizers
+
+    model, suffix = said["model"], said["model"].get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return None
+    shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    of = {}
+    for c in map(chr, range(256)):  # characters of one byte, and of two, whose symbols stand for their bytes in turn
+        of.update(zip(shown(c)[0][0], c.encode(), strict=True))
+    of.update(zip((s for c in map(chr, range(0x100, 0x800)) for s in shown(c)[0][0]), (b for c in map(chr, range(0x100, 0x800)) for b in c.encode()), strict=True))
+    for c in (chr(0x800), chr(0xFFFD), *(chr(k << 12) for k in range(1, 16) if k != 13), chr(0x10000), chr(0x40000), chr(0x80000), chr(0xC0000), chr(0x100000)):
+        of.update(zip(shown(c)[0][0], c.encode(), strict=True))
+    special = {x["content"] for x in said["added_tokens"]}
+    ranks = {}
+    for token, i in model["vocab"].items():
+        if token not in special:
+            body, end = (token[: -len(suffix)], b" ") if token.endswith(suffix) and token != suffix else (token, b"")
+            if any(c not in of for c in body):
+                continue  # bytes that no text has
+            ranks[bytes(of[c] for c in body) + end] = i
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    whole = made == sorted(made) and all(bytes([b]) in ranks and bytes([b, 32]) in ranks for b in of.values())
+    return ranks if whole else None
 
 
 def _windows(text: bytes) -> Iterator[bytes]:
@@ -202,7 +226,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int | None = 1, gr
             _LOADED[path] = Words(path)
         for batch in batches_of(batches, 1):
             n, tails, full = [], [], []
-            for data in map(_LOADED[path].ids, batch.column(1).cast(pa.binary()).to_pylist()):
+            for data in _LOADED[path].ids(batch.column(1).cast(pa.binary()).to_pylist()):
                 ids = np.frombuffer(data if end is None else data + np.array([end], "<u4").tobytes(), "<u4")
                 n.append(len(ids))
                 tails.append(ids[len(ids) // length * length :].tobytes())

@@ -145,11 +145,21 @@ def test_cost_is_balanced():
 @given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("aA'sSİΣſ<|>endoftxé́ \t\x0b\x1c\x85  .1²", max_size=40))
 def test_words_give_the_librarys_ids(text):
     words = packing._LOADED.get(PATH) or packing._LOADED.setdefault(PATH, packing.Words(PATH))
-    assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.ids([text.encode()])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_token_is_reached_as_the_library_reaches_it():
+    """The merges by ranks of bytes are those by pairs: each token's own text gives that token alone, or what the library gives."""
+    words = packing.Words(PATH)
+    texts = [t.replace("</w>", "") for t in words.tokenizer.get_vocab() if t.isascii() and "<|" not in t]
+    assert words.merges is not None and len(texts) > 40_000
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        assert words.ids([t.encode() for t in part]) == [words.encoded(t) for t in part]
 
 
 def test_special_strings_and_long_texts():
     words = packing.Words(PATH)
     for text in ("a<|endoftext|>b <|startoftext|> <|endoftext", "word " * 2_000_000, "x" * 5000 + " y", ("é" * 3000 + " ") * 3):
-        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
-    assert not any(len(w) > packing.LONG for w in words)
+        assert np.frombuffer(words.ids([text.encode()])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not any(len(w) > packing.LONG for w in words.known)
