@@ -183,18 +183,20 @@ def _by_run(found: Callable[..., Iterator[pa.RecordBatch]], longs: int, first: t
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, key, fp) of long runs under keys that hold FINER's share of the open bits too."""
+    """Rows (open, fp) of long runs, open the bits in which the run differs, under keys that hold FINER's share of those too.
+
+    mask and key are the bits held and their values alone, so rows that come from different runs to the same key are equal.
+    """
     for batch in batches:
-        mask, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        for m in np.unique(mask):
-            own = mask == m
-            bits = [b for b in range(64) if not int(m) >> b & 1]
+        opened, fp = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+        for m in np.unique(opened):
+            own = fp[opened == m]
+            bits = [b for b in range(64) if int(m) >> b & 1]
             edges = [len(bits) * i // FINER[0] for i in range(FINER[0] + 1)]
             blocks = [sum(1 << b for b in bits[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
             for c in combinations(blocks, FINER[1]):
-                more = np.uint64(sum(c))
-                k = (fp[own].view(np.uint64) & more) * np.uint64(0x9E3779B97F4A7C15) ^ key[own].view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), np.uint64(m) | more, np.uint64).view(np.int64)), pa.array((k ^ (k >> np.uint64(31))).view(np.int64)), pa.array(fp[own])], ["mask", "key", "fp"])
+                mask = ~m | np.uint64(sum(c))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), mask, np.uint64).view(np.int64)), pa.array((own & mask).view(np.int64)), pa.array(own.view(np.int64))], ["mask", "key", "fp"])
 
 
 def links(fps: DataFrame, distance: int = 4, most: int = RUN) -> DataFrame:
@@ -202,9 +204,11 @@ def links(fps: DataFrame, distance: int = 4, most: int = RUN) -> DataFrame:
 
     The 64 bits are split into blocks, and a table for each choice of some of them keys a row by those; every pair at 4
     bits or fewer meets. Rows are dealt by (mask, key) and sorted there; a run is verified by XOR and bit count, and gives
-    at most 8 * 7 / 2 pairs or a spanning forest. A run of over `most` rows is dealt again by blocks of the bits that its
-    key leaves open, in which such a pair meets too; any value of `most` connects the same.
+    at most 8 * 7 / 2 pairs or a spanning forest. A run of over `most` rows (16 at least) is dealt again by blocks of the bits in
+    which its rows differ, in which such a pair meets too. Rows that reach one key from several runs are one, so runs shrink
+    from level to level, and any value of `most` connects the same.
     """
+    most = max(most, 16)
     if distance > 4:
         raise ValueError("these blocks find pairs at 4 bits or fewer")
     kind = "a long, b long, bits int, mask long, key long"
@@ -218,7 +222,8 @@ def links(fps: DataFrame, distance: int = 4, most: int = RUN) -> DataFrame:
         dense = met.where("b is null").select("mask", "key", F.col("a").alias("fp"))
         if dense.isEmpty():
             return out
-        rows = dense.mapInArrow(_finer, "mask long, key long, fp long")
+        differ = dense.groupBy("mask", "key").agg(F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("open"))
+        rows = dense.join(differ, ["mask", "key"]).select("open", "fp").distinct().mapInArrow(_finer, "mask long, key long, fp long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
