@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def remap(label: Column, new: dict[int, int | None]) -> Column:
@@ -75,15 +76,17 @@ def token_of(pixel: Column, pixels: int | Column, grid: int | Column) -> Column:
 FEATURE_WIDTHS = {"virchow2-spatial": 1280, "virchow2-pooled": 2560}
 
 
-def feature_contract(kind: str, columns: Sequence[str], revision: str, sha256: str, found: Sequence[str] | None = None) -> dict:
-    """What a head was trained on: the kind, its exact ordered columns and the encoder; an error if anything is amiss.
+def feature_contract(table: DataFrame, kind: str, columns: Sequence[str], encoder: str = "encoder") -> DataFrame:
+    """The table, once its schema is what a head of this kind was trained on; rows of an unnamed encoder are an error when read.
 
-    found: a table's columns, which must begin with those in that order.
+    The table begins with `columns`, in that order, numbers all, as many as the kind has; the struct column `encoder` holds
+    a revision and a SHA-256 in lower case.
     """
-    if kind not in FEATURE_WIDTHS or len(columns) != FEATURE_WIDTHS[kind] or len(set(columns)) != len(columns) or not all(columns):
-        raise ValueError("a known kind and as many unique, named columns as it has are needed")
-    if not revision or len(sha256) != 64 or not set(sha256) <= set("0123456789abcdef"):
-        raise ValueError("the encoder needs a revision and a lower-case SHA-256")
-    if found is not None and list(found)[: len(columns)] != list(columns):
-        raise ValueError("the table's columns differ from the contract's")
-    return {"feature_kind": kind, "feature_columns": list(columns), "encoder": {"revision": revision, "sha256": sha256}}
+    lead = table.schema.fields[: FEATURE_WIDTHS.get(kind, 0)]
+    if not lead or [f.name for f in lead] != list(columns) or len({f.name for f in lead}) < len(lead):
+        raise ValueError(f"the table does not begin with the ordered columns of {kind}")
+    if odd := [f.name for f in lead if not isinstance(f.dataType, NumericType)]:
+        raise ValueError(f"not numbers: {', '.join(odd)}")
+    by = F.col(encoder)
+    named = (F.length(by["revision"]) > 0) & by["sha256"].rlike("^[0-9a-f]{64}$")
+    return table.withColumn(encoder, require(named, "the encoder needs a revision and a SHA-256", by))

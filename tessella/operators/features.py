@@ -39,18 +39,27 @@ def top_channels(contrast: DataFrame, k: int) -> DataFrame:
     return contrast.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("class_id", "rank", "ch")
 
 
-def class_statistics(ch: DataFrame, channels: int, shrink: float = 0.2, ridge: float = 0.0025) -> DataFrame:
-    """(i, j, cov): covariance pooled over classes, off-diagonals shrunk towards 0, a ridge on the diagonal.
+def class_statistics(tok: DataFrame, channels: int, shrink: float = 0.2, ridge: float = 0.0025) -> DataFrame:
+    """(i, j, cov), i <= j: covariance of the first channels pooled over classes, off-diagonals shrunk towards 0, a ridge on the diagonal.
 
-    From class means and pairwise products of each sample's channels below `channels`: a self-join within a sample.
+    tok: (feat, class_id). From the classes' packed Gram matrices, which meet in the task that writes the result.
     """
-    few = ch.where(F.col("ch") < channels)
-    means = few.groupBy("class_id", "ch").agg(F.avg("v").alias("m"))
-    wide = few.groupBy("vec_id", "class_id").agg(F.sort_array(F.collect_list(F.struct("ch", "v"))).alias("f"))
-    pairs = wide.select("class_id", F.explode("f").alias("a"), "f").select("class_id", "a", F.explode("f").alias("b")).where("a.ch <= b.ch").groupBy("class_id", F.col("a.ch").alias("i"), F.col("b.ch").alias("j")).agg(F.count("*").alias("n"), F.sum(F.col("a.v") * F.col("b.v")).alias("p"))
-    mi, mj = (means.select("class_id", F.col("ch").alias(c), F.col("m").alias(f"m{c}")) for c in "ij")
-    s = pairs.join(mi, ["class_id", "i"]).join(mj, ["class_id", "j"]).groupBy("i", "j").agg((F.sum(F.col("p") - F.col("n") * F.col("mi") * F.col("mj")) / F.sum("n")).alias("c"))
-    return s.select("i", "j", (F.when(F.col("i") == F.col("j"), F.col("c") + ridge).otherwise(F.col("c") * (1 - shrink))).alias("cov"))
+    grams = gram_rows(tok.select(F.slice("feat", 1, channels).alias("feat"), "class_id", F.lit(0).alias("fold")), channels, "fold")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, n = np.zeros((channels, channels)), 0.0
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                g = np.frombuffer(packed).reshape(channels + 1, -1)
+                c, n = c + g[:-1, :-1] - np.outer(g[-1, :-1], g[-1, :-1]) / g[-1, -1], n + g[-1, -1]
+        if n:
+            i, j = np.triu_indices(channels)
+            cov = np.where(i == j, c[i, j] / n + ridge, c[i, j] / n * (1 - shrink))
+            for at in range(0, len(i), 1 << 16):
+                cut = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(i[cut]), pa.array(j[cut]), pa.array(cov[cut])], ["i", "j", "cov"])
+
+    return grams.select("g").coalesce(1).mapInArrow(run, "i long, j long, cov double")
 
 
 def _grams(width: int, classes: list[int]):
@@ -120,10 +129,10 @@ def centroid_head(ch: DataFrame, k: int) -> DataFrame:
 
 
 def threshold_sweep(margins: DataFrame, populations: dict[int, float], positive: int, sensitivity: float) -> DataFrame:
-    """(threshold, sensitivity, specificity): the cut `margin >= threshold` of the largest specificity at that sensitivity.
+    """(threshold, sensitivity, specificity, dice): the cut `margin >= threshold` of the largest specificity at that sensitivity.
 
-    margins: (margin, class_id), two classes. Class counts are weighted to the populations; ties go to the largest
-    threshold. Rows are reduced to one for each distinct margin; those are dealt in ranges, summed up within each, and
+    margins: (margin, class_id), two classes. Both are shares of their own class, so weighting the classes to their
+    populations changes neither; populations must cover the rows, and weigh the dice that comes with the cut. Ties go to the largest threshold. Rows are reduced to one for each distinct margin; those are dealt in ranges, summed up within each, and
     shifted by the sums of the ranges above: only a row a range meets in one task.
     """
     per = margins.groupBy("margin").agg(F.count_if(F.col("class_id") == positive).alias("tp"), F.count_if(F.col("class_id") != positive).alias("fp"))
@@ -133,7 +142,12 @@ def threshold_sweep(margins: DataFrame, populations: dict[int, float], positive:
     sums = sums.select("range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in "ab"), F.sum("a").over(every).alias("p"), F.sum("b").over(every).alias("n"))
     down = Window.partitionBy("range").orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = per.select("range", "margin", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp")).join(F.broadcast(sums), "range")  # a row a range
-    c = c.select(F.col("margin").alias("threshold"), ((F.col("tp") + F.col("a_above")) / F.col("p")).alias("sensitivity"), (1 - (F.col("fp") + F.col("b_above")) / F.col("n")).alias("specificity"))
+    share = ((F.col("tp") + F.col("a_above")) / F.col("p"), (F.col("fp") + F.col("b_above")) / F.col("n"))
+    size = [F.lit(float(v)) if v else F.col(c) for c, v in (("p", populations.get(positive)), ("n", sum(v for k, v in populations.items() if k != positive)))]
+    uncovered = (size[0] < F.col("p")) | (size[1] < F.col("n"))
+    true, false = (s * w for s, w in zip(share, size, strict=True))
+    dice = F.when(uncovered, F.raise_error(F.lit("populations must cover the rows"))).otherwise(2 * true / (true + false + size[0]))
+    c = c.select(F.col("margin").alias("threshold"), share[0].alias("sensitivity"), (1 - share[1]).alias("specificity"), dice.alias("dice"))
     return c.where(F.col("sensitivity") >= sensitivity).orderBy(F.desc("specificity"), F.desc("threshold")).limit(1)
 
 
@@ -170,10 +184,14 @@ def class_grams(tok: DataFrame, width: int, fold: str) -> dict[tuple[int, int],
 
     Partitions hand on one packed matrix a fold and class, which are added in tasks of their own; the driver gets their sums.
     """
+    return {(r.fold, r.class_id): np.frombuffer(r.g).reshape(width + 1, -1) for r in gram_rows(tok, width, fold).collect()}
+
+
+def gram_rows(tok: DataFrame, width: int, fold: str) -> DataFrame:
+    """class_grams() as a table (fold, class_id, g), a packed matrix a row."""
     kind = "fold long, class_id long, g binary"
     rows = tok.select("feat", F.col(fold).cast("long").alias("fold"), F.col("class_id").cast("long").alias("class_id")).mapInArrow(_class_grams(width), kind)
-    rows = rows.repartition("fold", "class_id").mapInArrow(_added, kind).collect()
-    return {(r.fold, r.class_id): np.frombuffer(r.g).reshape(width + 1, -1) for r in rows}
+    return rows.repartition("fold", "class_id").mapInArrow(_added, kind)
 
 
 def ridge_of(grams: dict[tuple[int, int], np.ndarray], folds: Sequence[int], alpha: float, balanced: bool = True) -> Ridge:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 
 def softmax(scores: Column) -> Column:
     """Shares of exp(score), shifted by the largest."""
-    e = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    shifted = lambda s: _bound(F.array_max(s), lambda top: F.transform(s, lambda v: F.exp(v - top)))
+    return _shares(_bound(scores, shifted))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value made once a row instead of once for each element that looks at it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shares(weights: Column) -> Column:
+    of = lambda w: _bound(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(w, lambda v: v / total))
+    return _bound(weights, of)
 
 
 def prior_corrected(p: Column, prior: Sequence[float], exponent: float) -> Column:
     """p times prior ** exponent, class by class, renormalised."""
-    q = F.zip_with(p, F.array(*(F.lit(float(v) ** exponent) for v in prior)), lambda a, b: a * b)
-    return F.transform(q, lambda v: v / F.aggregate(q, F.lit(0.0), lambda a, b: a + b))
+    return _shares(F.zip_with(p, F.array(*(F.lit(float(v) ** exponent) for v in prior)), lambda a, b: a * b))
 
 
 def fit_logistic(tok: DataFrame, C: float, features: str = "feat", label: str = "class_id", iterations: int = 200) -> tuple[LogisticRegressionModel, list[int]]:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.grid import KEY
+from tessella.plans.durable import stash
 
+BINARY = (2, 4)  # classes of the binary rule: the second where its score is positive. Fixed values.
 SMOOTH, SHARP = -0.5, -0.75  # the cubic kernel's free parameter: of image resizing with antialiasing, and of remapping. Fixed values.
 
 
@@ -57,17 +59,23 @@ def _decided(scores: DataFrame, allowed: Sequence[int]) -> DataFrame:
     return ok.groupBy(*KEY).agg((-F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("class_id")).alias("n")))["n"]).alias("label"))
 
 
-def roi_mask(scores: DataFrame, tokens: tuple[int, int], working: tuple[int, int], display: tuple[int, int], allowed: Sequence[int], side: int = 14) -> DataFrame:
+def roi_mask(scores: DataFrame, tokens: tuple[int, int], working: tuple[int, int], display: tuple[int, int], allowed: Sequence[int], side: int = 14, classes: Sequence[int] | None = None) -> DataFrame:
     """(key, label) at display size from (key, class_id, score) on a token grid; sizes are (height, width).
 
     Scores are enlarged to side pixels a token, cropped to the working frame and resized to the display, channel by channel,
-    before the classes are compared. The two cubic resizings of an axis are one table of weights.
+    before the classes are compared. The two cubic resizings of an axis are one table of weights. A head of the two classes
+    BINARY alone has no gate: its second class is where that one's score is above 0.
     """
     if not allowed or any(not 0 < w <= t * side for w, t in zip(working, tokens, strict=True)) or min(display) < 1:
         raise ValueError("allowed classes and registered sizes are needed")
     spark, out = scores.sparkSession, scores
     for axis, t, w, d in zip(("x", "y"), reversed(tokens), reversed(working), reversed(display), strict=True):
         out = applied(out, "score", axis, chained(resize_weights(spark, w, d), resize_weights(spark, t, t * side), w), ("class_id",))
+    if classes is not None and len(classes) == 2:
+        if tuple(sorted(allowed)) != BINARY or tuple(sorted(classes)) != BINARY:
+            raise ValueError("a head of two classes must have, and be allowed, those of the binary rule")
+        score = F.max(F.when(F.col("class_id") == BINARY[1], F.round("score", 9)))
+        return out.groupBy(*KEY).agg(F.when(score > 0, BINARY[1]).otherwise(BINARY[0]).cast("long").alias("label"))
     return _decided(out, allowed)
 
 
@@ -108,6 +116,7 @@ def one_to_one(a: DataFrame, b: DataFrame) -> DataFrame:
     a, b: (key, part). An error if a part has no counterpart, two parts have the same, or the numbers of parts differ.
     """
     met = a.join(b.select(*KEY, F.col("part").alias("other")), list(KEY)).groupBy("image_id", "part", "other").agg(F.count("*").alias("cells"))
+    met = stash(met)
     best = met.groupBy("image_id", "part").agg(F.max(F.struct("cells", "other")).alias("m")).select("image_id", "part", "m.other", "m.cells")
     n = [df.select("image_id", c).distinct().count() for df, c in ((a, "part"), (b, "part"), (best, "part"), (best, "other"))]
     if len(set(n)) != 1:

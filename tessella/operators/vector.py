@@ -92,9 +92,10 @@ def scaled(points: str, factor_x: float, factor_y: float) -> Column:
 
 
 def polygons(rings: DataFrame) -> DataFrame:
-    """(image_id, component, label, coordinates): one polygon a component, its outer ring first, its holes behind it."""
+    """(image_id, component, label, coordinates): one polygon a component, its outer ring first, its holes behind it, by `ring` where the rings have that column."""
     ring = F.transform("points", lambda p: F.array(p["x"], p["y"]))
-    every = rings.groupBy("image_id", "component", "label").agg(F.array_sort(F.collect_list(F.struct("hole", "ring", ring.alias("ring_points")))).alias("r"))
+    order = ["hole", "ring"] if "ring" in rings.columns else ["hole"]
+    every = rings.groupBy("image_id", "component", "label").agg(F.array_sort(F.collect_list(F.struct(*order, ring.alias("ring_points")))).alias("r"))
     return every.select("image_id", "component", "label", F.transform("r", lambda r: r["ring_points"]).alias("coordinates"))
 
 

@@ -56,7 +56,7 @@ def op_A04_observations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql("op_A08_class_statistics", (" WHERE ch < 6", "")))
 def op_A08_class_statistics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.class_statistics(X.channels(X.tokens(spark, sf_dir)), CHANNELS).select("i", "j", F.round("cov", 8).alias("cov"))
+    return H.class_statistics(X.tokens(spark, sf_dir), CHANNELS).select("i", "j", F.round("cov", 8).alias("cov"))
 
 
 @query(_sql("op_K06_argmax", (" WHERE ch < 8", "")))

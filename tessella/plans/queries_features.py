@@ -50,7 +50,7 @@ def op_A04_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
  p AS (SELECT a.ch AS i, b.ch AS j, sum((a.v - ma.m) * (b.v - mb.m)) / count(*) AS c FROM few a JOIN few b ON a.vec_id = b.vec_id AND a.ch <= b.ch JOIN m ma ON ma.class_id = a.class_id AND ma.ch = a.ch JOIN m mb ON mb.class_id = b.class_id AND mb.ch = b.ch GROUP BY ALL)
  SELECT i, j, round(CASE WHEN i = j THEN c + 0.0025 ELSE c * 0.8 END, 8) AS cov FROM p""")
 def op_A08_class_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.class_statistics(_channels(spark, sf_dir), 6).select("i", "j", F.round("cov", 8).alias("cov"))
+    return H.class_statistics(X.tokens(spark, sf_dir), 6).select("i", "j", F.round("cov", 8).alias("cov"))
 
 
 @query(f"WITH {CHAN}, m AS (SELECT ch, median(v) AS m FROM chan GROUP BY ch), d AS (SELECT ch, median(abs(v - m)) AS mad FROM chan JOIN m USING (ch) GROUP BY ch) SELECT ch, round(mad, 8) AS mad FROM d ORDER BY round(mad, 8) DESC, ch LIMIT 16")

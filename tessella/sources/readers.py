@@ -93,17 +93,16 @@ def annotation_grid(raster: DataFrame, code: str, classes: dict[int, int | None]
     return at.select("image_id", F.expr(f"(y - {half}) div {token}").alias("y"), F.expr(f"(x - {half}) div {token}").alias("x"), checked.cast("long").alias("label"))
 
 
-#: Column names by which spot tables are recognised, in order of preference. Fixed values.
-SPOT_X = ("pxl_col_in_fullres", "imagecol", "sdimx", "x")
-SPOT_Y = ("pxl_row_in_fullres", "imagerow", "sdimy", "y")
+#: Pairs of columns (x, y) by which spot tables are recognised, in order of preference. Fixed values.
+SPOT_COLUMNS = (("pxl_col_in_fullres", "pxl_row_in_fullres"), ("imagecol", "imagerow"), ("sdimx", "sdimy"), ("x", "y"))
 
 
 def spots(coordinates: DataFrame, metadata: DataFrame, cluster: str, spot: str = "spot_id", tissue: str = "in_tissue") -> DataFrame:
     """(spot_id, x, y, cluster): coordinates joined with cluster metadata on the spot; spots off the tissue go."""
-    pick = lambda names: next((c for c in names if c in coordinates.columns), None)
-    x, y = pick(SPOT_X), pick(SPOT_Y)
-    if not (x and y):
+    found = [pair for pair in SPOT_COLUMNS if set(pair) <= set(coordinates.columns)]
+    if not found:
         raise ValueError("no coordinate columns are recognised")
+    x, y = found[0]
     inside = coordinates.where(F.col(tissue).cast("int") == 1) if tissue in coordinates.columns else coordinates
     return inside.select(F.col(spot).alias("spot_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).join(metadata.select(F.col(spot).alias("spot_id"), F.col(cluster).alias("cluster")), "spot_id")
 

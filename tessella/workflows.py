@@ -35,7 +35,7 @@ def predict(tok: DataFrame, head: features.Ridge, tokens: tuple[int, int], worki
     scores = features.ridge_scores(tok, head).select(*grid.KEY, F.posexplode("scores").alias("k", "score"))
     smooth = grid.gaussian(scores, "score", SMOOTHING, tokens[0], tokens[1], ("k",))
     classes = F.element_at(F.array(*(F.lit(int(c)) for c in head.classes)), F.col("k") + 1)
-    mask = projection.roi_mask(smooth.select(*grid.KEY, classes.alias("class_id"), "score"), tokens, working, display, allowed, side)
+    mask = projection.roi_mask(smooth.select(*grid.KEY, classes.alias("class_id"), "score"), tokens, working, display, allowed, side, head.classes)
     return repair.repair(mask, "label", repair.threshold_pixels(SMALLEST_UM2, *mpp), "roi")
 
 
@@ -46,15 +46,19 @@ def _digests(mask: DataFrame) -> dict[str, str]:
 
 
 def publish(mask: DataFrame, path: str, run_id: str, inputs: dict[str, str]) -> DataFrame:
-    """Write a mask; its receipt (one row), which names the inputs' digests and those of the mask's classes as written."""
+    """Write a mask and, beside it, its receipt (one row), which names the inputs' digests and those of the mask's classes as written.
+
+    Both are refused if there; the receipt comes last, so a run that was cut off has none.
+    """
     sinks.write_mask(mask, path)
     spark = mask.sparkSession
-    return sinks.receipt(spark, run_id, "mask", inputs, _digests(sinks.read_mask(spark, path)))
+    sinks.receipt(spark, run_id, "mask", inputs, _digests(sinks.read_mask(spark, path))).coalesce(1).write.mode("errorifexists").parquet(f"{path}.receipt")
+    return spark.read.parquet(f"{path}.receipt")
 
 
-def verify(spark: SparkSession, path: str, receipt: DataFrame, inputs: dict[str, str]) -> int:
-    """The number of classes and images whose cells are as the receipt says; an error if anything differs."""
-    r = receipt.first()
+def verify(spark: SparkSession, path: str, inputs: dict[str, str], receipt: str | None = None) -> int:
+    """The number of classes and images whose cells are as the stored receipt says (`receipt`, if it isn't beside the mask); an error if anything differs."""
+    r = spark.read.parquet(receipt or f"{path}.receipt").first()
     if r.status != "COMPLETE" or r.inputs != inputs:
         raise ValueError("the receipt is of another run or input")
     if (found := _digests(sinks.read_mask(spark, path))) != r.outputs:
@@ -63,6 +67,8 @@ def verify(spark: SparkSession, path: str, receipt: DataFrame, inputs: dict[str,
 
 
 def evaluate(mask: DataFrame, truth: DataFrame) -> DataFrame:
-    """class_overlap() of a mask with a truth of the same cells (key, label)."""
-    both = truth.select(*grid.KEY, F.col("label").alias("truth")).join(mask.select(*grid.KEY, F.col("label").alias("pred")), list(grid.KEY))
-    return metrics.class_overlap(both, "truth", "pred")
+    """class_overlap() of a mask with a truth of the same cells (key, label); cells that only one of them has are an error."""
+    pairs = truth.select(*grid.KEY, F.col("label").alias("truth"), F.lit(True).alias("t")).join(mask.select(*grid.KEY, F.col("label").alias("pred"), F.lit(True).alias("p")), list(grid.KEY), "full")
+    both = F.col("t").isNotNull() & F.col("p").isNotNull()
+    checked = F.when(both, F.col("truth")).otherwise(F.raise_error(F.lit("mask and truth must have the same cells")))
+    return metrics.class_overlap(pairs.select(checked.cast("long").alias("truth"), "pred"), "truth", "pred")

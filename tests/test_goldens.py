@@ -359,9 +359,15 @@ def test_dissolve_refuses_overlapping_classes(spark):
         vector.dissolve(make(square(1, 1, 0), square(2, 2, 2))).collect()
 
 
-def test_feature_contract():
+def test_feature_contract(spark):
     names = [f"c{i}" for i in range(1280)]
-    assert S.feature_contract("virchow2-spatial", names, "r1", "0" * 64, [*names, "label"])["feature_columns"] == names
-    for bad in (("other", names, "r", "0" * 64), ("virchow2-spatial", names[:-1], "r", "0" * 64), ("virchow2-spatial", names, "", "0" * 64), ("virchow2-spatial", names, "r", "A" * 64), ("virchow2-spatial", names, "r", "0" * 64, names[::-1])):
+    one = F.struct(*(F.lit(0.5).alias(n) for n in names))
+    encoder = lambda revision, sha: F.struct(F.lit(revision).alias("revision"), F.lit(sha).alias("sha256")).alias("encoder")
+    table = spark.range(1).select(one.alias("s"), encoder("r1", "0" * 64)).select("s.*", "encoder")
+    assert S.feature_contract(table, "virchow2-spatial", names).select("c7", "encoder.revision").first() == (0.5, "r1")
+    for bad in ((table, "other", names), (table, "virchow2-pooled", names), (table, "virchow2-spatial", names[::-1]), (table.withColumn("c3", F.lit("x")), "virchow2-spatial", names), (table.drop("c9"), "virchow2-spatial", names)):
         with pytest.raises(ValueError):
             S.feature_contract(*bad)
+    for revision, sha in (("", "0" * 64), ("r1", "0" * 63), ("r1", "A" * 64), (None, "0" * 64)):
+        with pytest.raises(Exception, match="encoder needs"):
+            S.feature_contract(table.drop("encoder").select("*", encoder(revision, sha)), "virchow2-spatial", names).select("encoder").collect()

@@ -68,8 +68,11 @@ def test_spots_filter_tissue(spark):
     c = spark.createDataFrame([("s1", 10, 20, 1), ("s2", 30, 40, 1), ("s3", 50, 60, 0)], "spot_id string, pxl_col_in_fullres int, pxl_row_in_fullres int, in_tissue int")
     m = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s3", "c")], "spot_id string, cluster_id string")
     assert sorted(map(tuple, readers.spots(c, m, "cluster_id").collect())) == [("s1", 10.0, 20.0, "a"), ("s2", 30.0, 40.0, "b")]
-    with pytest.raises(ValueError, match="no coordinate"):
-        readers.spots(m, m, "cluster_id")
+    mixed = spark.createDataFrame([("s1", 7.0, 1.0, 2.0)], "spot_id string, imagecol double, y double, x double")
+    assert [tuple(r) for r in readers.spots(mixed, m, "cluster_id").collect()] == [("s1", 2.0, 1.0, "a")]
+    for wrong in (m, mixed.drop("x")):
+        with pytest.raises(ValueError, match="no coordinate"):
+            readers.spots(wrong, m, "cluster_id")
 
 
 def test_ordered_groups(spark):

@@ -15,15 +15,18 @@ def test_train_predict_publish_verify_evaluate(spark, tmp_path):
     digest = workflows.train(tok, 6, str(tmp_path / "head"))
     head = workflows.load_head(spark, str(tmp_path / "head"))
     mask = workflows.predict(tok, head, (8, 10), (30, 38), (30, 38), (20.0, 20.0), [1, 2], side=4)
-    receipt = workflows.publish(mask, str(tmp_path / "mask"), "run", {"head": digest}).cache()
-    assert workflows.verify(spark, str(tmp_path / "mask"), receipt, {"head": digest}) == 2
+    receipt = workflows.publish(mask, str(tmp_path / "mask"), "run", {"head": digest})
+    assert workflows.verify(spark, str(tmp_path / "mask"), {"head": digest}) == 2 and receipt.first().ts == receipt.first().ts
     truth = mask.select("image_id", "y", "x", (1 + (F.col("x") >= 20).cast("long")).alias("label"))
     assert all(r.iou > 0.95 for r in workflows.evaluate(mask, truth).collect())
     with pytest.raises(ValueError):
-        workflows.verify(spark, str(tmp_path / "mask"), receipt, {"head": "other"})
+        workflows.verify(spark, str(tmp_path / "mask"), {"head": "other"})
     workflows.sinks.write_mask(mask.where("y > 0"), str(tmp_path / "other"))
     with pytest.raises(ValueError):
-        workflows.verify(spark, str(tmp_path / "other"), receipt, {"head": digest})
+        workflows.verify(spark, str(tmp_path / "other"), {"head": digest}, str(tmp_path / "mask.receipt"))
+    for a, b in ((mask.where("y < 15"), truth), (mask, truth.where("x < 20"))):
+        with pytest.raises(Exception, match="same cells"):
+            workflows.evaluate(a, b).collect()
 
 
 def test_numeric_head(spark):
