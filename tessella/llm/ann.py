@@ -159,8 +159,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
 
     score is the Euclidean distance in double precision; nearest first, ties to the smaller id. Vectors that are null,
     zero, empty or hold a null or non-finite component take no part, on either side, nor do those whose length isn't the
-    commonest one of the rows (of equally common ones the greater). A repeated id counts once (the smallest vector). A
-    query that finds fewer than k rows is compared with all rows, in blocks.
+    commonest one of the rows (of equally common ones the greater). Each row is one of its own, also where ids repeat: a
+    query leaves out just one row of its id and vector. A query that finds fewer than k rows is compared with all rows, in blocks.
 
     Equal vectors are one: it stands for its k + 1 smallest ids, which are all that any answer can hold. Every vector is
     in one bucket of each table; the number of buckets follows the number of vectors, and a query probes about its
@@ -168,14 +168,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     vectors are joined once, to rerank the distinct pairs.
     """
     cols = lambda df: df.where(usable(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
-    rows, asked = (stash(cols(df).groupBy("id").agg(F.min("v").alias("v"))) for df in (vectors, queries))
+    rows, asked = stash(cols(vectors)), stash(cols(queries).withColumn("row", F.monotonically_increasing_id()))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = common[0] if common else 1
     rows, asked = (df.where(F.size("v") == width) for df in (rows, asked))
     few = rows.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("i") <= k + 1)
-    classes = stash(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)))
-    askers = stash(asked.groupBy("v").agg(F.min("id").alias("id")))
-    of = stash(asked.join(askers.withColumnRenamed("id", "q"), "v").select(F.col("id").alias("query_id"), "q"))
+    named = lambda df: stash(df.repartitionByRange("least", "v").sortWithinPartitions("least", "v").withColumn("id", F.monotonically_increasing_id()).drop("least"))  # noqa: E731  in the order of the least ids
+    classes = named(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("least", F.element_at("ids", 1)))
+    askers = named(asked.groupBy("v").agg(F.min("id").alias("least")))
+    of = stash(asked.join(askers.withColumnRenamed("id", "q"), "v").select("row", F.col("id").alias("query_id"), "q"))
     n, m = classes.count(), askers.count()
     axes, probes = plan(n, width), probes_of(n)
     hashed = "t int, key long, id long"
@@ -184,16 +185,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     pairs = stash(index.hint("merge").join(probe, ["t", "key"]).select("q", "r").distinct())  # a few queries make many probes: never broadcast them
 
     def answers(best: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score): the ids behind the vectors, without the query's own."""
+        """(row, query_id, rank, vec_id, score): the ids behind the vectors, but for one row that equals the query's."""
         ids = best.join(classes.select(F.col("id").alias("r"), "ids"), "r").select("q", "score", F.explode("ids").alias("vec_id"))
-        met = of.join(_top(ids, "q", "vec_id", k + 1), "q").where(F.col("vec_id") != F.col("query_id"))
-        return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        met = of.join(_top(ids, "q", "vec_id", k + 1), "q").withColumn("own", (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0))
+        met = met.withColumn("nth", F.row_number().over(Window.partitionBy("row", "own").orderBy("score", "vec_id"))).where(~F.col("own") | (F.col("nth") > 1))
+        return met.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("row", "query_id", "rank", "vec_id", "score")
 
     out = stash(answers(_reranked(pairs, askers, classes.select("id", "v"), k + 1, m, n, pairs.count())))
-    short = of.join(out.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("q").distinct()
+    short = of.join(out.groupBy("row").agg(F.count("*").alias("n")), "row", "left").where(F.coalesce("n", F.lit(0)) < k).select("q").distinct()
     short = stash(askers.join(short, askers["id"] == short["q"], "left_semi"))
     if left := short.count():  # compared with all rows: exact
         more = answers(_reranked(None, short, classes.select("id", "v"), k + 1, left, n, left * n))
-        again = of.join(short.select(F.col("id").alias("q")), "q", "left_semi").select("query_id")
-        out = out.join(again, "query_id", "left_anti").unionByName(more.join(again, "query_id", "left_semi"))
+        again = of.join(short.select(F.col("id").alias("q")), "q", "left_semi").select("row")
+        out = out.join(again, "row", "left_anti").unionByName(more.join(again, "row", "left_semi"))
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -71,6 +71,19 @@ def test_copies_of_a_vector_are_one(spark):
     assert len(got[1000]) == 7
 
 
+def test_rows_of_a_repeated_id_are_rows(spark):
+    """Every row but the query's own is a candidate, also of the query's id."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 2.0]), (3, [1.0, 1.0]), (100, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [3.0, 0.0]), (100, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id = 100"), k=4).collect()
+    want = []
+    for i, (q, a) in enumerate(rows):
+        if q == 100:
+            near = sorted((math.dist(a, b), j) for m, (j, b) in enumerate(rows) if m != i)[:4]
+            want += [(q, n + 1, j, d) for n, (d, j) in enumerate(near)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_vectors_of_another_length_take_no_part(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 2.0, 1.0]) for i in range(20)] + [(50, [1.0, 2.0]), (51, [1.0] * 4)], "vec_id long, embedding array<double>")
     got = ann.search(df, df, k=3).collect()
@@ -83,14 +96,12 @@ def test_nearest_odd_rows(spark):
     good = {100 + i: [rng.gauss(0, 1) for _ in range(8)] for i in range(6)}
     good |= {200: [1.0] * 8, 201: [1.0] * 8, 202: [2.0] * 8}
     df = spark.createDataFrame([*bad, *good.items(), (200, [1.0] * 8)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("t", "axis", "id", "v", "slices")})
-    got = {}
-    for r in ann.search(df, df, k=10).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    want = nearest(good, list(good), 10)
-    assert got.keys() == want.keys()
-    for q, rows in got.items():  # fewer candidates than k: all of them
-        assert [v for _, v, _ in sorted(rows)] == [i for i, _ in want[q]]
-    assert ann.search(df.limit(0), df, k=3).count() == 0 and ann.search(df, df.limit(0), k=3).count() == 0
+    rows, want = [*good.items(), (200, [1.0] * 8)], []
+    for i, (q, a) in enumerate(rows):  # fewer candidates than k: all of them
+        near = sorted((math.dist(a, b), j) for m, (j, b) in enumerate(rows) if m != i)
+        want += [(q, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df, k=10).collect()) == sorted(want)
+    assert ann.search(df.limit(0), df.limit(0)).collect() == []
 
 
 def test_cells_of_any_size_give_the_same(spark, monkeypatch):
