@@ -187,6 +187,21 @@ def class_grams(tok: DataFrame, width: int, fold: str) -> dict[tuple[int, int],
     return {(r.fold, r.class_id): np.frombuffer(r.g).reshape(width + 1, -1) for r in gram_rows(tok, width, fold).collect()}
 
 
+def gram_products(tok: DataFrame, width: int) -> DataFrame:
+    """(class_id, i, j, v), i <= j: each class's sums of products of channels, `width` standing for a one; written by the tasks that hold the sums."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = np.triu_indices(width + 1)
+        for batch in batches:
+            for label, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(packed).reshape(width + 1, -1)[i, j]
+                for at in range(0, len(v), 1 << 16):
+                    cut = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v[cut]), label)), pa.array(i[cut]), pa.array(j[cut]), pa.array(v[cut])], ["class_id", "i", "j", "v"])
+
+    rows = gram_rows(tok.select("feat", "class_id", F.lit(0).alias("fold")), width, "fold")
+    return rows.select("class_id", "g").mapInArrow(run, "class_id long, i long, j long, v double")
+
+
 def gram_rows(tok: DataFrame, width: int, fold: str) -> DataFrame:
     """class_grams() as a table (fold, class_id, g), a packed matrix a row."""
     kind = "fold long, class_id long, g binary"

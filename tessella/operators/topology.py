@@ -341,13 +341,13 @@ def crossing(points: DataFrame, cell: int = CELL) -> DataFrame:
     return s.groupBy("image_id", "cy", "cx").applyInPandas(_crossing, "image_id string, arc long").distinct()
 
 
-def fitted(coverage: Coverage, tolerance: float, mpp_y: float = 1.0, mpp_x: float = 1.0, rounds: int = 12, most: int = LONG) -> DataFrame:
+def fitted(coverage: Coverage, tolerance: float | DataFrame, mpp_y: float = 1.0, mpp_x: float = 1.0, rounds: int = 12, most: int = LONG) -> DataFrame:
     """The coverage's points, simplified so that no two arcs cross: those that do get half the tolerance, until none does.
 
-    Neighbours share their arcs, so no gap or overlap opens between them. After the last round arcs that still cross keep
+    tolerance: one for all, or a table (image_id, arc, tolerance). Neighbours share their arcs, so no gap or overlap opens between them. After the last round arcs that still cross keep
     all their points, as do those that then cross them.
     """
-    limits = stash(coverage.arcs.select("image_id", "arc", F.lit(float(tolerance)).alias("tolerance")))
+    limits = stash(tolerance if isinstance(tolerance, DataFrame) else coverage.arcs.select("image_id", "arc", F.lit(float(tolerance)).alias("tolerance")))
     for k in range(rounds + 2):
         out = simplify(coverage.points, limits, mpp_y, mpp_x, most)
         bad = stash(crossing(out))

@@ -130,9 +130,7 @@ def op_S19_support_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CHAN}, f AS (SELECT vec_id, class_id, ch, v FROM chan UNION ALL SELECT vec_id, class_id, 64, 1.0 FROM tok) SELECT a.class_id, a.ch AS i, b.ch AS j, round(sum(a.v * b.v), 6) AS g FROM f a JOIN f b ON b.vec_id = a.vec_id AND a.ch <= b.ch GROUP BY ALL")
 def op_M02_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class's sums of products of channels (64 stands for the constant one): all that a ridge head is solved from."""
-    grams = features.class_grams(X.tokens(spark, sf_dir).withColumn("all", F.lit(0)), 64, "all")
-    rows = [(label, i, j, float(g[i, j])) for (_, label), g in grams.items() for i in range(65) for j in range(i, 65)]  # of the channels' size
-    return spark.createDataFrame(rows, "class_id long, i long, j long, v double").select("class_id", "i", "j", F.round("v", 6).alias("g"))
+    return features.gram_products(X.tokens(spark, sf_dir), 64).select("class_id", "i", "j", F.round("v", 6).alias("g"))
 
 
 @query(f"""WITH {PIX}, b AS (SELECT truth, y // 32 AS r, x // 32 AS c, sha256(string_agg(y || ',' || x, ';' ORDER BY y, x)) AS d FROM pix WHERE NOT support GROUP BY ALL)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import queries_cells, queries_channels, queries_features, queries_more, queries_projection, queries_regions  # noqa: F401
+from tessella.plans import queries_cells, queries_channels, queries_features, queries_more, queries_projection, queries_regions, queries_topology  # noqa: F401
 from tessella.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
