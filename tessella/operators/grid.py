@@ -135,31 +135,35 @@ def nearest_resample(cells: DataFrame, values: Sequence[str], height: int, width
     return t.join(s, ["image_id", "sy", "sx"]).select(*KEY, *values)
 
 
-def bilinear(cells: DataFrame, value: str, height: int, width: int, ratio: float, targets: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """(key, *extra, value): linear interpolation at (i + .5) * ratio - .5, edges repeated; four corners joined by equality."""
-    def ends(c: str, n: int) -> tuple[Column, Column, Column]:
+def bilinear(cells: DataFrame, value: str, height: int, width: int, ratio: float | tuple[float, float], targets: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """(key, *extra, value): linear interpolation at (i + .5) * ratio - .5, edges repeated; four corners joined by equality. The ratio may differ by axis (y, x)."""
+    ratios = ratio if isinstance(ratio, tuple) else (ratio, ratio)
+
+    def ends(c: str, n: int, ratio: float) -> tuple[Column, Column, Column]:
         p = F.least(F.greatest((F.col(c) + 0.5) * F.lit(float(ratio)) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
         low = F.least(F.floor(p), F.lit(max(n - 2, 0))).cast("long")
         return low, F.least(low + 1, F.lit(n - 1)), p - low
 
-    y0, y1, fy = ends("y", height)
-    x0, x1, fx = ends("x", width)
+    y0, y1, fy = ends("y", height, ratios[0])
+    x0, x1, fx = ends("x", width, ratios[1])
     corners = F.array(*(F.struct(yy.cast("long").alias("sy"), xx.cast("long").alias("sx"), (wy * wx).alias("w")) for yy, wy in ((y0, 1 - fy), (y1, fy)) for xx, wx in ((x0, 1 - fx), (x1, fx))))
     looking = targets.select(*KEY, F.explode(corners).alias("c")).select(*KEY, "c.*")
     s = cells.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *extra, F.col(value).alias("v"))
     return looking.join(s, ["image_id", "sy", "sx"]).groupBy(*KEY, *extra).agg(F.sum(F.col("w") * F.col("v")).alias(value))
 
 
-def area_resample(cells: DataFrame, value: str, source_side: int, target_side: int) -> DataFrame:
-    """(key, value): cells of source_side averaged over target cells of target_side, weighted by exact overlap area."""
-    def spans(c: str) -> Column:
-        lo, hi = F.col(c) * source_side, (F.col(c) + 1) * source_side
-        cells_ = F.sequence(F.floor(lo / target_side), F.floor((hi - 1) / target_side))
-        return F.transform(cells_, lambda t: F.struct(t.alias("t"), (F.least(hi, (t + 1) * target_side) - F.greatest(lo, t * target_side)).alias("n")))
+def area_resample(cells: DataFrame, value: str | Sequence[str], source_side: int | tuple[int, int], target_side: int | tuple[int, int]) -> DataFrame:
+    """(key, value): cells of source_side averaged over target cells of target_side, weighted by exact overlap area; sides may differ by axis (y, x)."""
+    def spans(c: str, source: int, target: int) -> Column:
+        lo, hi = F.col(c) * source, (F.col(c) + 1) * source
+        cells_ = F.sequence(F.floor(lo / target), F.floor((hi - 1) / target))
+        return F.transform(cells_, lambda t: F.struct(t.alias("t"), (F.least(hi, (t + 1) * target) - F.greatest(lo, t * target)).alias("n")))
 
-    e = cells.select("image_id", F.explode(spans("y")).alias("a"), "x", value).select("image_id", "a", F.explode(spans("x")).alias("b"), value)
-    w = F.col("a.n") * F.col("b.n")
-    return e.groupBy("image_id", F.col("a.t").alias("y"), F.col("b.t").alias("x")).agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
+    (sy, sx), (ty, tx) = (v if isinstance(v, tuple) else (v, v) for v in (source_side, target_side))
+    values = [value] if isinstance(value, str) else list(value)
+    e = cells.select("image_id", F.explode(spans("y", sy, ty)).alias("a_"), "x", *values).select("image_id", "a_", F.explode(spans("x", sx, tx)).alias("b_"), *values)
+    w = F.col("a_.n") * F.col("b_.n")
+    return e.groupBy("image_id", F.col("a_.t").alias("y"), F.col("b_.t").alias("x")).agg(*((F.sum(w * F.col(v)) / F.sum(w)).alias(v) for v in values))
 
 
 STRIP = 64  # columns of one strip of the first pass, rows of one of the second

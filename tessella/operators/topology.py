@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,14 +240,59 @@ def rdp(y: np.ndarray, x: np.ndarray, limit: float) -> np.ndarray:
     return keep
 
 
-def _fitted(my: float, mx: float):
+def by_area(y: np.ndarray, x: np.ndarray, limit: float) -> np.ndarray:
+    """Which points of a line stay when the one that spans the smallest triangle with its neighbours goes, again and again, while that is under limit squared.
+
+    Ends stay, and three points of a loop do. Of equal triangles the first point goes first; areas to nine decimals.
+    """
+    n = len(y)
+    keep, before, after = np.ones(n, bool), np.arange(-1, n - 1), np.arange(1, n + 1)
+    least = 4 if y[0] == y[-1] and x[0] == x[-1] else 2
+
+    def area(i: int) -> float:
+        a, b = before[i], after[i]
+        return round(abs((x[i] - x[a]) * (y[b] - y[a]) - (x[b] - x[a]) * (y[i] - y[a])) / 2, 9)
+
+    now = {i: area(i) for i in range(1, n - 1)}
+    heap = [(v, i) for i, v in now.items()]
+    heapq.heapify(heap)
+    left = n
+    while heap and left > least:
+        v, i = heapq.heappop(heap)
+        if now.get(i) != v:
+            continue
+        if v >= limit * limit:
+            break
+        keep[i] = False
+        left -= 1
+        del now[i]
+        a, b = before[i], after[i]
+        after[a], before[b] = b, a
+        for j in (a, b):
+            if 0 < j < n - 1:
+                now[j] = area(j)
+                heapq.heappush(heap, (now[j], j))
+    return keep
+
+
+def simplify_by_area(points: DataFrame, tolerance: float | DataFrame, mpp_y: float = 1.0, mpp_x: float = 1.0) -> DataFrame:
+    """The points (image_id, arc, pos, y, x) that stay when corners of triangles smaller than tolerance squared go, the smallest first.
+
+    Shared arcs are simplified once, junctions stay; an arc's corners meet in one task, as its row in a file would.
+    """
+    p = points.join(tolerance, ["image_id", "arc"]) if isinstance(tolerance, DataFrame) else points.withColumn("tolerance", F.lit(float(tolerance)))
+    lists = p.groupBy("image_id", "arc").agg(F.array_sort(F.collect_list(F.struct("pos", "y", "x"))).alias("p"), F.first("tolerance").alias("tolerance"))
+    return stash(lists.mapInArrow(_fitted(mpp_y, mpp_x, by_area), "image_id string, arc long, pos long, y long, x long"))
+
+
+def _fitted(my: float, mx: float, rule: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = rdp):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, limit = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             pos, y, x = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-            keep = np.concatenate([rdp(y[a:b] * my, x[a:b] * mx, t) for a, b, t in zip(np.append(0, ends[:-1]), ends, limit, strict=True)]) if len(ends) else np.zeros(0, bool)
+            keep = np.concatenate([rule(y[a:b] * my, x[a:b] * mx, t) for a, b, t in zip(np.append(0, ends[:-1]), ends, limit, strict=True)]) if len(ends) else np.zeros(0, bool)
             owner = pa.array(np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))[keep])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(pos[keep]), pa.array(y[keep]), pa.array(x[keep])], ["image_id", "arc", "pos", "y", "x"])
 
@@ -341,18 +387,40 @@ def crossing(points: DataFrame, cell: int = CELL) -> DataFrame:
     return s.groupBy("image_id", "cy", "cx").applyInPandas(_crossing, "image_id string, arc long").distinct()
 
 
-def fitted(coverage: Coverage, tolerance: float | DataFrame, mpp_y: float = 1.0, mpp_x: float = 1.0, rounds: int = 12, most: int = LONG) -> DataFrame:
+def fitted(coverage: Coverage, tolerance: float | DataFrame, mpp_y: float = 1.0, mpp_x: float = 1.0, rounds: int = 12, most: int = LONG, areas: bool = False) -> DataFrame:
     """The coverage's points, simplified so that no two arcs cross: those that do get half the tolerance, until none does.
 
     tolerance: one for all, or a table (image_id, arc, tolerance). Neighbours share their arcs, so no gap or overlap opens between them. After the last round arcs that still cross keep
-    all their points, as do those that then cross them.
+    all their points, as do those that then cross them. areas: by triangles (simplify_by_area) instead of distances.
     """
     limits = stash(tolerance if isinstance(tolerance, DataFrame) else coverage.arcs.select("image_id", "arc", F.lit(float(tolerance)).alias("tolerance")))
     for k in range(rounds + 2):
-        out = simplify(coverage.points, limits, mpp_y, mpp_x, most)
+        out = simplify_by_area(coverage.points, limits, mpp_y, mpp_x) if areas else simplify(coverage.points, limits, mpp_y, mpp_x, most)
         bad = stash(crossing(out))
         if bad.isEmpty():
             break
         less = F.col("tolerance") / 2 if k < rounds else F.lit(0.0)
         limits = stash(limits.join(bad.withColumn("bad", F.lit(True)), ["image_id", "arc"], "left").select("image_id", "arc", F.when(F.col("bad"), less).otherwise(F.col("tolerance")).alias("tolerance")))
     return out
+
+
+def displacement(exact: DataFrame, points: DataFrame, radius: float, mpp_y: float = 1.0, mpp_x: float = 1.0) -> DataFrame:
+    """(image_id, arc, distance) of each arc: how far its exact points lie from the nearest simplified piece of any arc, at most; null if one lies farther than the radius.
+
+    exact, points: (image_id, arc, pos, y, x). Pieces are listed under the index cells, of the radius' size, that they come near to; points
+    look at theirs, so only near pairs meet, by equality.
+    """
+    cell = float(radius)
+    s = segments(points).select("image_id", *((F.col(c) * (mpp_y if c[0] == "y" else mpp_x)).alias(c) for c in ("ya", "xa", "yb", "xb")))
+    low, high = lambda c: F.least(f"{c}a", f"{c}b"), lambda c: F.greatest(f"{c}a", f"{c}b")
+    s = s.withColumn("cy", F.explode(F.sequence(F.floor(low("y") / cell) - 1, F.floor(high("y") / cell) + 1)))
+    inside = lambda y: F.col("xa") + (F.col("xb") - F.col("xa")) * (F.greatest(low("y"), F.least(high("y"), y)) - F.col("ya")) / (F.col("yb") - F.col("ya"))
+    level = F.col("ya") == F.col("yb")
+    one, two = F.when(level, F.col("xa")).otherwise(inside((F.col("cy") - 1) * cell)), F.when(level, F.col("xb")).otherwise(inside((F.col("cy") + 2) * cell))
+    s = s.withColumn("cx", F.explode(F.sequence(F.floor(F.least(one, two) / cell) - 1, F.floor(F.greatest(one, two) / cell) + 1)))
+    p = exact.select("image_id", "arc", "pos", (F.col("y") * mpp_y).alias("y"), (F.col("x") * mpp_x).alias("x"))
+    p = stash(p.withColumns({"cy": F.floor(F.col("y") / cell), "cx": F.floor(F.col("x") / cell)}))
+    met = p.join(s, ["image_id", "cy", "cx"]).withColumn("d", F.sqrt(_farther(1.0, 1.0)))
+    near = met.where(F.col("d") <= radius + 1e-9).groupBy("image_id", "arc", "pos").agg(F.min("d").alias("d"))
+    far = p.join(near, ["image_id", "arc", "pos"], "left").groupBy("image_id", "arc").agg(F.max("d").alias("distance"), F.count_if(F.col("d").isNull()).alias("lost"))
+    return far.select("image_id", "arc", F.when(F.col("lost") == 0, F.col("distance")).alias("distance"))

@@ -164,3 +164,47 @@ def test_places_along_paths(spark, small):
     assert got[3] == (1, w(1, 2), w(1, 2, 3), False) and got[20] == (20, 0, w(20), False) and got[30] == (30, 0, w(30), True)
     assert got[12] == (10, w(10, 11), w(10, 11, 12), True) and got[170] == (100, w(*range(100, 170)), w(*range(100, 171)), False)
     assert len(rows) == len(nxt) and got[big + 2] == (big, w(big), w(big, big + 2), False)
+
+
+def test_points_go_by_their_triangles(spark):
+    a = np.kron(rng.integers(0, 3, (5, 5)), np.ones((4, 3), int))
+    _, c = covered(spark, a, 8)
+
+    def plain(p, limit):
+        p, least = list(p), 4 if p[0][1:] == p[-1][1:] else 2
+        while len(p) > least:
+            size = [abs((q[2] - u[2]) * (v[1] - u[1]) - (v[2] - u[2]) * (q[1] - u[1])) / 2 for u, q, v in zip(p, p[1:], p[2:])]
+            if min(size) >= limit**2:
+                break
+            del p[1 + size.index(min(size))]
+        return p
+
+    got = {}
+    for r in topology.simplify_by_area(c.points, 1.6).orderBy("arc", "pos").collect():
+        got.setdefault(r.arc, []).append((r.pos, r.y, r.x))
+    assert got == {k: plain(p, 1.6) for k, p in lines(c).items()}
+    assert topology.crossing(topology.fitted(c, 3.0, areas=True)).isEmpty()
+
+
+def test_displacement_of_arcs(spark):
+    _, c = covered(spark, np.where(np.add.outer(np.arange(20), np.arange(24)) % 40 > 19, 1, 2), 16)
+    points = topology.simplify(c.points, 3.0)
+    kept = {}
+    for r in points.orderBy("arc", "pos").collect():
+        kept.setdefault(r.arc, []).append((r.y, r.x))
+    pieces = [(p, q) for v in kept.values() for p, q in zip(v, v[1:])]
+
+    def off(y, x):
+        best = math.inf
+        for (ay, ax), (by, bx) in pieces:
+            dy, dx = by - ay, bx - ax
+            t = max(0, min(1, ((y - ay) * dy + (x - ax) * dx) / (dy * dy + dx * dx)))
+            best = min(best, math.hypot(y - ay - t * dy, x - ax - t * dx))
+        return best
+
+    want = {k: max(off(y, x) for _, y, x in v) for k, v in lines(c).items()}
+    got = {r.arc: r.distance for r in topology.displacement(c.points, points, 3.0).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert max(want.values()) > 0.5
+    small = {r.arc: r.distance for r in topology.displacement(c.points, points, 0.5).collect()}
+    assert all((small[k] is None) == (want[k] > 0.5) for k in want)
