@@ -309,61 +309,149 @@ def _wide_rows(width: int):
     return run
 
 
-def _met(close: int, far: int, rest: bool):
-    """Of rows (table, key, node, component, size, words...): pairs at `far` bits or fewer that meet, as (a, b, bits).
+WHOLE = 16_384  # texts of a run that give a forest in one task
+LEADERS = 1024  # of a longer run, texts that the others are compared with as they pass
+CELL = 512  # texts of a block, two of which one task compares by their sets
+
+
+def _gaps(close: int, far: int, u: np.ndarray, v: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words; where a text is short, over `close` and `far` at most."""
+    gap = np.bitwise_count(u ^ v).sum(axis=-1, dtype=np.int32)
+    return np.where(doubtful, np.clip(gap, close + 1, far), gap).astype(np.int32)
+
+
+def _met(close: int, far: int, whole: int):
+    """Of rows (table, key, node, size, words...): pairs at `far` bits or fewer that meet, as (a, b, bits).
 
     A pair with a text of fewer than SHORT shingles counts as over `close`, and `far` at most. Runs of 8 or fewer give all
     their pairs. Others give a minimal spanning forest, and where its edges of `close` bits don't connect the run, also its
-    rows, as (node, null, null, table, key); with rest they give all pairs of different components over `close` instead, each
-    in the first table in which it meets (the rows then hold the keys of all tables).
+    rows, as (node, null, null, table, key). A run of over `whole` rows is not held: each row that passes is linked to the first
+    of a bounded number of leaders within `close`, and all its rows are given.
     """
-    def found(table: np.ndarray, key: np.ndarray, node: np.ndarray, component: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, short = np.stack([w.view(np.uint64) for w in words[: len(WORDS)]], axis=1), size < SHORT
-        keys = np.stack(words[len(WORDS) :]) if rest else None
+    held: dict = {"run": None, "lead": np.empty((0, len(WORDS)), np.uint64), "node": np.empty(0, np.int64)}
 
-        def gap_of(i, j) -> np.ndarray:
-            gap = np.bitwise_count(u[i] ^ u[j]).sum(axis=1, dtype=np.int32)
-            return np.where(short[i] | short[j], np.clip(gap, close + 1, far), gap).astype(np.int32)
+    def pairs(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits, pa.int32()), none.cast(pa.int32()), none], ["a", "b", "bits", "t", "k"])
 
-        def pairs(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits, pa.int32()), none.cast(pa.int32()), none], ["a", "b", "bits", "t", "k"])
+    def given(table: np.ndarray, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(node), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(node), none, none.cast(pa.int32()), pa.array(table, pa.int32()), pa.array(key)], ["a", "b", "bits", "t", "k"])
 
+    def found(table: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, short = np.stack([w.view(np.uint64) for w in words], axis=1), size < SHORT
+        gap_of = lambda i, j: _gaps(close, far, u[i], u[j], short[i] | short[j])
         new = np.concatenate(([True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
         first = np.flatnonzero(new)
         run = np.diff(np.append(first, len(node)))
-        if not rest:
-            group, small = np.cumsum(new), np.repeat(run, run) <= 8
-            for off in range(1, 8):
-                i = np.flatnonzero((group[off:] == group[:-off]) & small[off:])
-                gap = gap_of(i, i + off)
-                yield pairs(node[i[gap <= far]], node[i[gap <= far] + off], gap[gap <= far])
+        group, small = np.cumsum(new), np.repeat(run, run) <= 8
+        for off in range(1, 8):
+            i = np.flatnonzero((group[off:] == group[:-off]) & small[off:])
+            gap = gap_of(i, i + off)
+            yield pairs(node[i[gap <= far]], node[i[gap <= far] + off], gap[gap <= far])
         for s, n in zip(first[run > 8].tolist(), run[run > 8].tolist(), strict=True):
-            if rest:
-                for i in range(s, s + n - 1):
-                    j = np.arange(i + 1, s + n)
-                    j = j[component[j] != component[i]]
-                    t = int(table[i])  # a pair that meets in an earlier table has been made there, or is one component already
-                    j = j[~(keys[:t, j] == keys[:t, i, None]).any(axis=0)]
-                    gap = gap_of(j, i)
-                    ok = (gap > close) & (gap <= far)
-                    if ok.any():
-                        yield pairs(np.full(ok.sum(), node[i]), node[j[ok]], gap[ok])
-                continue
             x, y, gap = forest(u[s : s + n], far, lambda i, j, s=s: gap_of(i + s, j + s))
             yield pairs(node[s + x], node[s + y], gap)
             if (gap <= close).sum() < n - 1:
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(node[s : s + n]), none, none.cast(pa.int32()), pa.array(table[s : s + n], pa.int32()), pa.array(key[s : s + n])], ["a", "b", "bits", "t", "k"])
+                yield given(table[s : s + n], key[s : s + n], node[s : s + n])
+
+    def dense(table: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield given(table, key, node)
+        u = np.stack([w.view(np.uint64) for w in words], axis=1)
+        if held["run"] != (table[0], key[0]):
+            held.update(run=(table[0], key[0]), lead=u[:0], node=node[:0])
+        left = np.flatnonzero(size >= SHORT)
+        a, b = [], []
+
+        def linked(lead: np.ndarray, name: int) -> None:
+            nonlocal left
+            near = np.bitwise_count(u[left] ^ lead).sum(axis=1) <= close
+            a.append(node[left[near]])
+            b.append(np.full(near.sum(), name))
+            left = left[~near]
+
+        for lead, name in zip(held["lead"], held["node"].tolist(), strict=True):
+            linked(lead, name)
+        while len(left) and len(held["node"]) < LEADERS:
+            lead, name = u[left[0]], int(node[left[0]])
+            held["lead"], held["node"] = np.concatenate((held["lead"], lead[None])), np.append(held["node"], name)
+            left = left[1:]
+            linked(lead, name)
+        if a and sum(map(len, a)):
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pairs(a, b, np.zeros(len(a), np.int32))
+
+    return _by_run(found, 2 + len(WORDS), np.int32, whole, dense)
+
+
+def _meetings(rows: DataFrame, close: int, far: int, whole: int) -> DataFrame:
+    """_met() over rows (t, k, node, size, words)."""
+    dealt = rows.select("t", "k", "node", "size", *WORDS).repartition("t", "k").sortWithinPartitions("t", "k", "node")
+    return dealt.mapInArrow(_met(close, far, whole), "a long, b long, bits int, t int, k long")
+
+
+def _joined(close: int, far: int, similarity: float):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of two blocks of texts (or one with itself) the links that join components, by whole sets; of pairs that share a minimum's key."""
+        t = pa.Table.from_batches(list(batches)).sort_by("node")
+        node, component, size, block = (t[c].to_numpy() for c in ("node", "component", "size", "b"))
+        u = np.stack([t[w].to_numpy().view(np.uint64) for w in WORDS], axis=1)
+        keys = np.array(t["keys"].to_pylist(), np.int64).reshape(len(node), -1)
+        sets: dict[int, set] = {}
+        packed = t["shingles"].to_pylist()
+        of = lambda i: sets[i] if i in sets else sets.setdefault(i, set(np.frombuffer(packed[i] or b"", np.int64).tolist()))
+        root, short, a, b = component.copy(), size < SHORT, [], []
+        one, two = int(key[1].as_py()), int(key[2].as_py())
+        for i in np.flatnonzero(block == one).tolist():
+            j = np.arange(i + 1, len(node)) if one == two else np.flatnonzero(block == two)
+            j = j[root[j] != root[i]]
+            j = j[(keys[j] == keys[i]).any(axis=1)]
+            gap = _gaps(close, far, u[j], u[i], short[j] | short[i])
+            for k, g in zip(j[gap <= far].tolist(), gap[gap <= far].tolist(), strict=True):
+                if root[k] == root[i]:
+                    continue
+                if g > close:
+                    both = len(of(i) & of(k))
+                    if both < similarity * (len(of(i)) + len(of(k)) - both):
+                        continue
+                a.append(node[i])
+                b.append(node[k])
+                root[root == root[k]] = root[i]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _by_run(found, 3 + len(WORDS) + (TABLES if rest else 0))
+    return run
 
 
-def _meetings(rows: DataFrame, close: int, far: int, rest: bool = False) -> DataFrame:
-    """_met() over rows (t, k, node, component, size, words)."""
-    keys = [F.get("keys", F.lit(i)).alias(f"key{i}") for i in range(TABLES)] if rest else []
-    dealt = rows.select("t", "k", "node", "component", "size", *WORDS, *keys).repartition("t", "k").sortWithinPartitions("t", "k", "node")
-    return dealt.mapInArrow(_met(close, far, rest), "a long, b long, bits int, t int, k long")
+def _sets(width: int):
+    """Rows (h_, t binary) as (h_, shingles): the hashes of a text's word shingles, packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 1):
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = (text or b"").lower().split()
+                joined, starts, ends = spans_of(words, width)
+                seen = {joined[i:j] for i, j in zip(starts, ends, strict=True)}
+                out.append(np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["h_", "shingles"])
+
+    return run
+
+
+def _links_apart(apart: DataFrame, nodes: DataFrame, of: DataFrame, docs: DataFrame, width: int, similarity: float, close: int, far: int, cell: int) -> DataFrame:
+    """(a, b): links between components of the runs (node, t, k) that close pairs don't connect.
+
+    The texts of runs that have members in common are cut into blocks, and every two blocks meet in a task that compares what is
+    not yet joined, so that no pair is ever a row and no run is held whole: a text travels once for each block of its runs.
+    """
+    lead = apart.groupBy("t", "k").agg(F.min("node").alias("lead"))
+    group = components(apart.join(lead, ["t", "k"]).select("node", "lead"), "node", "lead").withColumnRenamed("component", "cluster")
+    asked = stash(nodes.join(group, "node").select("node", "cluster", F.col("h").alias("h_"), "size", *WORDS, "keys"))
+    sets = _texts(docs, asked.select("h_").where("h_ is not null").distinct()).mapInArrow(_sets(width), "h_ long, shingles binary")
+    rows = asked.join(sets, "h_", "left").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("h_")
+    blocks = asked.groupBy("cluster").agg(F.ceil(F.count("*") / cell).alias("blocks"))
+    rows = rows.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = rows.withColumns({"one": F.least("b", "o"), "two": F.greatest("b", "o")}).drop("o", "blocks")
+    return stash(cells.groupBy("cluster", "one", "two").applyInArrow(_joined(close, far, similarity), "a long, b long"))
 
 
 FILTER = 1 << 26  # bits of the broadcast filter on text hashes, 8 MB whatever the input
@@ -402,15 +490,17 @@ def _keyed_by_text(docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(_text_hash, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of edges (a, b, a_h, b_h), those whose texts' shingle sets reach the Jaccard similarity.
-
-    A filter of bounded size keeps most texts that no edge asks for out of the exchange.
-    """
-    asked = stash(edges.select(F.explode(F.array("a_h", "b_h")).alias("h_")).where("h_ is not null").distinct())
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h_, t): each asked text once, by its hash. A filter of bounded size keeps most others out of the exchange."""
+    asked = stash(asked)
     held = docs.sparkSession.sparkContext.broadcast(_filter(asked, "h_"))
     texts = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(_possibly(held), "h_ long, t binary")
-    texts = stash(texts.join(asked, "h_", "left_semi").groupBy("h_").agg(F.first("t").alias("t")))
+    return stash(texts.join(asked, "h_", "left_semi").groupBy("h_").agg(F.first("t").alias("t")))
+
+
+def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of edges (a, b, a_h, b_h), those whose texts' shingle sets reach the Jaccard similarity."""
+    texts = _texts(docs, edges.select(F.explode(F.array("a_h", "b_h")).alias("h_")).where("h_ is not null").distinct())
     a, b = (texts.select(F.col("h_").alias(f"{k}_h"), F.col("t").alias(f"t{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,13 +519,14 @@ def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: fl
     return edges.select("a", "b", "a_h", "b_h").join(a, "a_h").join(b, "b_h").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILAR) -> DataFrame:
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, whole: int = WHOLE, cell: int = CELL) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (nulls first); all columns kept.
 
     Two texts are similar if their sets of word shingles have the Jaccard similarity. Candidates come from tables over the
     sets' minima. A 512-bit SimHash of the shingles tells by its Hamming distance, and where that is within DOUBT of the
     similarity, or texts are short, the sets are compared. Large runs of a table first give a minimal spanning forest by that
-    distance, then all pairs between what it leaves apart; groups are the components. Texts without words are one group.
+    distance (of over `whole` texts, links to leaders); what that leaves apart is compared in blocks of about `cell` texts, two in
+    a task, until it is joined. Groups are the components. Texts without words are one group.
     Equal rows leave one; texts of any length are compared whole; an empty table stays empty.
     """
     close, far = most_bits(similarity + DOUBT), most_bits(similarity - APART)
@@ -443,8 +534,8 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     rows = stash(body.mapInArrow(_wide_rows(width), f"doc_id long, h long, node long, size long, {', '.join(f'{w} long' for w in WORDS)}, keys array<long>"))
     nodes = stash(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", "size", *WORDS, "keys"))))
     rows = rows.select("doc_id", "h", "node")
-    keyed = nodes.select("node", F.lit(0).cast("long").alias("component"), "size", *WORDS, F.posexplode("keys").alias("t", "k"))
-    met = stash(_meetings(keyed, close, far))
+    keyed = nodes.select("node", "size", *WORDS, F.posexplode("keys").alias("t", "k"))
+    met = stash(_meetings(keyed, close, far, whole))
     a, b = (nodes.select(F.col("node").alias(k), F.col("h").alias(f"{k}_h")) for k in "ab")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -454,11 +545,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     tried = pairs.where(F.col("bits") > close).select("a", "b")
     near = pairs.where(F.col("bits") <= close).select("a", "b").unionByName(verified(tried))
     of = components(near, "a", "b")
-    apart = met.where("b is null").select(F.col("a").alias("node"), "t", "k")
+    apart = met.where("b is null").select(F.col("a").alias("node"), "t", "k").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    torn = apart.groupBy("t", "k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "k")
+    apart = stash(apart.join(torn, ["t", "k"], "left_semi").select("node", "t", "k"))
     if not apart.isEmpty():
-        apart = apart.join(nodes.select("node", "size", *WORDS, "keys"), "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = _meetings(apart, close, far, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        of = components(near.unionByName(verified(more)), "a", "b")
+        of = components(near.unionByName(_links_apart(apart, nodes, of, docs, width, similarity, close, far, cell)), "a", "b")
     h, k, t, n = free_names(docs, "h", "k", "t", "n")
     keyed = _keyed_by_text(docs, h)
     rows = rows.join(of, "node", "left")

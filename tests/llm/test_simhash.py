@@ -150,8 +150,9 @@ def test_appended_and_cut_copies_leave_one(spark, make_docs):
     assert got == {i for i, _ in rows if i % 2 == 0}
 
 
-def test_large_runs_keep_every_pair(spark, make_docs):
-    """Texts of one family whose pairs lie on both sides of the similarity: closed by exact sets of all pairs."""
+@pytest.mark.parametrize("whole,cell", [(16_384, 512), (16_384, 16), (20, 16)])
+def test_large_runs_keep_every_pair(spark, make_docs, whole, cell):
+    """Texts of one family whose pairs lie on both sides of the similarity: closed by exact sets, in one block or many, by forests or leaders."""
     rng = random.Random(9)
     rows = []
     for f, n in enumerate((100, 240, 400)):
@@ -168,6 +169,6 @@ def test_large_runs_keep_every_pair(spark, make_docs):
         if new == label:
             break
         label = new
-    got = sorted(r.doc_id for r in simhash.distinct_documents(make_docs(rows)).collect())
+    got = sorted(r.doc_id for r in simhash.distinct_documents(make_docs(rows), whole=whole, cell=cell).collect())
     assert got == sorted({rows[x][0] for x in label})
     assert 10 < len(got) < 170
