@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import grid
+from tessella.plans.durable import stash
 
 CONTRAST, FLOOR, STRENGTH, ROUNDS = 0.18, 0.02, 3.0, 16  # of optical densities; of conductances; of neighbours against the cell; steps. Fixed values.
 HALO = 24  # steps, the guide's blur and its neighbours' need 20
@@ -150,3 +152,59 @@ def smoothed(pixels: DataFrame, sigma: tuple[float, float], block: int = 256) ->
         return {"label": np.where(label == 0, 0, out)}
 
     return on_blocks(pixels, ["label"], kernel, "label long", block, reach)
+
+
+def refined(p: np.ndarray, he: np.ndarray, support: np.ndarray, movable: np.ndarray, mpp: tuple[float, float], smoothness: float, rounds: int, blur_um: float, sigma: float) -> np.ndarray:
+    """Probabilities after so many steps in which movable cells alone go to the mean of what they were and their neighbours, by the stain. mpp: (y, x)."""
+    density = -np.log((he.astype(np.float64) + 1) / 256)
+    if blur_um:
+        for axis, m in enumerate(mpp):
+            r = math.ceil(3 * blur_um / m)
+            w = np.exp(-0.5 * (np.arange(-r, r + 1) * m / blur_um) ** 2)
+            density = along(density, (w / w.sum()).tolist(), axis, "reflect")
+    sides, own = [], np.ones(support.shape)
+    for axis in (0, 1):
+        a, b = [slice(None)] * 2, [slice(None)] * 2
+        a[axis], b[axis] = slice(1, None), slice(None, -1)
+        a, b = tuple(a), tuple(b)
+        w = smoothness * np.exp(-((density[a] - density[b]) ** 2).sum(axis=2) / (2 * sigma**2)) * (support[a] & support[b])
+        sides += [(a, b, w), (b, a, w)]
+    for to, _, w in sides:
+        own[to] += w
+    q = p
+    for _ in range(rounds):
+        u = p.copy()
+        for to, of, w in sides:
+            u[to] += w[..., None] * q[of]
+        q = np.where(movable[..., None], u / own[..., None], p)
+    return q
+
+
+def refine_boundaries(cells: DataFrame, mpp: tuple[float, float], smoothness: float, rounds: int, sigma: float, margin: float, distance_um: float, blur_um: float = 0.0, block: int = 256, keep_classes: bool = True) -> DataFrame:
+    """(key, label, raw, movable) of cells (image_id, y, x, p array, r, g, b, support): only cells near a border between classes, and unsure, move.
+
+    raw: the first largest probability's class, from 1; 0 off the support. Movable are cells of the support whose two largest
+    probabilities differ by `margin` at most, and that are no farther than distance_um from a cell at a border inside the support. A block without
+    any is passed through, the others get a halo of all that a cell depends on, so blocks don't show. mpp: (x, y). With keep_classes it is an
+    error if a class vanishes from an image.
+    """
+    p = F.col("p")
+    two = F.slice(F.sort_array(p, False), 1, 2)
+    first = F.array_position(p, F.array_max(p)).cast("long")
+    at = stash(cells.select(*grid.KEY, "p", "r", "g", "b", "support", F.when(F.col("support"), first).otherwise(0).alias("raw"), (two[0] - two[1]).alias("margin")))
+    border = grid.interface_pixels(at.where("raw > 0"), "raw")
+    near = grid.distances(at.where((F.col("raw") > 0) & (F.col("margin") <= margin)).select(*grid.KEY), border, mpp[0], mpp[1]).where(F.col("d") <= distance_um)
+    at = at.join(near.select(*grid.KEY, F.lit(True).alias("movable")), list(grid.KEY), "left").withColumn("movable", F.coalesce("movable", F.lit(False)))
+
+    def kernel(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        movable, label = w["movable"].astype(bool), w["raw"].astype(np.int64)
+        if movable.any():
+            q = refined(w["p"], np.stack([w[c] for c in "rgb"], axis=2), w["support"].astype(bool) & w["there"], movable, (mpp[1], mpp[0]), smoothness, rounds, blur_um, sigma)
+            label = np.where(movable, q.argmax(axis=2) + 1, label)
+        return {"label": label, "raw": w["raw"], "movable": movable}
+
+    halo = max(math.ceil(3 * blur_um / m) for m in mpp) + rounds + 1
+    out = stash(on_blocks(at, ["p", "r", "g", "b", "support", "raw", "movable"], kernel, "label long, raw long, movable boolean", block, halo))
+    if keep_classes and not out.select("image_id", "raw").distinct().join(out.select("image_id", F.col("label").alias("raw")).distinct(), ["image_id", "raw"], "left_anti").isEmpty():
+        raise ValueError("a class would vanish")
+    return out

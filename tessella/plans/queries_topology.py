@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import components, contraction, features, grid, heads, pls, stencil, topology, vector
+from tessella.operators import components, contraction, features, field, grid, heads, overlay, pls, stencil, topology, vector
 from tessella.plans.queries_channels import CHANNELS, _sql
 from tessella.plans.registry import query
 from tessella.sources import fixtures as X
@@ -137,6 +137,78 @@ def op_R19_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.diffuse(_stained(spark, sf_dir), block=64).select("y", "x", "label")
 
 
+R21 = {"smoothness": 0.8, "rounds": 5, "sigma": 0.3, "margin": 0.44, "distance_um": 1.0}
+
+
+def _refinement_sql() -> str:
+    """Cells that may move by a self join within the distance, and one CTE a step; the others keep their probabilities."""
+    head = _diffusion_sql(0).removeprefix("WITH ").split(", taps AS")[0].replace("CASE WHEN inside THEN p1 / (p1+p2+p3+p4) ELSE 0 END", "p1")
+    ps = [f"p{k}" for k in range(1, 5)]
+    for p in ps[1:]:
+        head = head.replace(f"CASE WHEN inside THEN {p} / (p1+p2+p3+p4) ELSE 0 END", p)
+    best = "CASE WHEN p1 >= greatest(p2, p3, p4) THEN 1 WHEN p2 >= greatest(p3, p4) THEN 2 WHEN p3 >= p4 THEN 3 ELSE 4 END"
+    density = lambda c: f"-ln(({c} + 1) / 256)"
+    out = [
+        head, f"l AS (SELECT *, CASE WHEN inside THEN {best} ELSE 0 END AS raw, list_reverse(list_sort([p1, p2, p3, p4])) AS s FROM c)",
+        "nb AS (SELECT a.y, a.x, b.y AS y2, b.x AS x2, a.raw <> b.raw AS differs, a.r AS r1, b.r AS r2, a.g AS g1, b.g AS g2, a.b AS b1, b.b AS b2 FROM l a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx) ON a.inside JOIN l b ON b.y = a.y + dy AND b.x = a.x + dx AND b.inside)",
+        "edge AS (SELECT DISTINCT y, x FROM nb WHERE differs)",
+        f"mv AS (SELECT l.y, l.x FROM l WHERE inside AND s[1] - s[2] <= {R21['margin']} AND EXISTS (SELECT 1 FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx) JOIN edge ON edge.y = l.y + dy AND edge.x = l.x + dx))",
+        f"n AS (SELECT y, x, y2, x2, {R21['smoothness']}::DOUBLE * exp(-(({density('r1')} - {density('r2')}) ** 2 + ({density('g1')} - {density('g2')}) ** 2 + ({density('b1')} - {density('b2')}) ** 2) / {2 * R21['sigma'] ** 2}::DOUBLE) AS w FROM nb)",
+        "own AS (SELECT y, x, 1 + sum(w) AS w FROM n GROUP BY y, x)", "q0 AS (SELECT y, x, p1, p2, p3, p4 FROM l)",
+    ]
+    for k in range(R21["rounds"]):
+        moved = ", ".join(f"CASE WHEN mv.y IS NULL THEN l.{p} ELSE (l.{p} + coalesce(s.{p}, 0)) / coalesce(own.w, 1) END AS {p}" for p in ps)
+        out.append(f"q{k + 1} AS (SELECT l.y, l.x, {moved} FROM l LEFT JOIN mv ON mv.y = l.y AND mv.x = l.x LEFT JOIN own ON own.y = l.y AND own.x = l.x LEFT JOIN (SELECT n.y, n.x, {', '.join(f'sum(w * q.{p}) AS {p}' for p in ps)} FROM n JOIN q{k} q ON q.y = n.y2 AND q.x = n.x2 GROUP BY n.y, n.x) s ON s.y = l.y AND s.x = l.x)")
+    return f"WITH {', '.join(out)} SELECT l.y, l.x, raw::BIGINT AS raw, mv.y IS NOT NULL AS movable, (CASE WHEN mv.y IS NULL THEN raw ELSE (SELECT {best} FROM q{R21['rounds']} q WHERE q.y = l.y AND q.x = l.x) END)::BIGINT AS label FROM l LEFT JOIN mv ON mv.y = l.y AND mv.x = l.x"
+
+
+@query(_refinement_sql())
+def op_R21_boundary_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsure cells at borders moved by the stain, five steps; all others stay."""
+    cells = _stained(spark, sf_dir).withColumnRenamed("inside", "support")
+    return stencil.refine_boundaries(cells, (1.0, 1.0), block=64, keep_classes=False, **R21).select("y", "x", "raw", "movable", "label")
+
+
+@query(f"""WITH {PIX}, o(dy, dx, a) AS (VALUES (0, 0, 0.375), (0, 1, 0.375), (1, 0, 0.125), (1, 1, 0.125)),
+ m AS (SELECT p.pred AS a, 10 + q.pred AS b, o.a AS area FROM pix q CROSS JOIN o JOIN pix p ON p.y = q.y + dy AND p.x = q.x + dx) SELECT a, b, round(sum(area)::DOUBLE, 6) AS area FROM m GROUP BY a, b""")
+def op_V13_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact overlaps of the classes' polygons with themselves moved by a quarter and a half of a cell; within either set there are none."""
+    c = _rings_of(spark, sf_dir)
+    moved = c.select("image_id", (F.col("label") + 10).alias("label"), F.transform("points", lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.25).alias("y"))).alias("points"))
+    got = overlay.overlaps(c.select("image_id", "label", "points").unionByName(moved), "label")
+    return got.where("area > 1e-7").select("a", "b", F.round("area", 6).alias("area"))
+
+
+def _rings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = components.label_components(X.raster(spark, sf_dir), "pred", block=64)
+    names = components.component_table(labelled).select("image_id", "component", "label")
+    return topology.Coverage(labelled, block=64).polygons().join(names, ["image_id", "component"])
+
+
+@query(f"WITH {EDGES} SELECT (sum(n) // 2)::BIGINT AS within FROM deg WHERE n > 2")
+def op_V19_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many arcs between junctions stay within the distance that they were simplified by: all."""
+    c = _coverage(spark, sf_dir)
+    far = topology.displacement(c.points, topology.simplify(c.points, 2.0), 4.0)
+    return far.join(c.arcs.where("not closed").select("image_id", "arc"), ["image_id", "arc"]).agg(F.count_if(F.col("distance") <= 2.0 + 1e-9).alias("within"))
+
+
+@query("WITH tok AS (SELECT vec_id, vec_id // 20 AS y, vec_id % 20 AS x, label FROM embeddings) SELECT vec_id, round(CASE WHEN label = 3 THEN 2.0::DOUBLE ELSE 0 END + 0.015::DOUBLE * (label % 4), 5) AS rhs FROM tok")
+def op_R22_field_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smooth field over the token grid by conjugate gradients, put back into its equations by plain joins: the right sides again."""
+    tok = X.tokens(spark, sf_dir)
+    guide = tok.select(*grid.KEY, F.transform(F.slice("feat", 1, 3), lambda v: v.cast("double")).alias("g"))
+    own = tok.select(*grid.KEY, "vec_id", F.when(F.col("class_id") == 4, 1.0).otherwise(0.0).alias("m"), ((F.col("class_id") - 1) % 4).cast("double").alias("prior"))
+    rows = field.conductances(guide, "g", (8.0, 8.0), 16.0).join(own, list(grid.KEY)).withColumn("system", F.col("image_id"))
+    rows = rows.select("system", "vec_id", "y", "x", "right", "left", "down", "up", (F.col("m") + 0.015).alias("diagonal"), F.array(2 * F.col("m") + 0.015 * F.col("prior")).alias("rhs"))
+    u = field.solve(rows, block=16).select("y", "x", F.col("u")[0].alias("u"))
+    out = rows.join(u, ["y", "x"]).withColumn("sum", F.col("diagonal") * F.col("u"))
+    for side, dy, dx in (("right", 0, 1), ("left", 0, -1), ("down", 1, 0), ("up", -1, 0)):
+        other = u.select((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("u").alias("v"))
+        out = out.join(other, ["y", "x"], "left").withColumn("sum", F.col("sum") + F.when(F.col(side) > 0, F.col(side) * (F.col("u") - F.col("v"))).otherwise(0.0)).drop("v")
+    return out.select("vec_id", F.round("sum", 5).alias("rhs"))
+
+
 @query()
 def op_R20_guided_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token probabilities to native labels: interpolated, diffused at half the size, smoothed."""

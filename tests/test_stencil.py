@@ -92,3 +92,28 @@ def test_guided_labels_follow_the_stain(spark):
     assert np.mean(right) > 0.95
     other = {(r.y, r.x): r.label for r in stencil.guided_labels(p, (4, 6), native, (h, w), (0.5, 0.5), block=17).collect()}
     assert out == other
+
+
+def test_only_unsure_cells_at_borders_move(spark):
+    h, w = 30, 34
+    dark = np.indices((h, w))[1] + 3 * np.sin(np.indices((h, w))[0] / 4) > 16
+    p = np.where((np.indices((h, w))[1] > 14)[..., None], [0.45, 0.55], [0.55, 0.45]) + 0.0
+    p = np.where((rng.random((h, w)) < 0.1)[..., None], p[..., ::-1], p)
+    p[:, :4], p[:, -4:] = [0.95, 0.05], [0.05, 0.95]
+    he = np.where(dark[..., None], 80, 210) + rng.integers(-3, 4, (h, w, 3))
+    inside = rng.random((h, w)) > 0.05
+    df = frame(spark, p, he, inside).withColumnRenamed("inside", "support")
+    arguments = dict(mpp=(0.5, 0.5), smoothness=2.0, rounds=6, sigma=0.3, margin=0.2, distance_um=2.0, blur_um=0.4)
+    got = {(r.y, r.x): r for r in stencil.refine_boundaries(df, block=64, **arguments).collect()}
+    assert got == {(r.y, r.x): r for r in stencil.refine_boundaries(df, block=7, **arguments).collect()}
+    raw = np.where(inside, p.argmax(axis=2) + 1, 0)
+    edge = [(y, x) for y in range(h) for x in range(w) if raw[y, x] and any(0 <= v < h and 0 <= u < w and raw[v, u] not in (0, raw[y, x]) for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)))]
+    movable = np.array([[bool(raw[y, x]) and abs(p[y, x, 0] - p[y, x, 1]) <= 0.2 and min(np.hypot(y - v, x - u) for v, u in edge) * 0.5 <= 2.0 for x in range(w)] for y in range(h)])
+    q = stencil.refined(p, he, inside, movable, (0.5, 0.5), 2.0, 6, 0.4, 0.3)
+    assert [(k, r.raw, r.movable) for k, r in sorted(got.items()) if (r.raw, r.movable) != (raw[k], movable[k])] == []
+    for (y, x), r in got.items():
+        assert r.label == (q[y, x].argmax() + 1 if movable[y, x] else raw[y, x])
+    assert sum(r.label != r.raw for r in got.values()) > 5
+    with pytest.raises(ValueError, match="vanish"):
+        few = np.where(np.indices((h, w))[1][..., None] == 20, [0.49, 0.51], [0.51, 0.49]) + 0.0
+        stencil.refine_boundaries(frame(spark, few, np.full((h, w, 3), 90), np.ones((h, w), bool)).withColumnRenamed("inside", "support"), **arguments)
