@@ -63,17 +63,17 @@ def roi_mask(scores: DataFrame, tokens: tuple[int, int], working: tuple[int, int
     """(key, label) at display size from (key, class_id, score) on a token grid; sizes are (height, width).
 
     Scores are enlarged to side pixels a token, cropped to the working frame and resized to the display, channel by channel,
-    before the classes are compared. The two cubic resizings of an axis are one table of weights. A head of the two classes
-    BINARY alone has no gate: its second class is where that one's score is above 0.
+    before the classes are compared. The two cubic resizings of an axis are one table of weights. A head of the classes
+    BINARY alone doesn't compare them: its second class is where that one's score is above 0.
     """
     if not allowed or any(not 0 < w <= t * side for w, t in zip(working, tokens, strict=True)) or min(display) < 1:
         raise ValueError("allowed classes and registered sizes are needed")
     spark, out = scores.sparkSession, scores
     for axis, t, w, d in zip(("x", "y"), reversed(tokens), reversed(working), reversed(display), strict=True):
         out = applied(out, "score", axis, chained(resize_weights(spark, w, d), resize_weights(spark, t, t * side), w), ("class_id",))
-    if classes is not None and len(classes) == 2:
-        if tuple(sorted(allowed)) != BINARY or tuple(sorted(classes)) != BINARY:
-            raise ValueError("a head of two classes must have, and be allowed, those of the binary rule")
+    if classes is not None and tuple(sorted(classes)) == BINARY:
+        if tuple(sorted(allowed)) != BINARY:
+            raise ValueError("the binary head needs both its classes allowed")
         score = F.max(F.when(F.col("class_id") == BINARY[1], F.round("score", 9)))
         return out.groupBy(*KEY).agg(F.when(score > 0, BINARY[1]).otherwise(BINARY[0]).cast("long").alias("label"))
     return _decided(out, allowed)

@@ -139,14 +139,14 @@ def guided_labels(probabilities: DataFrame, tokens: tuple[int, int], cells: Data
     return smoothed(native, (sigma_um / mpp[1], sigma_um / mpp[0]), block)
 
 
-def smoothed(pixels: DataFrame, sigma: tuple[float, float], block: int = 256) -> DataFrame:
-    """(key, label): the class whose one-hot mask, blurred by sigma (y, x), is largest; ties to the lower class. Cells of 0 stay 0, and 0 competes."""
+def smoothed(pixels: DataFrame, sigma: tuple[float, float], block: int = 256, zero: bool = True) -> DataFrame:
+    """(key, label): the class whose one-hot mask, blurred by sigma (y, x), is largest; ties to the lower class. Cells of 0 stay 0; 0 competes if `zero`."""
     reach = max(int(round(4 * s)) for s in sigma)
 
     def kernel(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         label = w["label"]
         best, out = np.full(label.shape, -1.0), np.zeros(label.shape, np.int64)
-        for c in np.unique(label):
+        for c in np.unique(label[label > 0] if not zero else label):
             got = np.round(blurred((label == c).astype(np.float64), *sigma, lambda s: int(round(4 * s)), "reflect"), 9)
             out, best = np.where(got > best, c, out), np.maximum(got, best)
         return {"label": np.where(label == 0, 0, out)}
