@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.topology import crossing
+from tessella.operators.topology import Coverage, crossing, fitted
+from tessella.plans.durable import stash
 
 BAND = 16.0
 
@@ -92,3 +93,45 @@ def invalid(rings: DataFrame, owner: str = "component", largest: float = 1e-7, b
     cross = closed.select("image_id", own, name).join(bad, F.col("arc") == F.col("arc_"), "left_semi").select("image_id", "owner", none, F.lit("crosses itself").alias("problem"))
     over = overlaps(closed, owner, band).where(F.col("area") > largest).select("image_id", F.col("a").alias("owner"), F.col("b").alias("other"), F.lit("overlap").alias("problem"))
     return open_.unionByName(flat).unionByName(cross).unionByName(over).distinct()
+
+
+LADDER = (1.0, 2 / 3, 1 / 3, 1 / 6, 1 / 12)  # shares of the asked tolerance, in turn. Fixed values.
+APART = 1 << 32  # between the labels of two sets of polygons
+
+
+def agreement(exact: DataFrame, fitted: DataFrame) -> dict:
+    """How two coverages (image_id, label, points) agree: IoU by label, the share of area that changed, overlap between labels of the second.
+
+    From exact overlaps, a row a pair of labels. The change is half of what all labels gain and lose, so that a border's move counts once,
+    and all of what the outside gains and loses.
+    """
+    both = exact.select("image_id", "label", "points").unionByName(fitted.select("image_id", (F.col("label") + APART).alias("label"), "points"))
+    p = F.col("points")
+    twice = F.aggregate(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    area = {r.label: r.a for r in both.groupBy("label").agg((F.sum(twice) / 2).alias("a")).collect()}  # a row a label
+    met = {(r.a, r.b): r.area for r in overlaps(both, "label").groupBy("a", "b").agg(F.sum("area").alias("area")).collect()}  # a row a pair of labels
+    old, new = {k: v for k, v in area.items() if k < APART}, {k - APART: v for k, v in area.items() if k >= APART}
+    shared = {k: met.get((k, k + APART), 0.0) for k in old}
+    iou = {k: shared[k] / (old[k] + new.get(k, 0.0) - shared[k]) for k in old}
+    moved = sum(old[k] + new.get(k, 0.0) - 2 * shared[k] for k in old) + sum(v for k, v in new.items() if k not in old)
+    outside = sum(old.values()) + sum(new.values()) - 2 * sum(v for (a, b), v in met.items() if a < APART <= b)
+    return {"iou": iou, "changed": (moved + outside) / 2 / sum(old.values()) if old else 0.0, "same_labels": old.keys() == new.keys(), "overlap": sum(v for (a, b), v in met.items() if a >= APART)}
+
+
+def compacted(coverage: Coverage, labels: DataFrame, tolerance: float, mpp_y: float = 1.0, mpp_x: float = 1.0, minimum_iou: float = 0.97, maximum_change: float = 0.015, areas: bool = False) -> tuple[DataFrame, list[dict]]:
+    """(points, attempts): the coverage's arcs simplified by the largest share of the tolerance that the guards admit, or as they were.
+
+    labels: (image_id, component, label). An attempt is admitted if no label is lost, no two overlap, every label's IoU with
+    the exact polygons and the share of area that changed keep their bounds, and fewer pieces are left.
+    """
+    named = lambda points: coverage.polygons(points).join(labels, ["image_id", "component"])
+    exact, before, attempts = stash(named(None)), coverage.points.count(), []
+    for share in LADDER:
+        points = fitted(coverage, tolerance * share, mpp_y, mpp_x, areas=areas)
+        found = agreement(exact, named(points))
+        found |= {"tolerance": tolerance * share, "points": points.count()}
+        found["admitted"] = found["same_labels"] and found["overlap"] < 1e-7 and min(found["iou"].values(), default=1.0) >= minimum_iou and found["changed"] <= maximum_change and found["points"] < before
+        attempts.append(found)
+        if found["admitted"]:
+            return points, attempts
+    return coverage.points, attempts

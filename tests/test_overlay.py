@@ -2,9 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
 
-from tessella.operators import overlay
+from tessella.operators import components, overlay, topology
 
 SCHEMA = "image_id string, component long, ring long, points array<struct<x:double,y:double>>"
 
@@ -44,3 +45,23 @@ def test_what_is_invalid_is_named(spark):
     got = {(r.owner, r.other, r.problem) for r in overlay.invalid(df).collect()}
     assert got == {(2, 3, "overlap"), (4, None, "crosses itself"), (5, None, "no area"), (6, None, "not closed")} or got == {(2, 3, "overlap"), (4, None, "crosses itself"), (4, None, "no area"), (5, None, "no area"), (5, None, "crosses itself"), (6, None, "not closed")}
     assert overlay.invalid(rings(spark, parts[:2])).isEmpty() and overlay.overlaps(df.limit(0)).isEmpty()
+
+
+def test_ladder_takes_the_largest_share_that_the_guards_admit(spark):
+    """A staircase between two labels; a tight guard refuses large tolerances, an impossible one leaves all as it was."""
+    y, x = np.mgrid[:40, :50]
+    a = np.where(x > y + 5, 1, 2)
+    df = spark.createDataFrame([("a", int(i), int(j), int(a[i, j])) for i in range(40) for j in range(50)], "image_id string, y long, x long, label long")
+    labelled = components.label_components(df, "label")
+    coverage, labels = topology.Coverage(labelled), components.component_table(labelled).select("image_id", "component", "label")
+    points, attempts = overlay.compacted(coverage, labels, 1.0)
+    assert len(attempts) == 1 and attempts[0]["admitted"] and attempts[0]["overlap"] < 1e-7 and points.count() < coverage.points.count() / 4
+    n = {1: int((a == 1).sum()), 2: int((a == 2).sum())}
+    areas = {r.label: r.area for r in coverage.face_areas(points).join(labels, ["image_id", "component"]).collect()}
+    both = {r.label: 0.0 for r in labels.collect()}
+    assert math.isclose(sum(areas.values()), 2000.0) and all(attempts[0]["iou"][k] <= min(n[k], areas[k]) / max(n[k], areas[k]) + 1e-12 for k in both)
+    assert math.isclose(attempts[0]["changed"], sum(1 - v for v in attempts[0]["iou"].values()) / 2, abs_tol=0.02)
+    points, attempts = overlay.compacted(coverage, labels, 1.0, minimum_iou=1.0 + 1e-9)
+    assert len(attempts) == 5 and not any(t["admitted"] for t in attempts) and points.count() == coverage.points.count()
+    same = overlay.agreement(coverage.polygons().join(labels, ["image_id", "component"]), coverage.polygons().join(labels, ["image_id", "component"]))
+    assert same["changed"] < 1e-12 and all(math.isclose(v, 1) for v in same["iou"].values())
