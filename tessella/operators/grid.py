@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.blocks import along, on_blocks
+
 KEY = ("image_id", "y", "x")
+BLOCK = 256  # side of a block of a stencil
 
 
 def interfaces(pixels: DataFrame, label: str) -> DataFrame:
@@ -43,56 +46,26 @@ def adjacency(pixels: DataFrame, label: str, mpp_x: float, mpp_y: float) -> Data
     return e.groupBy("image_id", F.least("a", "b").alias("g1"), F.greatest("a", "b").alias("g2")).agg(F.sum(side).alias("len_um"))
 
 
-def offset_means(cells: DataFrame, value: str, height: int, width: int, offsets: Sequence[int] = (1, 2, 4), extra: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
+def offset_means(cells: DataFrame, value: str, height: int, width: int, offsets: Sequence[int] = (1, 2, 4), extra: Sequence[str] = (), edge: str = "nearest", block: int = BLOCK) -> DataFrame:
     """(key, *extra, mean): mean of the values up, down, left and right at each offset, edges clamped or reflected.
 
-    A missing or NaN neighbour counts as the cell itself. Each cell sends its value to the cells that look at it: clamping
-    maps several looks to one source, so looks are exploded on the looking side and joined by equality.
+    A missing or NaN neighbour counts as the cell itself. By blocks with a halo of the largest offset: one exchange.
     """
-    clamp = EDGES[edge]
-    looks = F.array(*(F.struct(clamp(F.col("y") + dy * d, height).cast("long").alias("ny"), clamp(F.col("x") + dx * d, width).cast("long").alias("nx")) for d in offsets for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))))
-    keys = [*KEY, *extra]
-    looking = cells.select(*keys, F.col(value).alias("own"), F.explode(looks).alias("n")).select(*keys, "own", "n.*")
-    seen = cells.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), *extra, F.col(value).alias("v"))
-    met = looking.join(seen, ["image_id", "ny", "nx", *extra], "left")
-    v = F.when(F.col("v").isNull() | F.isnan("v"), F.col("own")).otherwise(F.col("v"))
-    return met.groupBy(*keys).agg(F.avg(v).alias("mean"))
-
-
-def reflected(c: Column, n: int) -> Column:
-    """The coordinate mirrored at the edges, the edge cell itself repeated."""
-    m = F.pmod(c, F.lit(2 * n))
-    return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
-
+    reach = max(offsets)
 
-def mirrored(c: Column, n: int) -> Column:
-    """The coordinate mirrored at the edges, the edge cell itself not repeated."""
-    if n == 1:
-        return F.lit(0)
-    m = F.pmod(c, F.lit(2 * n - 2))
-    return F.when(m >= n, 2 * n - 2 - m).otherwise(m)
+    def kernel(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v = np.where(w["there"], w[value], np.nan)
+        wide, (h, n), total = np.pad(v, reach, mode=PADS[edge]), v.shape, 0.0
+        for d in offsets:
+            for dy, dx in ((-d, 0), (d, 0), (0, -d), (0, d)):
+                seen = wide[reach + dy : reach + dy + h, reach + dx : reach + dx + n]
+                total = total + np.where(np.isnan(seen), v, seen)
+        return {"mean": total / (4 * len(offsets))}
 
+    return on_blocks(cells.select(*KEY, *extra, F.col(value).cast("double").alias(value)), [value], kernel, "mean double", block, reach, extra, (height, width))
 
-def clamped(c: Column, n: int) -> Column:
-    return F.greatest(F.lit(0), F.least(c, F.lit(n - 1)))
 
-
-EDGES = {"nearest": clamped, "mirror": mirrored, "reflect": reflected}
-
-
-def taps(cells: DataFrame, value: str, axis: str, weights: Sequence[float], size: int, extra: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
-    """One pass of a separable filter along an axis: (key, *extra, value).
-
-    Taps beyond an edge fall back inside, so weights of equal sources add up; looks are exploded and joined by equality.
-    """
-    r = len(weights) // 2
-    other = "x" if axis == "y" else "y"
-    looks = F.array(*(F.struct(EDGES[edge](F.col(axis) + (k - r), size).cast("long").alias("n"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)))
-    keys = [*KEY, *extra]
-    looking = cells.select(*keys, F.explode(looks).alias("t")).select(*keys, "t.*")
-    seen = cells.select("image_id", F.col(axis).alias("n"), F.col(other).alias("o_"), *extra, F.col(value).alias("v"))
-    met = looking.withColumn("o_", F.col(other)).join(seen, ["image_id", "n", "o_", *extra])
-    return met.groupBy(*keys).agg(F.sum(F.col("w") * F.col("v")).alias(value))
+PADS = {"nearest": "edge", "mirror": "reflect", "reflect": "symmetric"}  # what numpy calls the edge rules
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -102,10 +75,22 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def gaussian(cells: DataFrame, value: str, sigma: float | tuple[float, float], height: int, width: int, extra: Sequence[str] = (), edge: str = "nearest") -> DataFrame:
-    """Two passes, rows then columns; sigma may differ by axis (y, x)."""
-    sy, sx = sigma if isinstance(sigma, tuple) else (sigma, sigma)
-    return taps(taps(cells, value, "y", gaussian_weights(sy), height, extra, edge), value, "x", gaussian_weights(sx), width, extra, edge)
+def gaussian(cells: DataFrame, value: str, sigma: float | tuple[float, float], height: int, width: int, extra: Sequence[str] = (), edge: str = "nearest", block: int = BLOCK) -> DataFrame:
+    """(key, *extra, value) blurred along both axes; sigma may differ by axis (y, x). By blocks with a halo of the taps' reach: one exchange.
+
+    Taps beyond the frame fall back inside by the edge rule; cells that are not there add nothing.
+    """
+    weights = [gaussian_weights(s) for s in (sigma if isinstance(sigma, tuple) else (sigma, sigma))]
+    halo = max(len(w) // 2 for w in weights)
+
+    def kernel(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        a = w[value]
+        for axis in (0, 1):
+            a = along(a, weights[axis], axis, PADS[edge])
+        return {value: a}
+
+    known = cells.select(*KEY, *extra, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    return on_blocks(known, [value], kernel, f"{value} double", block, halo, extra, (height, width))
 
 
 def smoothed_labels(pixels: DataFrame, label: str, sigma: tuple[float, float], height: int, width: int, classes: Sequence[int], edge: str = "mirror", fixed_zero: bool = False) -> DataFrame:

@@ -1,68 +1,22 @@
-"""Kernels on blocks with a halo: one exchange brings each block its neighbours' cells, numpy does any number of steps inside."""
+"""Diffusion, smoothing and refinement of labels by kernels on blocks with a halo."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import grid
+from tessella.operators.blocks import along, on_blocks
 from tessella.plans.durable import stash
 
 CONTRAST, FLOOR, STRENGTH, ROUNDS = 0.18, 0.02, 3.0, 16  # of optical densities; of conductances; of neighbours against the cell; steps. Fixed values.
 HALO = 24  # steps, the guide's blur and its neighbours' need 20
 BLUR, SPREAD = 1.0, 4.0  # of the guide; of probabilities, in cells. Fixed values.
 
-Kernel = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
-
-
-def on_blocks(cells: DataFrame, columns: Sequence[str], kernel: Kernel, out: str, block: int, halo: int) -> DataFrame:
-    """(key, *out): the kernel's results on each cell (image_id, y, x, *columns) that it gets with all cells up to `halo` away.
-
-    Every cell goes to the blocks in whose halo it lies, so the one exchange moves (1 + 2 * halo / block) ** 2 cells for each, and
-    nothing else does. kernel: arrays by column over the window, `there` tells the cells that exist; it returns arrays of
-    the same window, of which the core stays. A window ends where the image does.
-    """
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block)))
-    dealt = cells.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *columns).withColumn("by", span("y")).withColumn("bx", span("x"))
-    names = [f.split()[0] for f in out.split(", ")]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        core = (y // block == key[1]) & (x // block == key[2])
-        if not core.any():
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("image_id", "y", "x", *names)})
-        y0, x0 = y.min(), x.min()
-        shape = (y.max() - y0 + 1, x.max() - x0 + 1)
-        window = {"there": np.zeros(shape, bool)}
-        window["there"][y - y0, x - x0] = True
-        for c in columns:
-            v = pdf[c].to_numpy()
-            v = np.stack(v) if len(v) and isinstance(v[0], (np.ndarray, list)) else v
-            window[c] = np.zeros((*shape, *v.shape[1:]), v.dtype if v.dtype != object else float)
-            window[c][y - y0, x - x0] = v
-        got = kernel(window)
-        y, x = y[core], x[core]
-        values = {n: got[n][y - y0, x - x0] for n in names}
-        return pd.DataFrame({"image_id": np.full(len(y), key[0], object), "y": y, "x": x, **{n: v if v.ndim == 1 else list(v) for n, v in values.items()}})
-
-    return dealt.groupBy("image_id", "by", "bx").applyInPandas(run, f"image_id string, y long, x long, {out}")
-
-
-def along(a: np.ndarray, weights: Sequence[float], axis: int, edge: str) -> np.ndarray:
-    """One pass of a filter along an axis; edge as numpy names it (`reflect` doesn't repeat the edge cell, `symmetric` and `edge` do)."""
-    r, n = len(weights) // 2, a.shape[axis]
-    pad = [(0, 0)] * a.ndim
-    pad[axis] = (r, r)
-    mode = "edge" if n == 1 else edge
-    wide = np.pad(a, pad, mode=mode)
-    return sum(w * np.take(wide, range(k, k + n), axis) for k, w in enumerate(weights))
-
-
 def blurred(a: np.ndarray, sigma_y: float, sigma_x: float, radius: Callable[[float], int], edge: str) -> np.ndarray:
     for axis, sigma in ((0, sigma_y), (1, sigma_x)):
         r = radius(sigma)
