@@ -250,6 +250,8 @@ SIMILAR = 0.8
 DOUBT = 0.12  # similarity within which 512 bits may err: three standard deviations
 APART = 0.2  # below the similarity by more than this, the sets aren't compared: five standard deviations
 SHORT = 64  # shingles; fingerprints of fewer say too little, so such texts' sets are always compared
+NEAR = 4  # of the fingerprint's first 64 bits: at so many differing ones or fewer, every pair meets in a block
+BLOCKS = -1  # stands for a table's number where a group comes from the blocks
 #: Tables, and minima that a table's key holds: at the similarity 0.8 all of them differ for one pair of 95,000.
 TABLES, MINIMA = 16, 3
 
@@ -390,9 +392,36 @@ def _meetings(rows: DataFrame, close: int, far: int, whole: int) -> DataFrame:
     return dealt.mapInArrow(_met(close, far, whole), "a long, b long, bits int, t int, k long")
 
 
+def _near_by_blocks(nodes: DataFrame, close: int, far: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts whose first 64 bits differ in NEAR or fewer: pairs (a, b, bits) at `far` bits of all or fewer, and rows (node, t, k).
+
+    links() finds them by pigeonhole blocks, XOR and bit count: its edges connect all that such pairs connect, and texts of one
+    fingerprint are linked to the first of them. `bits` counts all bits, as _gaps() does. What similarity leaves apart of a group
+    of three or more may have other pairs than these edges, so its rows are given too, with the group as k.
+    """
+    fp = WORDS[0]
+    held = stash(nodes.groupBy(fp).agg(F.min("node").alias("head")))
+    edges = stash(links(held.select(F.col(fp).alias("fp")), NEAR).select("a", "b").distinct())
+    a, b = (held.select(F.col(fp).alias(k), F.col("head").alias(f"{k}_")) for k in "ab")
+    across = edges.join(a, "a").join(b, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    group = components(edges, "a", "b").select(F.col("node").alias("fp"), "component")
+    heads = held.join(group, held[fp] == group["fp"], "left").select(fp, "head", F.coalesce("component", fp).alias("k"))
+    member = stash(nodes.select("node", fp).join(heads, fp).select("node", "head", "k"))
+    within = member.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    met = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for k in "ab":
+        met = met.join(nodes.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), *(F.col(w).alias(f"{k}_{w}") for w in WORDS)), k)
+    gap = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
+    short = F.least("a_size", "b_size") < SHORT
+    gap = F.when(short, F.least(F.greatest(gap, F.lit(close + 1)), F.lit(far))).otherwise(gap).cast("int")
+    pairs = stash(met.select("a", "b", gap.alias("bits")).where(F.col("bits") <= far))
+    many = member.groupBy("k").count().where("count > 2").select("k")
+    return pairs, member.join(many, "k", "left_semi").select("node", F.lit(BLOCKS).alias("t"), "k")
+
+
 def _joined(close: int, far: int, similarity: float):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of two blocks of texts (or one with itself) the links that join components, by whole sets; of pairs that share a minimum's key."""
+        """Of two blocks of texts (or one with itself) the links that join components, by whole sets; of pairs whose first bits are near or that share a minimum's key."""
         t = pa.Table.from_batches(list(batches)).sort_by("node")
         node, component, size, block = (t[c].to_numpy() for c in ("node", "component", "size", "b"))
         u = np.stack([t[w].to_numpy().view(np.uint64) for w in WORDS], axis=1)
@@ -405,7 +434,7 @@ def _joined(close: int, far: int, similarity: float):
         for i in np.flatnonzero(block == one).tolist():
             j = np.arange(i + 1, len(node)) if one == two else np.flatnonzero(block == two)
             j = j[root[j] != root[i]]
-            j = j[(keys[j] == keys[i]).any(axis=1)]
+            j = j[(np.bitwise_count(u[j, 0] ^ u[i, 0]) <= NEAR) | (keys[j] == keys[i]).any(axis=1)]
             gap = _gaps(close, far, u[j], u[i], short[j] | short[i])
             for k, g in zip(j[gap <= far].tolist(), gap[gap <= far].tolist(), strict=True):
                 if root[k] == root[i]:
@@ -438,7 +467,7 @@ def _sets(width: int):
 
 
 def _links_apart(apart: DataFrame, nodes: DataFrame, of: DataFrame, docs: DataFrame, width: int, similarity: float, close: int, far: int, cell: int) -> DataFrame:
-    """(a, b): links between components of the runs (node, t, k) that close pairs don't connect.
+    """(a, b): links between components of the runs and groups (node, t, k) that close pairs don't connect.
 
     The texts of runs that have members in common are cut into blocks, and every two blocks meet in a task that compares what is
     not yet joined, so that no pair is ever a row and no run is held whole: a text travels once for each block of its runs.
@@ -522,11 +551,13 @@ def _truly_similar(edges: DataFrame, docs: DataFrame, width: int, similarity: fl
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, whole: int = WHOLE, cell: int = CELL) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (nulls first); all columns kept.
 
-    Two texts are similar if their sets of word shingles have the Jaccard similarity. Candidates come from tables over the
-    sets' minima. A 512-bit SimHash of the shingles tells by its Hamming distance, and where that is within DOUBT of the
-    similarity, or texts are short, the sets are compared. Large runs of a table first give a minimal spanning forest by that
-    distance (of over `whole` texts, links to leaders); what that leaves apart is compared in blocks of about `cell` texts, two in
-    a task, until it is joined. Groups are the components. Texts without words are one group.
+    Two texts are similar if their sets of word shingles have the Jaccard similarity. Candidates are all pairs whose SimHashes
+    differ in NEAR of their first 64 bits or fewer, found by pigeonhole blocks; similar texts that lie further apart than blocks
+    can be sure of are met in tables over the sets' minima as well. The SimHash's 512 bits tell by their Hamming distance, and
+    where that is within DOUBT of the similarity, or texts are short, the sets are compared. Large runs of a table first give a
+    minimal spanning forest by that distance (of over `whole` texts, links to leaders); what that, or the edges of a group of
+    near fingerprints, leaves apart is compared in blocks of about `cell` texts, two in a task, until it is joined. Groups are
+    the components. Texts without words are one group.
     Equal rows leave one; texts of any length are compared whole; an empty table stays empty.
     """
     close, far = most_bits(similarity + DOUBT), most_bits(similarity - APART)
@@ -534,6 +565,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     rows = stash(body.mapInArrow(_wide_rows(width), f"doc_id long, h long, node long, size long, {', '.join(f'{w} long' for w in WORDS)}, keys array<long>"))
     nodes = stash(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", "size", *WORDS, "keys"))))
     rows = rows.select("doc_id", "h", "node")
+    blocked, groups = _near_by_blocks(nodes, close, far)
     keyed = nodes.select("node", "size", *WORDS, F.posexplode("keys").alias("t", "k"))
     met = stash(_meetings(keyed, close, far, whole))
     a, b = (nodes.select(F.col("node").alias(k), F.col("h").alias(f"{k}_h")) for k in "ab")
@@ -541,11 +573,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = SIMI
     def verified(pairs: DataFrame) -> DataFrame:
         return stash(_truly_similar(stash(pairs.join(a, "a").join(b, "b").select("a", "b", "a_h", "b_h")), docs, width, similarity))
 
-    pairs = met.where("b is not null").select("a", "b", "bits").distinct()
+    pairs = met.where("b is not null").select("a", "b", "bits").unionByName(blocked).distinct()
     tried = pairs.where(F.col("bits") > close).select("a", "b")
     near = pairs.where(F.col("bits") <= close).select("a", "b").unionByName(verified(tried))
     of = components(near, "a", "b")
-    apart = met.where("b is null").select(F.col("a").alias("node"), "t", "k").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = met.where("b is null").select(F.col("a").alias("node"), "t", "k").unionByName(groups)
+    apart = apart.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     torn = apart.groupBy("t", "k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "k")
     apart = stash(apart.join(torn, ["t", "k"], "left_semi").select("node", "t", "k"))
     if not apart.isEmpty():

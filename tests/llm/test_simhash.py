@@ -172,3 +172,33 @@ def test_large_runs_keep_every_pair(spark, make_docs, whole, cell):
     got = sorted(r.doc_id for r in simhash.distinct_documents(make_docs(rows), whole=whole, cell=cell).collect())
     assert got == sorted({rows[x][0] for x in label})
     assert 10 < len(got) < 170
+
+
+def test_near_fingerprints_meet_without_a_shared_minimum(spark, make_docs, monkeypatch):
+    """Pairs at 4 of 64 bits or fewer are found by blocks alone: no two texts here share a minimum's key."""
+    rng = random.Random(12)
+    wide = simhash._wide
+
+    def unmet(text, width):
+        n, bits, keys = wide(text, width)
+        return n, bits, np.array([xxhash.xxh3_64_intdigest(text, k) for k in range(len(keys))], np.uint64).view(np.int64)
+
+    rows = []
+    for f, n in enumerate((70, 150, 400, 12)):
+        base = [f"f{f}w{i}" for i in range(n)]
+        for k in range(40):
+            w = list(base)
+            for i in rng.sample(range(n), 1 + k % 2):
+                w[i] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * f + k, " ".join(w)))
+    rows += [(1000 + g, " ".join(f"g{g // 2}w{i}" for i in range(300 + g % 2))) for g in range(60)]
+    first = [int(wide(t.encode(), 5)[1].view(np.uint64)[0]) for _, t in rows]
+    sets = [shingled(t) for _, t in rows]
+    near = [[j for j in range(len(rows)) if (first[i] ^ first[j]).bit_count() <= 4 and alike(sets[i], sets[j])] for i in range(len(rows))]
+    label = list(range(len(rows)))
+    while (new := [min(label[j] for j in n) for n in near]) != label:
+        label = new
+    monkeypatch.setattr(simhash, "_wide", unmet)
+    got = sorted(r.doc_id for r in simhash.distinct_documents(make_docs(rows)).collect())
+    assert got == sorted({rows[x][0] for x in label})
+    assert len(got) < len(rows) - 60
