@@ -117,3 +117,25 @@ def test_only_unsure_cells_at_borders_move(spark):
     with pytest.raises(ValueError, match="vanish"):
         few = np.where(np.indices((h, w))[1][..., None] == 20, [0.49, 0.51], [0.51, 0.49]) + 0.0
         stencil.refine_boundaries(frame(spark, few, np.full((h, w, 3), 90), np.ones((h, w), bool)).withColumnRenamed("inside", "support"), **arguments)
+
+
+@pytest.mark.parametrize("edge", ["nearest", "reflect"])
+def test_offset_means_leave_out_what_a_join_would(spark, edge):
+    """A last row that ends early, an island, a null and a NaN: neighbours as the SQL of J03 and J04 joins them."""
+    h, w, nan = 9, 5, float("nan")
+    here = {(y, x): float(y * w + x) ** 2 for y in range(h) for x in range(w) if y < h - 3 or (y == h - 2 and x == 2) or (y == h - 1 and x < 2)}
+    here[1, 1], here[4, 3] = None, nan
+    clamp = {"nearest": lambda v, n: max(0, min(v, n - 1)), "reflect": lambda v, n: v % (2 * n) if v % (2 * n) < n else 2 * n - 1 - v % (2 * n)}[edge]
+    want = {}
+    for y, x in here:
+        met = [here[q] for d in (1, 2, 4) for dy, dx in ((-d, 0), (d, 0), (0, -d), (0, d)) if (q := (clamp(y + dy, h), clamp(x + dx, w))) in here]
+        held = [v for v in met if v is not None]
+        if met:
+            want[y, x] = sum(held) / len(held) if held else None
+    df = spark.createDataFrame([("a", y, x, v) for (y, x), v in here.items()], "image_id string, y long, x long, v double")
+    for block in (3, 256):
+        got = {(r.y, r.x): r["mean"] for r in grid.offset_means(df, "v", h, w, edge=edge, block=block, absent="out").collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+    own = {(r.y, r.x): r["mean"] for r in grid.offset_means(df, "v", h, w, edge=edge).collect()}
+    assert own.keys() == here.keys() and own[4, 2] is not None and own[4, 3] is None
