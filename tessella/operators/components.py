@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import components as closure
-from tessella.plans.durable import stash
+from tessella.plans.durable import joined_left, stash, whole
 
 BLOCK = 256
 
@@ -50,19 +50,19 @@ def label_components(pixels: DataFrame, label: str, eight: bool = False, block:
     base = pixels.where(F.col(label).isNotNull() & (F.col(label) != 0)).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(label).cast("long").alias("label"))
     keyed = base.withColumn("pixel", F.col("y") * row + F.col("x")).withColumn("by", F.expr(f"y div {block}")).withColumn("bx", F.expr(f"x div {block}"))
     parts = keyed.groupBy("image_id", "by", "bx").applyInPandas(lambda p: _runs(p, eight), "image_id string, y long, x long, label long, part long")
-    parts = stash(parts)
+    parts = stash(parts, cells=True)
     seam = parts.where((F.col("y") % block).isin(0, block - 1) | (F.col("x") % block).isin(0, block - 1))
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
     far = seam.select("image_id", F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("label").alias("label2"), F.col("part").alias("p2"))
     near = seam.select("image_id", "label", "part", F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y2"), (F.col("x") + dx).alias("x2")) for dy, dx in steps))).alias("n")).select("image_id", "label", "part", "n.*")
     met = near.join(far, ["image_id", "y2", "x2"]).where("label = label2 and part <> p2")
     node = lambda c: F.xxhash64("image_id", c)  # noqa: E731  a part's name is unique in its image only
-    edges = met.select(node("part").alias("a"), node("p2").alias("b")).distinct()
-    of = closure(edges, "a", "b")
-    named = parts.select("image_id", "part").distinct().withColumn("node", node("part")).join(of, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    pairs = stash(met.select("image_id", "part", "p2").distinct())
+    of = closure(pairs.select(node("part").alias("a"), node("p2").alias("b")), "a", "b")
+    named = pairs.select("image_id", F.explode(F.array("part", "p2")).alias("part")).distinct().withColumn("node", node("part")).join(of, "node").withColumnRenamed("component", "root")
     low = named.groupBy("image_id", "root").agg(F.min("part").alias("component"))
-    names = named.drop("component").join(low, ["image_id", "root"]).select("image_id", "part", "component")
-    return parts.join(names, ["image_id", "part"]).select("image_id", "y", "x", "label", "component")
+    renamed = stash(named.join(low, ["image_id", "root"]).where("part <> component").select("image_id", "part", "component"))  # only parts that go on beyond a seam
+    return whole(joined_left(parts, renamed, ["image_id", "part"]).select("image_id", "y", "x", "label", F.coalesce("component", "part").alias("component")))
 
 
 def component_table(labelled: DataFrame) -> DataFrame:
