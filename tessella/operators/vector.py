@@ -2,74 +2,153 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.components import label_components
 from tessella.operators.grid import KEY
+from tessella.plans.durable import stash
 
 RINGS = "image_id string, component long, label long, ring int, hole boolean, points array<struct<x:double,y:double>>"
-
-
-def boundary_edges(labelled: DataFrame) -> DataFrame:
-    """(image_id, component, label, y0, x0, y1, x1): unit edges of each component, its inside to the right of their direction.
-
-    A pixel names its four sides, directed clockwise; a side shared by two pixels of a component cancels.
-    """
-    y, x = F.col("y"), F.col("x")
-    sides = F.array(*(F.struct(*(c.alias(n) for c, n in zip(s, ("y0", "x0", "y1", "x1"), strict=True)), F.lit(d).alias("d")) for s, d in (
-        ((y, x, y, x + 1), 1), ((y, x + 1, y + 1, x + 1), 1), ((y + 1, x + 1, y + 1, x), -1), ((y + 1, x, y, x), -1))))
-    e = labelled.select("image_id", "component", "label", F.explode(sides).alias("e")).select("image_id", "component", "label", "e.*")
-    end = lambda k: F.struct(F.col(f"y{k}").alias("y"), F.col(f"x{k}").alias("x"))
-    low = F.least(end(0), end(1))
-    e = e.groupBy("image_id", "component", "label", low.alias("low"), (F.col("y0") == F.col("y1")).alias("flat")).agg(F.count("*").alias("n"), F.first(F.struct("y0", "x0", "y1", "x1")).alias("e"))
-    return e.where("n = 1").select("image_id", "component", "label", "e.*")
-
-
-def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One component's rings: edges chained, at a crossing by the turn to the right, straight runs joined."""
-    out = defaultdict(list)
-    for y0, x0, y1, x1 in pdf[["y0", "x0", "y1", "x1"]].sort_values(["y0", "x0", "y1", "x1"]).itertuples(index=False):
-        out[y0, x0].append((y1, x1))
-    rows = []
-    for start in sorted(out):
-        if start not in out:
-            continue
-        at, came, ring = start, None, []
-        while True:
-            nexts = out[at]
-            if came and len(nexts) > 1:
-                dy, dx = at[0] - came[0], at[1] - came[1]
-                nexts.sort(key=lambda q: (q[0] - at[0], q[1] - at[1]) != (dx, -dy))  # right of the way come, y grows downwards
-            to = nexts.pop(0)
-            if not nexts:
-                del out[at]
-            if len(ring) > 1 and (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) == (at[0] - ring[-1][0], at[1] - ring[-1][1]):
-                ring.pop()
-            ring.append(at)
-            came, at = at, to
-            if at == start:
-                break
-        corners = [p for i, p in enumerate(ring) if _turns(ring[i - 1], p, ring[(i + 1) % len(ring)])]
-        twice = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
-        rows.append((twice < 0, corners + corners[:1]))
-    first = pdf.iloc[0]
-    return pd.DataFrame([{"image_id": first["image_id"], "component": first["component"], "label": first["label"], "ring": i, "hole": h, "points": [{"x": float(x), "y": float(y)} for y, x in pts]} for i, (h, pts) in enumerate(rows)])
-
-
-def _turns(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> bool:
-    return (b[0] - a[0]) * (c[1] - b[1]) != (b[1] - a[1]) * (c[0] - b[0])
-
-
-def polygonize(labelled: DataFrame) -> DataFrame:
+POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+RING_ROWS = pa.schema([("image_id", pa.string()), ("component", pa.int64()), ("label", pa.int64()), ("hole", pa.bool_()), ("points", POINTS)])
+BORDERED = pa.schema([*RING_ROWS, *((c, pa.int64()) for c in ("y0", "x0", "y1", "x1"))])
+
+
+def _after(c: np.ndarray, y0: np.ndarray, x0: np.ndarray, y1: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next edge, whether there is one) of unit edges in order of (c, y0, x0, y1, x1), c counting from 0; at a crossing the turn to the right."""
+    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+    low_y, low_x = np.minimum(np.minimum.reduceat(y0, first), np.minimum.reduceat(y1, first)), np.minimum(np.minimum.reduceat(x0, first), np.minimum.reduceat(x1, first))
+    tall, wide = (np.maximum(np.maximum.reduceat(p, first), np.maximum.reduceat(q, first)) - low + 1 for p, q, low in ((y0, y1, low_y), (x0, x1, low_x)))
+    base = np.cumsum(tall * wide) - tall * wide
+    place = lambda y, x: base[c] + (y - low_y[c]) * wide[c] + x - low_x[c]  # noqa: E731  the corners' boxes, one component's behind another's
+    at, to = place(y0, x0), place(y1, x1)
+    out = np.minimum(np.searchsorted(at, to), len(at) - 1)
+    also = np.minimum(out + 1, len(at) - 1)
+    dy, dx = y1 - y0, x1 - x0
+    left = (at[also] == to) & (also > out) & ~((dy[out] == dx) & (dx[out] == -dy)) & (dy[also] == dx) & (dx[also] == -dy)  # right of the way comes, y grows downwards
+    return np.where(left, also, out), at[out] == to
+
+
+def _traced(image: pa.Array, component: np.ndarray, label: np.ndarray, y0: np.ndarray, x0: np.ndarray, y1: np.ndarray, x1: np.ndarray) -> pa.Table:
+    """The rings of unit edges in order of (image, component, y0, x0, y1, x1), each from its first corner, straight runs joined."""
+    if not len(component):
+        return RING_ROWS.empty_table()
+    codes = image.dictionary_encode().indices.to_numpy()
+    c = np.cumsum(np.concatenate(([0], (component[1:] != component[:-1]) | (codes[1:] != codes[:-1]))))
+    follows, _ = _after(c, y0, x0, y1, x1)
+    root, hop = np.arange(len(c)), follows
+    while ((low := np.minimum(root, root[hop])) != root).any():  # the first edge of each ring, by pointer doubling
+        root, hop = low, hop[hop]
+    last = follows == root
+    left, hop = (~last).astype(np.int64), np.where(last, np.arange(len(c)), follows)
+    while (more := left[hop]).any():  # edges up to the ring's last one
+        left, hop = left + more, hop[hop]
+    order = np.lexsort((-left, root))
+    y0, x0, y1, x1 = (v[order] for v in (y0, x0, y1, x1))
+    heads = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1])))
+    dy, dx = y1 - y0, x1 - x0
+    ends = np.append(heads[1:], len(c)) - 1
+    came_y, came_x = np.roll(dy, 1), np.roll(dx, 1)
+    came_y[heads], came_x[heads] = dy[ends], dx[ends]
+    turns = (dy != came_y) | (dx != came_x)
+    hole = np.add.reduceat(x0 * y1 - x1 * y0, heads) < 0
+    points = np.add.reduceat(turns.astype(np.int64), heads)
+    offsets = np.concatenate(([0], np.cumsum(points + 1)))
+    corner = np.flatnonzero(turns)
+    pick = np.empty(offsets[-1], np.int64)
+    pick[np.arange(len(corner)) + np.repeat(np.arange(len(heads)), points)] = corner
+    pick[offsets[1:] - 1] = pick[offsets[:-1]]  # rings are closed
+    rows = order[heads]
+    xy = pa.StructArray.from_arrays([pa.array(x0[pick].astype(np.float64)), pa.array(y0[pick].astype(np.float64))], ["x", "y"])
+    return pa.table([image.take(pa.array(rows)), component[rows], label[rows], hole, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), xy)], schema=RING_ROWS)
+
+
+def _columns(t: pa.Table) -> tuple:
+    whole = lambda c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0)
+    return whole("image_id"), *(whole(n).to_numpy(zero_copy_only=False) for n in t.column_names[1:])
+
+
+def _bordered(block: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        """A block's rings that touch none of its borders, and the unit edges of the others; on a border each side's edges are there."""
+        image, component, label, y, x = _columns(t)
+        top, low = key[1].as_py() * block, key[2].as_py() * block
+        names, code = np.unique(component, return_inverse=True)
+        held = np.full((block + 2, block + 2), -1, np.int64)
+        held[y - top + 1, x - low + 1] = code
+        sides = []
+        for dy, dx, (ay, ax), (by, bx) in ((-1, 0, (0, 0), (0, 1)), (0, 1, (0, 1), (1, 1)), (1, 0, (1, 1), (1, 0)), (0, -1, (1, 0), (0, 0))):  # clockwise, the inside to the right
+            own = np.flatnonzero(held[y - top + 1 + dy, x - low + 1 + dx] != code)
+            sides.append((own, y[own] + ay, x[own] + ax, y[own] + by, x[own] + bx))
+        own, *e = (np.concatenate(v) for v in zip(*sides, strict=True))
+        order = np.lexsort((e[3], e[2], e[1], e[0], code[own]))
+        own, (y0, x0, y1, x1) = own[order], (v[order] for v in e)
+        c = np.cumsum(np.concatenate(([0], np.diff(code[own]) != 0)))
+        follows, there = _after(c, y0, x0, y1, x1)
+        open_ = ~there | (y1 == top) | (y1 == top + block) | (x1 == low) | (x1 == low + block)
+        hop = np.where(open_, np.arange(len(c)), follows)
+        while ((now := open_ | open_[hop]) != open_).any():  # what leads to a border
+            open_, hop = now, hop[hop]
+        inner = ~open_
+        rings = _traced(image.take(pa.array(own[inner])), component[own[inner]], label[own[inner]], *(v[inner] for v in (y0, x0, y1, x1)))
+        rest = [image.take(pa.array(own[open_])), component[own[open_]], label[own[open_]], *(v[open_] for v in (y0, x0, y1, x1))]
+        blank = lambda n, kind: pa.nulls(n, kind)
+        edges = pa.table([*rest[:3], blank(len(rest[1]), pa.bool_()), blank(len(rest[1]), POINTS), *rest[3:]], schema=BORDERED)
+        closed = pa.table([*rings.columns, *(blank(len(rings), pa.int64()) for _ in range(4))], schema=BORDERED)
+        return pa.concat_tables([closed, edges])
+
+    return run
+
+
+EDGES_AT_ONCE = 1 << 18  # edges traced together, and one more component
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rings of a partition's edges, in order of their components."""
+    held: list[pa.RecordBatch] = []
+
+    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        return iter(_traced(*_columns(t)).combine_chunks().to_batches(max_chunksize=10_000))
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= EDGES_AT_ONCE:
+            t = pa.Table.from_batches(held)
+            own = pc.and_(pc.equal(t["component"], t["component"][-1]), pc.equal(t["image_id"], t["image_id"][-1]))
+            cut = pc.index(own, pa.scalar(True)).as_py()  # the last component may go on
+            if cut:
+                yield from done(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+    if sum(map(len, held)):
+        yield from done(pa.Table.from_batches(held))
+
+
+def polygonize(labelled: DataFrame, block: int = 256) -> DataFrame:
     """(image_id, component, label, ring, hole, points): closed rings of each component along pixel edges.
 
-    Outer rings run clockwise (y down), holes the other way. Only a component's boundary meets in one task, not its area.
+    Outer rings run clockwise (y down), holes the other way; each begins at its first corner, and `ring` counts a component's in that order. At a crossing
+    the turn to the right is taken. Blocks trace the rings that touch none of their borders; of the others the unit edges, less those that cancel
+    across a border, meet in one task for each component, many components in one.
     """
-    return boundary_edges(labelled).groupBy("image_id", "component").applyInPandas(_linked, RINGS)
+    keyed = labelled.select("image_id", F.col("component").cast("long").alias("component"), F.col("label").cast("long").alias("label"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    keyed = keyed.withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
+    cells = lambda key, t: _bordered(block)(key, t.select(["image_id", "component", "label", "y", "x"]))
+    parts = stash(keyed.groupBy("image_id", "by", "bx").applyInArrow(cells, "image_id string, component long, label long, hole boolean, points array<struct<x:double,y:double>>, y0 long, x0 long, y1 long, x1 long"), cells=True)
+    low = [F.least("y0", "y1"), F.least("x0", "x1"), F.col("y0") == F.col("y1")]
+    ends = ["y0", "x0", "y1", "x1"]
+    e = parts.where("points is null").groupBy("image_id", "component", "label", *(k.alias(f"k{i}") for i, k in enumerate(low))).agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ends))
+    e = e.where("n = 1").select("image_id", "component", "label", *ends)
+    crossing = e.repartition("image_id", "component").sortWithinPartitions("image_id", "component", *ends).mapInArrow(_followed, "image_id string, component long, label long, hole boolean, points array<struct<x:double,y:double>>")
+    rings = parts.where("points is not null").select("image_id", "component", "label", "hole", "points").unionByName(crossing)
+    first = F.col("points")[0]
+    order = Window.partitionBy("image_id", "component").orderBy(first["y"], first["x"])
+    return rings.select("image_id", "component", "label", (F.row_number().over(order) - 1).alias("ring"), "hole", "points")
 
 
 def ring_area(points: str | Column) -> Column:
