@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.components import label_components
 from tessella.operators.grid import KEY, gaussian
-from tessella.plans.durable import stash
+from tessella.plans.durable import joined_left, stash
 
 RING = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
@@ -58,22 +58,22 @@ def repair(pixels: DataFrame, label: str, minimum_pixels: int, mode: str, suppor
     if mode not in ("roi", "wsi", "single") or minimum_pixels < 1:
         raise ValueError("mode must be roi, wsi or single, and minimum_pixels positive")
     extra = [support] if support else []
-    now = stash(pixels.select(*KEY, F.col(label).cast("long").alias("label"), *extra))
+    now = stash(pixels.select(*KEY, F.col(label).cast("long").alias("label"), *extra), cells=True)
     classes: Sequence[int] = sorted(r[0] for r in now.select("label").distinct().collect() if r[0] > 0)  # a few class ids
     order = [*classes, *([0] if support and mode != "roi" else [])]
     for _ in range(1 if mode == "single" else passes):
         changed = 0
         for value in order:
-            parts = stash(small_parts(now, value, minimum_pixels, eight, support if value == 0 else None, block))
+            parts = stash(small_parts(now, value, minimum_pixels, eight, support if value == 0 else None, block), cells=True)
             if not parts.take(1):
                 continue
             won = winners(now, parts, value, mode == "wsi")
             new = parts.join(won, ["image_id", "component"], "left")
             if mode == "roi" and new.where("winner is null").take(1):
                 raise ValueError("a small region has no neighbour of another class")
-            new = stash(new.select(*KEY, F.coalesce("winner", F.lit(value if value == 0 else 0)).cast("long").alias("new")))
+            new = stash(new.select(*KEY, F.coalesce("winner", F.lit(value if value == 0 else 0)).cast("long").alias("new")), cells=True)
             changed += new.where(F.col("new") != value).count()
-            now = stash(now.join(new, list(KEY), "left").select(*KEY, F.coalesce("new", "label").alias("label"), *extra))
+            now = stash(joined_left(now, new, list(KEY)).select(*KEY, F.coalesce("new", "label").alias("label"), *extra), cells=True)
         if not changed:
             break
     else:
@@ -90,11 +90,11 @@ def tissue_support(rgb: DataFrame, height: int, width: int, mpp_x: float, mpp_y:
     """
     long = rgb.select(*KEY, F.posexplode(F.array(*(F.col(c).cast("double") for c in "rgb"))).alias("c", "v"))
     blurred = gaussian(long, "v", 1.0, height, width, ("c",), "reflect").groupBy(*KEY).agg(F.max("v").alias("hi"), F.min("v").alias("lo"))
-    raw = stash(blurred.select(*KEY, F.when((F.col("hi") - F.col("lo") > 25) | (F.col("lo") < 180), 1).otherwise(0).cast("long").alias("label"), F.lit(True).alias("any")))
+    raw = stash(blurred.select(*KEY, F.when((F.col("hi") - F.col("lo") > 25) | (F.col("lo") < 180), 1).otherwise(0).cast("long").alias("label"), F.lit(True).alias("any")), cells=True)
     pixel = mpp_x * mpp_y
     for value, area, guard in ((1, island_um2, None), (0, hole_um2, "any")):
-        gone = small_parts(raw, value, math.ceil(area / pixel), False, guard, block).select(*KEY, F.lit(1 - value).cast("long").alias("new"))
-        raw = stash(raw.join(gone, list(KEY), "left").select(*KEY, F.coalesce("new", "label").alias("label"), "any"))
+        gone = stash(small_parts(raw, value, math.ceil(area / pixel), False, guard, block).select(*KEY, F.lit(1 - value).cast("long").alias("new")), cells=True)
+        raw = stash(joined_left(raw, gone, list(KEY)).select(*KEY, F.coalesce("new", "label").alias("label"), "any"), cells=True)
     return raw.select(*KEY, (F.col("label") == 1).alias("on"))
 
 
@@ -104,7 +104,7 @@ def relabel_single_contact(pixels: DataFrame, label: str, below: int, keep_at_fr
     For rasters of two classes and 0. All is decided on the input, so order plays no part. Parts with a mixed or zero
     contact stay; so do parts at the frame if asked, and the parts of a class that would vanish.
     """
-    base = stash(pixels.select(*KEY, F.col(label).cast("long").alias("label")))
+    base = stash(pixels.select(*KEY, F.col(label).cast("long").alias("label")), cells=True)
     counts = {r[0]: r[1] for r in base.groupBy("label").count().collect()}
     if len([c for c in counts if c > 0]) != 2:
         raise ValueError("exactly two classes are expected")
@@ -117,7 +117,7 @@ def relabel_single_contact(pixels: DataFrame, label: str, below: int, keep_at_fr
     cells = parts.join(size.select("image_id", "component", "own"), ["image_id", "component"])
     near = cells.select("image_id", "component", "own", steps.alias("n")).select("image_id", "component", "own", "n.*").join(base, list(KEY)).where("label <> own")
     one = near.groupBy("image_id", "component", "own").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi and lo > 0")
-    moved = stash(cells.drop("own").join(one, ["image_id", "component"]).select(*KEY, "own", F.col("lo").alias("new")))
+    moved = stash(cells.drop("own").join(one, ["image_id", "component"]).select(*KEY, "own", F.col("lo").alias("new")), cells=True)
     lost = {r[0] for r in moved.groupBy("own").count().collect() if r[0] > 0 and r[1] >= counts[r[0]]}
     moved = moved.where(~F.col("own").isin(*lost)) if lost else moved
-    return base.join(moved.select(*KEY, "new"), list(KEY), "left").select(*KEY, F.coalesce("new", "label").alias("label"))
+    return joined_left(base, moved.select(*KEY, "new"), list(KEY)).select(*KEY, F.coalesce("new", "label").alias("label"))
