@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import components, features, grid, heads, projection, vector
+from tessella.plans.durable import whole
 from tessella.plans.queries_cells import SHAPE, WEIGHTS
 from tessella.plans.queries_regions import COMP
 from tessella.plans.registry import query
@@ -69,11 +70,12 @@ def op_R25_core_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster cut into shards with halos, and assembled from their cores once all halos agree."""
     p = X.raster(spark, sf_dir)
     frame = p.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    w = readers.windows(frame, 16, 3)
-    span = lambda at, n: F.explode(F.sequence(F.col(at), F.col(at) + F.col(n) - 1))
-    cells = w.select("*", span("y", "h").alias("cy")).select("*", span("x", "w").alias("cx"))
-    cells = cells.select("image_id", "core_y", "core_x", "core_h", "core_w", F.col("cy").alias("y"), F.col("cx").alias("x"))
-    shards = cells.join(p.select(*grid.KEY, F.col("pred").alias("label")), list(grid.KEY))
+    w = whole(readers.windows(frame, 16, 3))  # as many as the raster has cells by 256, from a frame of one row
+    near = lambda c: F.explode(F.transform(F.sequence(F.floor((F.col(c) - 3) / 16), F.floor((F.col(c) + 3) / 16)), lambda k: k * 16))  # noqa: E731  the cores in whose halo a cell may lie
+    cells = p.select(*grid.KEY, F.col("pred").alias("label"), near("y").alias("core_y")).select("*", near("x").alias("core_x"))
+    within = lambda c, at, n: (F.col(c) >= F.col(at)) & (F.col(c) < F.col(at) + F.col(n))
+    spans = w.select("image_id", "core_y", "core_x", "core_h", "core_w", F.col("y").alias("at_y"), F.col("x").alias("at_x"), "h", "w")
+    shards = cells.join(spans, ["image_id", "core_y", "core_x"]).where(within("y", "at_y", "h") & within("x", "at_x", "w")).drop("at_y", "at_x", "h", "w")
     return projection.assembled(shards, frame).select("y", "x", "label", "seen")
 
 
