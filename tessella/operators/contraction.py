@@ -10,7 +10,7 @@ from tessella.operators.components import label_components
 from tessella.operators.graph import components
 from tessella.operators.grid import KEY
 from tessella.operators.repair import RING
-from tessella.plans.durable import stash
+from tessella.plans.durable import joined_left, stash
 
 MOST = 20_000  # contacts of a group of touching small parts that one task contracts
 EVENTS = "image_id string, c long, size long, into long, mass long, tied array<long>"
@@ -71,6 +71,14 @@ def _contracted(minimum: int):
     return run
 
 
+def _grouped(adj: DataFrame) -> DataFrame:
+    """adj with `group`, by which small parts that touch one another hang together, and `rows`, its contacts."""
+    node = lambda c: F.xxhash64("image_id", c)
+    of = components(adj.where("n_small").select(node("c").alias("a"), node("n").alias("b")), "a", "b")
+    grouped = adj.withColumn("node", node("c")).join(of, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("node", "component")
+    return stash(grouped.join(grouped.groupBy("group").agg(F.count("*").alias("rows")), "group"), cells=True)
+
+
 def _local_round(adj: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
     """One step on all parts that come before every small part they touch: (their events, the contacts that are left)."""
     first = F.struct(F.col("size"), -F.col("c"))
@@ -101,26 +109,26 @@ def _local_round(adj: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
     return events, stash(left)
 
 
-def _events(adj: DataFrame, minimum: int, most: int) -> DataFrame:
+def _events(grouped: DataFrame, forced: DataFrame | None, minimum: int, most: int) -> DataFrame:
     """(image_id, c, size, into, mass, tied): what becomes of each small part.
 
-    Groups of touching small parts are independent; those of `most` contacts or fewer are contracted in tasks. Larger ones go on by
+    Groups of touching small parts are independent; those of `most` contacts or fewer are contracted in tasks, many of them in one call. Larger ones go on by
     rounds, in each of which every part that comes before its small neighbours takes its turn, until they have come apart.
     """
     out = None
-    node = lambda c: F.xxhash64("image_id", c)
+    grouped = grouped.withColumn("forced", F.lit(None).cast("long")) if forced is None else joined_left(grouped, forced, ["image_id", "c"])
     while True:
-        of = components(adj.where("n_small").select(node("c").alias("a"), node("n").alias("b")), "a", "b")
-        grouped = adj.withColumn("node", node("c")).join(of, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("node", "component")
-        sizes = grouped.groupBy("group").agg(F.count("*").alias("rows"))
-        grouped = stash(grouped.join(sizes, "group"))
-        done = stash(grouped.where(F.col("rows") <= most).drop("rows").groupBy("group").applyInPandas(_contracted(minimum), EVENTS))
+        few = grouped.where(F.col("rows") <= most)
+        calls = few.count() // most + 1  # of `most` contacts each, more or less
+        dealt = few.withColumn("call", F.pmod(F.xxhash64("group"), F.lit(calls))).drop("rows", "group")
+        done = stash(dealt.groupBy("image_id", "call").applyInPandas(_contracted(minimum), EVENTS), cells=True)
         out = done if out is None else out.unionByName(done)
         adj = grouped.where(F.col("rows") > most).drop("rows", "group")
         if adj.isEmpty():
             return out
         events, adj = _local_round(stash(adj), minimum)
         out = out.unionByName(events)
+        grouped = _grouped(adj)
 
 
 def _sized(events: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -144,10 +152,10 @@ def _sized(events: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _final(events: DataFrame) -> DataFrame:
     """(image_id, c, root): where each part ends up, by pointer doubling."""
-    at = stash(events.select("image_id", "c", F.col("into").alias("root")))
+    at = stash(events.select("image_id", "c", F.col("into").alias("root")), cells=True)
     while True:
         up = at.select("image_id", F.col("c").alias("root"), F.col("root").alias("up"))
-        at = stash(at.join(up, ["image_id", "root"], "left").select("image_id", "c", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        at = stash(at.join(up, ["image_id", "root"], "left").select("image_id", "c", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), cells=True)
         if at.where("moved").isEmpty():
             return at.drop("moved")
 
@@ -168,26 +176,26 @@ def fill_small_regions(pixels: DataFrame, label: str, minimum: int = 20, block:
     """
     if minimum < 1:
         raise ValueError("minimum must be positive")
-    base = stash(pixels.select(*KEY, F.coalesce(F.col(label), F.lit(0)).cast("long").alias("label")))
-    cells = stash(label_components(base, "label", True, block).select(*KEY, "label", (F.col("component") + 1).alias("c")))
-    sizes = stash(cells.groupBy("image_id", "c").agg(F.count("*").alias("size"), F.min("label").alias("label")))
+    base = stash(pixels.select(*KEY, F.coalesce(F.col(label), F.lit(0)).cast("long").alias("label")), cells=True)
+    cells = stash(label_components(base, "label", True, block).select(*KEY, "label", (F.col("component") + 1).alias("c")), cells=True)
+    sizes = stash(cells.groupBy("image_id", "c").agg(F.count("*").alias("size"), F.min("label").alias("label")), cells=True)
     small = sizes.where(F.col("size") < minimum).select("image_id", "c", "size")
     every = base.select(*KEY).join(cells.drop("label"), list(KEY), "left").select(*KEY, F.coalesce("c", F.lit(0)).alias("c"))
     touch = region_contacts(cells.join(small, ["image_id", "c"], "left_semi"), every)
     of = sizes.select("image_id", F.col("c").alias("n"), F.col("size").alias("n_size"))
     adj = small.join(touch, ["image_id", "c"], "left").join(of, ["image_id", "n"], "left")
-    adj = stash(adj.select("image_id", "c", "size", F.col("size").alias("now"), "n", "contact", F.coalesce("n_size", F.lit(0)).alias("n_size"), F.coalesce(F.col("n_size") < minimum, F.lit(False)).alias("n_small")))
-    forced = stash(small.select("image_id", "c", F.lit(None).cast("long").alias("forced")).limit(0))
+    grouped = _grouped(stash(adj.select("image_id", "c", "size", F.col("size").alias("now"), "n", "contact", F.coalesce("n_size", F.lit(0)).alias("n_size"), F.coalesce(F.col("n_size") < minimum, F.lit(False)).alias("n_small")), cells=True))
+    forced = None
     while True:
-        events = stash(_events(adj.join(forced, ["image_id", "c"], "left"), minimum, most))
-        right = stash(_sized(events, sizes))
+        events = stash(_events(grouped, forced, minimum, most), cells=True)
+        right = stash(_sized(events, sizes), cells=True)
         wrong = events.join(right, ["image_id", "c"]).where("into <> right")
         if wrong.isEmpty():
             break
         forced = right.withColumnRenamed("right", "forced")
     names = _final(events).join(sizes.select("image_id", F.col("c").alias("root"), "label"), ["image_id", "root"], "left").select("image_id", "c", F.coalesce("label", F.lit(0)).alias("new"))
     merged = cells.join(names, ["image_id", "c"], "left").select(*KEY, F.coalesce("new", "label").alias("own"))
-    now = stash(base.join(merged, list(KEY), "left").select(*KEY, (F.col("label") == 0).alias("void"), F.coalesce("own", "label").alias("label")))
+    now = stash(base.join(merged, list(KEY), "left").select(*KEY, (F.col("label") == 0).alias("void"), F.coalesce("own", "label").alias("label")), cells=True)
     return fill_small_holes(now, minimum, block)
 
 
@@ -197,10 +205,10 @@ def fill_small_holes(pixels: DataFrame, minimum: int, block: int = 256) -> DataF
     frame = pixels.groupBy("image_id").agg(F.min("y").alias("fy0"), F.max("y").alias("fy1"), F.min("x").alias("fx0"), F.max("x").alias("fx1"))
     box = void.groupBy("image_id", "component").agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     inside = box.where(F.col("n") < minimum).join(F.broadcast(frame), "image_id").where("y0 > fy0 and y1 < fy1 and x0 > fx0 and x1 < fx1").select("image_id", "component")  # one row an image
-    holes = stash(void.join(inside, ["image_id", "component"]).select(*KEY, "component"))
+    holes = stash(void.join(inside, ["image_id", "component"]).select(*KEY, "component"), cells=True)
     looks = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in RING)))
     ring = holes.select("image_id", "component", looks.alias("r")).select("image_id", "component", "r.y", "r.x").distinct()
     votes = ring.join(pixels.where("label > 0").select(*KEY, "label"), list(KEY)).groupBy("image_id", "component", "label").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("at"))
     won = votes.groupBy("image_id", "component").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "at")).alias("new"))
-    filled = holes.join(won, ["image_id", "component"]).select(*KEY, "new")
-    return pixels.join(filled, list(KEY), "left").select(*KEY, F.coalesce("new", "label").alias("label"))
+    filled = stash(holes.join(won, ["image_id", "component"]).select(*KEY, "new"), cells=True)
+    return joined_left(pixels, filled, list(KEY)).select(*KEY, F.coalesce("new", "label").alias("label"))

@@ -57,3 +57,17 @@ def test_many_components_are_traced_in_one_call(spark, monkeypatch):
     batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, row, strict=True)) for row in squares[i : i + 3]], kind) for i in range(0, 16, 3)]
     got = [r for b in vector._followed(iter(batches)) for r in b.to_pylist()]
     assert [(r["component"], r["hole"], len(r["points"])) for r in got] == [(c, False, 5) for c in range(4)]
+
+
+def test_small_regions_are_contracted_many_in_a_call(spark, monkeypatch):
+    """Two images with the same specks: groups that don't touch share a call, images don't."""
+    from tessella.operators import contraction
+
+    told = []
+    monkeypatch.setattr(contraction, "stash", lambda df, cells=False: told.append(df._jdf.queryExecution().optimizedPlan().toString()) or durable.stash(df, cells))
+    specks = {(y, x): 5 for y in range(1, 11, 3) for x in range(1, 11, 3)}
+    cells = spark.createDataFrame([(i, y, x, specks.get((y, x), 1 + (i == "b"))) for i in "ab" for y in range(12) for x in range(12)], "image_id string, y long, x long, label long")
+    got = contraction.fill_small_regions(cells, "label", 3).collect()
+    assert len(got) == 288 and {(r.image_id, r.label) for r in got} == {("a", 1), ("b", 2)}
+    calls = [keys for plan in told for keys in re.findall(r"FlatMapGroupsInPandas \[(.*?)\]", plan) if "call#" in keys or "group#" in keys]
+    assert calls and all("call#" in k and "image_id#" in k for k in calls)
